@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from .mixing import op5_source_mixing
+from .quality import OP1_SQL, op1_quality_rules
 from .simhash import op10_simhash_near_dedup
+from .tokens import op7_token_output
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op5_source_mixing": op5_source_mixing,
+    "op7_token_output": op7_token_output,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": OP1_SQL,
+}
