@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from .html import op8_html_extraction
 from .mixing import op5_source_mixing
 from .quality import OP1_SQL, op1_quality_rules
 from .simhash import op10_simhash_near_dedup
 from .tokens import op7_token_output
+from .urls import op4_url_filters
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_url_filters": op4_url_filters,
     "op5_source_mixing": op5_source_mixing,
     "op7_token_output": op7_token_output,
+    "op8_html_extraction": op8_html_extraction,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
