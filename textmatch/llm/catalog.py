@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .grades import op6_quality_classifier
 from .html import op8_html_extraction
 from .mixing import op5_source_mixing
 from .quality import OP1_SQL, op1_quality_rules
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op4_url_filters": op4_url_filters,
     "op5_source_mixing": op5_source_mixing,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_token_output": op7_token_output,
     "op8_html_extraction": op8_html_extraction,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
