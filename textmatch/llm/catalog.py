@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .grades import op6_quality_classifier
 from .html import op8_html_extraction
+from .leaks import op9_benchmark_decontamination
 from .mixing import op5_source_mixing
 from .quality import OP1_SQL, op1_quality_rules
 from .simhash import op10_simhash_near_dedup
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_quality_classifier": op6_quality_classifier,
     "op7_token_output": op7_token_output,
     "op8_html_extraction": op8_html_extraction,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, read
+from .common import BLANKS, arrow_map, read
 
 BITS = 18
 TRAIN_ROWS = 16_000
@@ -129,7 +129,7 @@ def train(docs: DataFrame, ratings: DataFrame, train_rows: int = TRAIN_ROWS) ->
                 yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)), part.column(1), part.column(2)], ["places", "vals", "grade", "doc_id"])
 
     kind = picked.schema["doc_id"].dataType.simpleString()
-    got = picked.select("text", "grade", "doc_id").mapInArrow(run, f"places array<int>, vals array<float>, grade int, doc_id {kind}").toArrow().sort_by("doc_id")
+    got = arrow_map(picked.select("text", "grade", "doc_id"), run, f"places array<int>, vals array<float>, grade int, doc_id {kind}").toArrow().sort_by("doc_id")
     rows = [(np.array(p.values.to_numpy(), np.int32), v.values.to_numpy()) for p, v in zip(got.column("places"), got.column("vals"), strict=True)]
     grades = got.column("grade").to_numpy().astype(np.int64)
     return Ordinal.fit(rows, grades, max(2, int(grades.max(initial=0)) + 1))
@@ -146,7 +146,7 @@ def graded(docs: DataFrame, model: Ordinal, keep: float = KEEP) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tails.sum(axis=1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= keep)], ["doc_id", "expected_grade", "p_top", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, expected_grade double, p_top double, kept boolean")
+    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, expected_grade double, p_top double, kept boolean")
 
 
 def ratings_of(labels: DataFrame) -> DataFrame:

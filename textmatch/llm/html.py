@@ -21,7 +21,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import read
+from .common import arrow_map, read
 
 THRESHOLD = 0.5
 #: Share of the content text that the article must hold.
@@ -237,7 +237,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return arrow_map(pages.select("page_id", "url", "html"), run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
 
 
 def op8_html_extraction(spark, sf_dir: str) -> DataFrame:

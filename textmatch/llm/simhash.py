@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, read, table
+from .common import LOWER, UPPER, arrow_map, read, table
 
 SHINGLE = 3
 THRESHOLD = 2
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got)], ["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, fp long")
 
 
 def syndrome(fp: Column) -> Column:
@@ -130,7 +130,7 @@ def link_edges(classes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         if len(held[0]) and (edges := links(held[1], held[0])):
             yield out(sorted(set(edges)))
 
-    return placed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "a long, b long").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return arrow_map(placed.repartition("anchor").sortWithinPartitions("anchor"), run, "a long, b long").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

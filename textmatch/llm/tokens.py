@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, read
+from .common import arrow_map, fresh_path, read
 
 END_ID = 0
 FRAME_BYTES = 1 << 18
@@ -234,7 +234,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, frame
             store.delete_file(draft)
 
     with small_batches(spark):
-        rows = cut.mapInArrow(run, "part long, name string, docs long, ids long").collect()  # one row a file
+        rows = arrow_map(cut, run, "part long, name string, docs long, ids long").collect()  # one row a file
     files, start = [], 0
     for r in sorted(rows, key=lambda r: r["part"]):
         files.append({"name": r["name"], "docs": r["docs"], "ids": r["ids"], "start": start})
@@ -273,7 +273,7 @@ def read_tokens(spark, path: str, files: list[dict]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     listed = spark.createDataFrame([(f["name"], f["start"]) for f in files], "name string, base long").repartition(len(files))
-    return listed.mapInArrow(run, schema)
+    return arrow_map(listed, run, schema)
 
 
 def tokenized(docs: DataFrame, path: str | None = None, tokenizer: str | None = None) -> DataFrame:
