@@ -5,6 +5,7 @@ from __future__ import annotations
 from .grades import op6_quality_classifier
 from .html import op8_html_extraction
 from .leaks import op9_benchmark_decontamination
+from .lines import op3_line_dedup
 from .mixing import op5_source_mixing
 from .quality import OP1_SQL, op1_quality_rules
 from .simhash import op10_simhash_near_dedup
@@ -13,6 +14,7 @@ from .urls import op4_url_filters
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_line_dedup": op3_line_dedup,
     "op4_url_filters": op4_url_filters,
     "op5_source_mixing": op5_source_mixing,
     "op6_quality_classifier": op6_quality_classifier,
