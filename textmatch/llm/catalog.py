@@ -7,6 +7,7 @@ from .html import op8_html_extraction
 from .leaks import op9_benchmark_decontamination
 from .lines import op3_line_dedup
 from .mixing import op5_source_mixing
+from .pii import op2_pii
 from .quality import OP1_SQL, op1_quality_rules
 from .simhash import op10_simhash_near_dedup
 from .tokens import op7_token_output
@@ -14,6 +15,7 @@ from .urls import op4_url_filters
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_pii": op2_pii,
     "op3_line_dedup": op3_line_dedup,
     "op4_url_filters": op4_url_filters,
     "op5_source_mixing": op5_source_mixing,
