@@ -58,6 +58,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        if hasattr(self.model.model, "_resize_cache"):  # the memo takes its place
+            self.model.model._resize_cache(0)
+        end = self.model.encode("\n", add_special_tokens=False).ids
+        self.line_end = end[0] if len(end) == 1 else -1
         self.memo: dict[str, bytes] = {}
 
     @classmethod
@@ -70,20 +74,19 @@ class Encoder:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _learn(self, words: list[str]) -> None:
-        """Words joined by line ends come apart there again; where they don't, each is encoded alone."""
-        for at in range(0, len(words), 2000):
-            part = words[at : at + 2000]
-            plain = [w for w in part if w.strip(" ").isalnum()]
-            if plain:
-                got = self.model.encode("\n".join(plain), add_special_tokens=False)
-                owner, ids = np.array(got.word_ids, np.int64), np.array(got.ids, np.uint32)
-                if len(owner) and owner[-1] == 2 * len(plain) - 2:
-                    cuts = np.searchsorted(owner, np.arange(2 * len(plain)))
-                    for k, w in enumerate(plain):
-                        self.memo[w] = ids[cuts[2 * k] : cuts[2 * k + 1]].tobytes()
-            rest = [w for w in part if w not in self.memo]
-            for w, e in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-                self.memo[w] = np.array(e.ids, np.uint32).tobytes()
+        """Words joined by line ends come apart there again, and no id of theirs is a line end's; where that fails, each is encoded alone."""
+        plain = [w for w in words if w.strip(" ").isalnum()]
+        parts = [plain[k : k + 50] for k in range(0, len(plain), 50)]
+        for part, e in zip(parts, self.model.encode_batch_fast(["\n".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.line_end).tolist()
+            if len(cuts) == len(part) - 1:
+                raw = ids.tobytes()
+                for w, start, end in zip(part, [-1, *cuts], [*cuts, len(ids)], strict=True):
+                    self.memo[w] = raw[4 * start + 4 : 4 * end]
+        rest = [w for w in words if w not in self.memo]
+        for w, e in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.memo[w] = np.array(e.ids, np.uint32).tobytes()
 
     def known(self, words: list[str]) -> list[bytes]:
         if len(self.memo) > MEMO_SIZE:
