@@ -30,7 +30,8 @@ from .common import arrow_map, read, table
 PASSAGE, STEP = 40, 10
 RANK, EXTRA = 88, 8
 COSINE = 0.55
-#: Terms in more than this share of the documents have no weight, but each window of an item keeps its RARE rarest.
+#: Terms in more than this share of the documents have no weight, but each window of an item keeps the rarer half of its terms, RARE at
+#: least: an item that has leaked into many documents must not become common by that.
 COMMON, RARE = 0.02, 6
 LCS, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
 #: Items of fewer words than this must be there word for word.
@@ -132,10 +133,10 @@ def _sums(codes: np.ndarray, passage: np.ndarray, n: int, weight: np.ndarray, w:
 def term_weights(items: Items, seen: np.ndarray, n_docs: int) -> np.ndarray:
     """Squared idf, 0 for common terms."""
     weight = (np.log((n_docs + 1) / (seen + 1)).astype(np.float32) + 0.1) ** 2
-    keep = seen <= COMMON * n_docs
+    keep = seen <= max(5, COMMON * n_docs)
     for _, _, codes in items.windows():
         distinct = np.unique(codes)
-        keep[distinct[np.argsort(seen[distinct], kind="stable")][:RARE]] = True
+        keep[distinct[np.argsort(seen[distinct], kind="stable")][: max(RARE, len(distinct) // 2)]] = True
     keep[0] = False
     return np.where(keep, weight, 0).astype(np.float32)
 
