@@ -72,7 +72,7 @@ def ranked(rows: DataFrame, limit: int | None = None, filters: dict | None = Non
         rows_out = [c for c in rows.columns if c not in used]
     else:
         rows_out = rows.columns
-    order = Window.partitionBy("query_id").orderBy(*keys, "base_word", "base_id")
+    order = Window.partitionBy("query_id").orderBy(*keys, F.desc(F.col("match_type") == "phrase_term"), "base_word", "base_id")
     rows = rows.withColumn("rank", F.row_number().over(order)).select(*rows_out, "rank")
     return rows.where(F.col("rank") <= limit) if limit else rows
 
