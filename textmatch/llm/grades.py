@@ -73,7 +73,7 @@ class Ordinal:
         self.weights, self.thresholds = weights, thresholds
 
     @classmethod
-    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int, steps: int = STEPS, penalty: float = 1e-3) -> Ordinal:
+    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int, steps: int = STEPS, penalty: float = 1e-2) -> Ordinal:
         """Maximum likelihood by Adam over all rows at once. Thresholds are a first one and the logarithms of the gaps."""
         n = len(rows)
         if not n:
