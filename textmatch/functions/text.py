@@ -120,6 +120,15 @@ def starts_word(text: Column, word: Column) -> Column:
     return F.regexp_like(F.lower(text), F.concat(F.when(word.rlike("^[A-Za-z0-9_]"), F.lit("(?:^|[^a-z0-9_])")).otherwise(F.lit("(?<=[a-z0-9_])")), quoted))
 
 
+def boundary_matches(text: Column, word: Column) -> Column:
+    """Starts of word in text between separators or ends, overlapping ones included."""
+    low, n = F.lower(text), F.length(word)
+    edge = lambda c: (c == "") | c.rlike(SEPARATORS)
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+    hit = lambda i: (F.substring(low, i, n) == F.lower(word)) & edge(F.when(i > 1, F.substring(low, i - 1, F.lit(1))).otherwise("")) & edge(F.substring(low, i + n, F.lit(1)))
+    return F.transform(F.filter(starts, hit), lambda i: i - 1)
+
+
 def wildcard_pattern(pattern: Column) -> Column:
     """A regular expression for a pattern in which * stands for any text."""
     return F.concat(F.lit("(?is)^"), F.replace(F.regexp_replace(pattern, r"([\\^$.|?+()\[\]{}])", r"\\$1"), F.lit("*"), F.lit(".*")), F.lit("$"))

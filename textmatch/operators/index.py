@@ -17,7 +17,8 @@ from ..functions.text import languages_of, ngrams, strip_accents
 from ..runtime import ship
 
 TABLES = ("base", "variant", "phonetic", "ngram", "synonym")
-#: Rows at which a dictionary counts as large and its tables are written before use rather than recomputed.
+#: Words from which the planner calls a dictionary inverted. Both kinds have the same tables and results; a large one is better saved
+#: and loaded than cached.
 INVERTED_FROM = 10_000
 _FORMS = "array<struct<variant:string,kind:string,lang:string,lang_ord:int,pos:int>>"
 
@@ -41,6 +42,10 @@ class Index:
     def unpersist(self) -> Index:
         return self.map(lambda df: df.unpersist())
 
+    def mode(self) -> str:
+        large = self.config["use_bm25"] or self.base.limit(INVERTED_FROM).count() >= INVERTED_FROM
+        return "inverted" if large else "classic"
+
     def stats(self) -> DataFrame:
         """Rows of each table."""
         return union([getattr(self, t).agg(F.count("*").alias("rows")).select(F.lit(t).alias("name"), "rows") for t in TABLES])
