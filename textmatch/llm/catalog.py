@@ -5,7 +5,7 @@ from __future__ import annotations
 from .grades import op6_quality_classifier
 from .html import op8_html_extraction
 from .leaks import op9_benchmark_decontamination
-from .lines import op3_line_dedup
+from .lines import OP3_SQL, op3_line_dedup
 from .mixing import op5_source_mixing
 from .pii import op2_pii
 from .quality import OP1_SQL, op1_quality_rules
@@ -28,4 +28,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": OP1_SQL,
+    "op3_line_dedup": OP3_SQL,
 }

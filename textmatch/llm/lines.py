@@ -12,7 +12,7 @@ again.
    runs, so its ends are exact, and a group of any size costs a row an occurrence, never a pair.
 
 Keys are hashes, groups are counted and ordered by partial aggregates, and the joins on hot keys read written tables, so that
-adaptive execution can split them. Long runs are 64-bit hashes of their lines' 64-bit hashes.
+adaptive execution can split them. Joins are merge joins at every size: a side that would fit a broadcast today grows with the corpus. Long runs are 64-bit hashes of their lines' 64-bit hashes.
 
 Nulls: a null text stays null and has no lines. Rows that repeat a doc_id with the same text are one document. Null doc_ids come first.
 """
@@ -91,14 +91,14 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int =
     found = table(found, "windows")
     at = F.struct("doc_id", "key", "p")
     again = table(found.groupBy("g").agg(F.min(at).alias("a"), F.max(at).alias("b")).where(~F.col("a").eqNullSafe(F.col("b"))).select("g"), "fingerprints")
-    near = table(found.join(again, "g", "left_semi").select("doc_id", "key", "s", "e", "h"), "candidates")
+    near = table(found.join(again.hint("merge"), "g", "left_semi").select("doc_id", "key", "s", "e", "h"), "candidates")
     place = F.struct("doc_id", "key", "s")
     first = table(near.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("h", "first"), "first-runs")
-    later = near.join(first, "h").where(~place.eqNullSafe(F.col("first"))).select("doc_id", "key", "s", "e")
+    later = near.join(first.hint("merge"), "h").where(~place.eqNullSafe(F.col("first"))).select("doc_id", "key", "s", "e")
     ranges = later.groupBy("doc_id", "key").agg(_merged(F.sort_array(F.collect_set(F.struct("s", "e")))).alias("r"))
     ranges = table(ranges.select("doc_id", "key", "r"), "ranges")
     mine = held.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), F.transform("nb", lambda x: x["i"]).alias("i")).dropDuplicates(["d", "k"])
-    named = ranges.join(mine, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))
+    named = mine.join(ranges.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))
     return named.select("doc_id", "key", F.transform("r", lambda x: F.struct(F.get("i", x["s"]).alias("s"), F.get("i", x["e"]).alias("e"))).alias("cut"))
 
 
@@ -107,7 +107,7 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int =
     cuts = repeated_runs(docs, min_words, gram_words).select(F.col("doc_id").alias("__tm_id"), F.col("key").alias("__tm_key"), F.col("cut").alias("__tm_cut"))
     cuts = table(cuts, "cuts")
     same = F.col("doc_id").eqNullSafe(F.col("__tm_id")) & (F.xxhash64("text") == F.col("__tm_key"))
-    joined = docs.join(cuts, same, "left")
+    joined = docs.join(cuts.hint("merge"), same, "left")
     kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.exists("__tm_cut", lambda r: (r["s"] <= i) & (i <= r["e"])))
     gone = F.aggregate("__tm_cut", F.lit(0), lambda a, r: a + r["e"] - r["s"] + 1)
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
@@ -119,3 +119,18 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int =
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
     got = deduplicated(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", F.col("__tm_lines").alias("n_lines"), F.col("__tm_removed").alias("n_removed"), "text")
+
+
+OP3_SQL = r"""
+WITH t AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i - 1 AS no, ls[i] AS x, len(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+')) AS n FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM t)),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS k, sum(n) OVER (PARTITION BY doc_id ORDER BY no) AS p FROM l WHERE n > 0),
+j AS (SELECT a.doc_id, a.k AS s, z.k AS e FROM b a JOIN b z ON a.doc_id = z.doc_id AND z.k BETWEEN a.k AND a.k + 49 AND z.p - a.p + a.n >= 50),
+w AS (SELECT doc_id, s, min(e) AS e FROM j GROUP BY ALL UNION SELECT doc_id, max(s) AS s, e FROM j GROUP BY doc_id, e),
+r AS (SELECT w.doc_id, s, e, min(no) AS lo, max(no) AS hi, string_agg(x, chr(10) ORDER BY k) AS run FROM w JOIN b ON w.doc_id = b.doc_id AND b.k BETWEEN s AND e GROUP BY w.doc_id, s, e),
+c AS (SELECT doc_id, lo, hi FROM (SELECT *, rank() OVER (PARTITION BY run ORDER BY doc_id, s) AS place FROM r) WHERE place > 1),
+k AS (SELECT l.doc_id, no, x, EXISTS (SELECT 1 FROM c WHERE c.doc_id = l.doc_id AND no BETWEEN lo AND hi) AS gone FROM l)
+SELECT t.doc_id, count(no)::BIGINT AS n_lines, count(no) FILTER (WHERE gone)::BIGINT AS n_removed,
+  CASE WHEN any_value(text) IS NOT NULL THEN coalesce(string_agg(x, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '') END AS text
+FROM t LEFT JOIN k USING (doc_id) GROUP BY t.doc_id
+"""
