@@ -58,6 +58,14 @@ def test_update_and_remove(spark, built):
     assert less.variant.where("variant = 'apple'").isEmpty()
 
 
+def test_few_and_many_queries_have_the_same_candidates(spark, built):
+    from textmatch import languages
+
+    asked = spark.createDataFrame(list(enumerate(["krank", "ceive", "York", "aple", "heim", "x"])), "query_id long, query string")
+    key = lambda few: sorted((r["query_id"], r["base_id"], r["step"], r["variant"] or "", r["edit_distance"] or 0) for r in match.candidates(asked, built, languages.REGISTRY["english"], 0, few=few).collect())
+    assert key(True) == key(False)
+
+
 def test_save_and_load(spark, built, tmp_path):
     index.save(built, str(tmp_path / "ix"))
     held = index.load(spark, str(tmp_path / "ix"))
@@ -79,12 +87,12 @@ def test_phrases(built):
     assert rows[0]["display"] == "New York City" and rows[0]["score"] == 1.0
 
 
-@pytest.mark.parametrize("swap", [False, True])
-def test_fuzzy_pairs_lose_nothing(spark, swap):
+@pytest.mark.parametrize(("swap", "few"), [(False, False), (True, False), (True, True)])
+def test_fuzzy_pairs_lose_nothing(spark, swap, few):
     words = ["a", "ab", "abc", "abcd", "teh", "the", "then", "banana", "bandana", "bnadana", "function", "funciton", "functional", "receive", "recieve", "responsibility", "responsibilty", "irresponsible"]
     df = spark.createDataFrame([(w, len(w)) for w in words], "variant string, len int")
     asked = spark.createDataFrame(list(enumerate(words)), "query_id long, nq string")
-    got = {(r["query_id"], r["variant"]): r["edit"] for r in match.fuzzy_pairs(asked, df, 2, swap).collect()}
+    got = {(r["query_id"], r["variant"]): r["edit"] for r in match.fuzzy_pairs(asked, df, 2, swap, few).collect()}
 
     def plain(a, b):
         row = list(range(len(b) + 1))

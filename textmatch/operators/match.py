@@ -54,27 +54,41 @@ def _probes(text: Column, n: int, d: int) -> Column:
     return F.array_distinct(F.transform(F.flatten(F.transform(lengths, of_length)), lambda p: F.struct(p["len"].alias("len"), p["no"].alias("no"), p["piece"].alias("piece"))))
 
 
-def fuzzy_pairs(queries: DataFrame, variants: DataFrame, limit: int, transpositions: bool) -> DataFrame:
-    """queries (query_id, nq) with variants (variant, len, ...) within their distance, and the distance. Every pair within it is found."""
+#: Up to so many queries are sent to the variants and compared with each; more meet them by keys.
+FEW = 32
+
+
+def are_few(queries: DataFrame) -> bool:
+    return queries.limit(FEW + 1).count() <= FEW
+
+
+def fuzzy_pairs(queries: DataFrame, variants: DataFrame, limit: int, transpositions: bool, few: bool = False) -> DataFrame:
+    """queries (query_id, nq) with variants (variant, len, ...) within their distance, and the distance. Every pair within it is found,
+    by shared pieces, or if there are few queries by comparing lengths first."""
     asked = queries.where("nq <> ''").withColumn("d", max_distance(F.length("nq"), limit))
     out = []
     for d in sorted({2, max(limit, 2), limit, max(limit, 3)} - {0}):
         mine, n = asked.where(F.col("d") == d), (2 if transpositions else 1) * d + 1
+        within = F.levenshtein("variant", "nq", 2 * d if transpositions else d)
+        if few:
+            near = variants.select("variant", "len").distinct().join(F.broadcast(mine), F.abs(F.col("len") - F.length("nq")) <= d)
+            out.append(near.select("query_id", "nq", "d", "variant", within.alias("lev")).where("lev >= 0"))
+            continue
         pieces = variants.where(F.col("len") >= n).select("variant", "len", F.explode(_cut(F.col("variant"), n)).alias("c")).select("variant", "len", "c.*").distinct()
         probes = mine.select("query_id", "nq", "d", F.explode(_probes(F.col("nq"), n, d)).alias("p")).select("query_id", "nq", "d", "p.*")
         long_ = probes.join(pieces, ["len", "no", "piece"]).select("query_id", "nq", "d", "variant").distinct()
         # texts shorter than the number of pieces have no whole one; they meet by length
         sized = mine.select("query_id", "nq", "d", F.explode(F.sequence(F.length("nq") - d, F.length("nq") + d)).alias("len")).where(F.col("len") < n)
         short = sized.join(variants.where(F.col("len") < n).select("variant", "len").distinct(), "len").select("query_id", "nq", "d", "variant")
-        out.append(long_.unionByName(short).withColumn("lev", F.levenshtein("variant", "nq", 2 * d if transpositions else d)).where("lev >= 0"))
+        out.append(long_.unionByName(short).withColumn("lev", within).where("lev >= 0"))
     pairs = union(out)
     edit = F.when(F.col("lev") <= 1, F.col("lev")).otherwise(damerau_levenshtein(F.col("variant"), F.col("nq"))) if transpositions else F.col("lev")
     pairs = pairs.withColumn("edit", edit)
     return pairs.where("edit <= d").select("query_id", "variant", "edit")
 
 
-def candidates(queries: DataFrame, index: Index, language: Language, n: int, word_boundaries: bool | None = None) -> DataFrame:
-    """All candidates of one language's pass. queries: query_id, query."""
+def candidates(queries: DataFrame, index: Index, language: Language, n: int, word_boundaries: bool | None = None, few: bool = False) -> DataFrame:
+    """All candidates of one language's pass. queries: query_id, query. few: see FEW."""
     config = index.config
     features, edge = set(config["features"]), config["word_boundaries"] if word_boundaries is None else word_boundaries
     asked = queries.select("query_id", "query", F.lower(language.normalized(F.col("query"))).alias("nq"))
@@ -88,15 +102,20 @@ def candidates(queries: DataFrame, index: Index, language: Language, n: int, wor
     stars = asked.where(F.col("query").contains("*"))
     out.append(_candidates(stars.join(index.base, matches_wildcard(F.col("word"), F.col("query"))).withColumn("variant", F.col("word_lc")), n, "exact", F.lit(0), kind="base"))
 
-    sizes = asked.select(F.length("nq").alias("size")).where("size > 0").distinct()
-    heads = variant.join(F.broadcast(sizes), F.col("len") > F.col("size")).withColumn("head", F.expr("substring(variant, 1, size)"))  # a row for each length of a query
-    out.append(_candidates(whole(asked.join(heads, F.col("nq") == F.col("head"))), n, "prefix"))
-
-    starts = F.filter(F.flatten(F.transform(F.sequence(F.lit(2), F.greatest(F.col("len"), F.lit(2))), lambda i: F.transform(F.array(F.lit(2), F.lit(3)), lambda k: F.struct(i.alias("at"), F.substring("variant", i, k).alias("key"), k.alias("k"))))), lambda x: F.length(x["key"]) == x["k"])
-    inner = variant.withColumn("s", F.explode(starts)).withColumns({"key": F.col("s.key"), "at": F.col("s.at")}).drop("s")
-    long_ = asked.where(F.length("nq") >= 2).withColumn("key", F.substring("nq", 1, 3))
-    inside = F.substring("variant", F.col("at"), F.length("nq")) == F.col("nq")
-    out.append(_candidates(long_.join(inner, "key").where(inside & ~F.startswith("variant", F.col("nq"))).dropDuplicates(["query_id", "base_id", "variant", "field"]), n, "substring"))
+    begins = F.startswith("variant", F.col("nq"))
+    if few:
+        small = F.broadcast(asked.where("nq <> ''"))
+        out.append(_candidates(whole(variant.join(small, begins & (F.col("len") > F.length("nq")))), n, "prefix"))
+        out.append(_candidates(variant.join(small, F.contains("variant", F.col("nq")) & ~begins & (F.length("nq") >= 2)), n, "substring"))
+    else:
+        sizes = asked.select(F.length("nq").alias("size")).where("size > 0").distinct()
+        heads = variant.join(F.broadcast(sizes), F.col("len") > F.col("size")).withColumn("head", F.expr("substring(variant, 1, size)"))  # a row for each length of a query
+        out.append(_candidates(whole(asked.join(heads, F.col("nq") == F.col("head"))), n, "prefix"))
+        starts = F.filter(F.flatten(F.transform(F.sequence(F.lit(2), F.greatest(F.col("len"), F.lit(2))), lambda i: F.transform(F.array(F.lit(2), F.lit(3)), lambda k: F.struct(i.alias("at"), F.substring("variant", i, k).alias("key"), k.alias("k"))))), lambda x: F.length(x["key"]) == x["k"])
+        inner = variant.withColumn("s", F.explode(starts)).withColumns({"key": F.col("s.key"), "at": F.col("s.at")}).drop("s")
+        long_ = asked.where(F.length("nq") >= 2).withColumn("key", F.substring("nq", 1, 3))
+        inside = F.substring("variant", F.col("at"), F.length("nq")) == F.col("nq")
+        out.append(_candidates(long_.join(inner, "key").where(inside & ~begins).dropDuplicates(["query_id", "base_id", "variant", "field"]), n, "substring"))
 
     if "phonetic" in features and "phonetic" in language.features:
         @F.pandas_udf("string")
@@ -110,7 +129,7 @@ def candidates(queries: DataFrame, index: Index, language: Language, n: int, wor
     grams = asked.where(F.length("nq") >= size).select("query_id", F.explode(F.array_distinct(ngrams(F.col("nq"), size))).alias("gram"))
     out.append(_candidates(grams.join(index.ngram, "gram").select("query_id", "base_id").distinct(), n, "ngram"))
     if features & {"missing-letters", "extra-letters", "transpositions"}:
-        pairs = fuzzy_pairs(asked.select("query_id", "nq"), variant, config["max_edit_distance"], "transpositions" in features)
+        pairs = fuzzy_pairs(asked.select("query_id", "nq"), variant, config["max_edit_distance"], "transpositions" in features, few)
         out.append(_candidates(pairs.join(variant, "variant"), n, "fuzzy", F.col("edit")))
     return union([c.select(*_COLUMNS) for c in out])
 

@@ -13,7 +13,7 @@ from ..functions.ranking import rank, squashed
 from ..functions.text import drop_stop_words, tokens
 from .highlight import highlights
 from .index import Index, build, union
-from .match import candidates, folded
+from .match import are_few, candidates, folded
 from .score import score
 
 OPTIONS = {"limit": None, "threshold": None, "languages": None, "match_types": None, "filters": None, "sort": None, "highlight": False, "word_boundaries": None, "strict": False, "bm25": None}
@@ -34,8 +34,8 @@ def matches(index: Index, queries: DataFrame, **options) -> DataFrame:
     asked = queries.where(F.length("query") >= config["min_query_length"])
     if config["enable_stop_words"] and config["stop_words"]:
         asked = asked.withColumn("query", drop_stop_words(F.col("query"), config["stop_words"]))
-    langs = languages.get(opt["languages"] or config["languages"])
-    found = folded(union([candidates(asked, index, lang, n, opt["word_boundaries"]) for n, lang in enumerate(langs)]))
+    langs, few = languages.get(opt["languages"] or config["languages"]), are_few(asked)
+    found = folded(union([candidates(asked, index, lang, n, opt["word_boundaries"], few) for n, lang in enumerate(langs)]))
     rows = found.join(asked, "query_id").join(index.base, "base_id")
     name = F.element_at(F.array(*[F.lit(x.name) for x in langs]), F.col("lang_ord") + 1)
     value = score(config, F.col("type"), F.col("query"), F.col("word"), F.coalesce("variant", "word_lc"), F.col("edit_distance"), F.lower("query"), opt["strict"])
