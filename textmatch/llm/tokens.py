@@ -34,7 +34,7 @@ from .common import arrow_map, fresh_path, read
 END_ID = 0
 FRAME_BYTES = 1 << 18
 LEVEL = 3
-MEMO_SIZE = 300_000
+MEMO_SIZE = 250_000
 BATCH_ROWS = 512
 SEEK_MAGIC, INDEX_MAGIC, FOOTER_MAGIC = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 #: The published pre-token pattern; (?U) gives \s its Unicode meaning, as in the library.
@@ -63,6 +63,7 @@ class Encoder:
         end = self.model.encode("\n", add_special_tokens=False).ids
         self.line_end = end[0] if len(end) == 1 else -1
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -89,9 +90,17 @@ class Encoder:
             self.memo[w] = np.array(e.ids, np.uint32).tobytes()
 
     def known(self, words: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO_SIZE:
-            self.memo.clear()
-        self._learn([w for w in words if w not in self.memo])
+        if len(self.memo) > MEMO_SIZE:  # what is not asked for again before the next time goes
+            self.memo, self.old = {}, self.memo
+        memo, old = self.memo, self.old
+        unseen = []
+        for w in words:
+            if w not in memo:
+                if w in old:
+                    memo[w] = old[w]
+                else:
+                    unseen.append(w)
+        self._learn(unseen)
         return [self.memo[w] for w in words]
 
     def documents(self, pieces: pa.ListArray, texts: pa.StringArray) -> Iterator[np.ndarray]:
