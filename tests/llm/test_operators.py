@@ -470,6 +470,34 @@ def test_long_chains_become_one_component(spark):
     assert {r["label"] for r in simhash.components(edges).collect()} == {0}
 
 
+def test_stage_links_copies_with_a_few_edits(spark, docs, texts, odd, none):
+    from textmatch.llm import simhash
+
+    rng, made = np.random.default_rng(11), dict(texts)
+    for k, d in enumerate(sorted(d for d, t in texts.items() if len(WORD.findall(t)) >= 50)[:60]):
+        words = WORD.findall(texts[d])
+        for copy in range(2):  # from one edit to a fifth of the shingles and more
+            for at in rng.integers(0, len(words), 1 + len(words) * (k % 6) // 100):
+                words[at] = f"new{rng.integers(1 << 30)}"
+            made[1000 + 2 * k + copy] = " ".join(words)
+
+    def shingles(text):
+        words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets, label = {k: shingles(t) for k, t in made.items()}, {k: k for k in made}
+    linked = [(a, b) for a in made for b in made if a < b and (not sets[a] and not sets[b] or len(sets[a] & sets[b]) * 10 >= 8 * len(sets[a] | sets[b]) > 0)]
+    for _ in made:
+        for a, b in linked:
+            label[a] = label[b] = min(label[a], label[b])
+    df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    got = {r["doc_id"] for r in simhash.one_of_similar(df).collect()}
+    assert got == set(label.values()) and sum(0 < len(sets[a] ^ sets[b]) for a, b in linked) > 30 and any(k >= 1000 for k in got)
+    left = simhash.one_of_similar(odd)
+    assert left.columns == odd.columns and sorted(r["doc_id"] for r in left.where("doc_id is not null").collect()) == [0, 3, 5, 6, 9]
+    assert left.where("doc_id is null").count() == 1 and simhash.one_of_similar(none).count() == 0
+
+
 def test_catalog():
     from textmatch.llm.catalog import ORACLES, QUERIES
 

@@ -10,13 +10,18 @@ replicated, so thousands of exact copies cost one row.
 Each bucket gives a spanning forest of its links, not its pairs; label propagation with pointer jumping over those few edges
 gives the components. Every table that an iteration reads lies in the shared folder.
 
+Digests of three words can't see copies with a few edits: at a Jaccard similarity of 0.8 two digests differ in about 10 bits. one_of_similar
+(the stage of the pipeline) links texts whose sets of five-word shingles have a similarity of SIMILAR or more. Candidates share a band of
+minimal hashes; a pair of exactly 0.8 shares none of the BANDS with probability 7e-6 (less above). Buckets give stars, those give groups of candidates,
+and inside a group all texts meet by their shared shingles, so each link is checked exactly and none between members of a group is missed.
+
 Nulls: a null text has no words (fingerprint zero). A null doc_id is a document of its class like any other; component_id is the
 smallest doc_id that is not null, null only if the component has no other. Repeated rows are kept, with equal results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,25 +33,33 @@ from .common import LOWER, UPPER, arrow_map, read, table
 SHINGLE = 3
 THRESHOLD = 2
 SEED = 42
+#: Of one_of_similar: words of a shingle, least similarity, bands and minimal hashes of a band.
+WIDE, SIMILAR = 5, 0.8
+BANDS, ROWS = 30, 5
 #: Hashes whose bits are added at a time; bounds the memory for one very long text.
 CHUNK = 1 << 16
 _BLANKS = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
-def fingerprint_of(text: str | None, size: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash of the word shingles of a text: bit b is 1 if set in over half of the shingle hashes."""
+def _shingle_hashes(text: str | None, size: int) -> Iterator[np.ndarray]:
+    """Hashes of the word shingles of a text, CHUNK at a time."""
     from xxhash import xxh64_intdigest
 
     # ASCII bytes never occur inside a UTF-8 sequence, so bytes can be lower-cased and split without decoding
     words = [w for w in (text or "").encode().translate(_LOWER).translate(_BLANKS).split(b" ") if w]
-    if not words:
-        return 0
     size = min(size, len(words))
-    n, ones = len(words) - size + 1, np.zeros(64, np.int64)
+    n = len(words) - size + 1 if words else 0
     for at in range(0, n, CHUNK):
         part = [words[at + k : min(n, at + CHUNK) + k] for k in range(size)]
-        hashes = np.fromiter((xxh64_intdigest(s, SEED) for s in map(b" ".join, zip(*part, strict=True))), np.uint64, len(part[0]))
+        yield np.fromiter((xxh64_intdigest(s, SEED) for s in map(b" ".join, zip(*part, strict=True))), np.uint64, len(part[0]))
+
+
+def fingerprint_of(text: str | None, size: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash of the word shingles of a text: bit b is 1 if set in over half of the shingle hashes."""
+    n, ones = 0, np.zeros(64, np.int64)
+    for hashes in _shingle_hashes(text, size):
+        n += len(hashes)
         ones += np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(sum(1 << b for b in range(64) if 2 * int(ones[b]) > n))
 
@@ -149,45 +162,163 @@ def components(edges: DataFrame) -> DataFrame:
         labels = jumped
 
 
+def shingle_set(text: str | None, size: int = WIDE) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles of a text."""
+    parts = list(_shingle_hashes(text, size))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def _set_key(hashes: np.ndarray) -> int:
+    """Signed long that names a set of hashes, 0 for the empty set."""
+    from xxhash import xxh64_intdigest
+
+    return int(np.uint64(xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64)) if len(hashes) else 0
+
+
+def _bands(hashes: np.ndarray) -> list[int]:
+    """A long for each band of minimal hashes; none for the empty set."""
+    from xxhash import xxh64_intdigest
+
+    if not len(hashes):
+        return []
+    rng = np.random.default_rng(SEED)
+    factor, shift = rng.integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
+    factor = factor * np.uint64(2) + np.uint64(1)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 512):
+        np.minimum(least, (hashes[at : at + 512, None] * factor + shift).min(axis=0), out=least)
+    found = np.array([xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
+    return found.view(np.int64).tolist()
+
+
+def signatures(docs: DataFrame, size: int = WIDE) -> DataFrame:
+    """doc_id, key (hash of the text), fp (names the shingle set), bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, bands = [], []
+            for t in b.column(2):
+                own = shingle_set(t.as_py(), size)
+                keys.append(_set_key(own))
+                bands.append(_bands(own))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "key", "fp", "bands"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return arrow_map(docs.select("doc_id", F.xxhash64("text").alias("key"), "text"), run, f"doc_id {kind}, key long, fp long, bands array<long>")
+
+
+def _similar_forest(names: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links between the sets of one group. Sets meet by the shingles they share only."""
+    sizes = np.array([len(x) for x in sets])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(sizes)
+    own = [codes[e - n : e] for e, n in zip(ends, sizes, strict=True)]
+    todo, edges, live = np.ones(len(sets), bool), [], 0
+
+    def postings() -> tuple[np.ndarray, np.ndarray]:
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        held = np.flatnonzero(todo[owner])
+        held = held[np.argsort(codes[held], kind="stable")]
+        return owner[held], np.searchsorted(codes[held], np.arange(codes.max() + 2))
+
+    while todo.any():
+        root = int(np.argmax(todo))
+        todo[root], queue = False, [root]
+        while queue and (left := int(todo.sum())):
+            if not live or left * 2 < live:  # those already reached are no longer met
+                (owner, first), live = postings(), left
+            x = queue.pop()
+            lo, n = first[own[x]], first[own[x] + 1] - first[own[x]]
+            met = owner[np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
+            shared = np.bincount(met, minlength=len(sets))
+            near = np.flatnonzero(todo & (shared >= similarity * (sizes + sizes[x] - shared) - 1e-9))
+            todo[near] = False
+            queue += near.tolist()
+            edges += [(names[x], names[y]) for y in near]
+    return edges
+
+
+def similar_edges(docs: DataFrame, signed: DataFrame, size: int = WIDE, similarity: float = SIMILAR) -> DataFrame:
+    """a, b: edges whose components are those of all links between the distinct shingle sets of docs. signed: see signatures."""
+    placed = table(signed.groupBy("fp").agg(F.first("bands").alias("bands")).select("fp", F.explode("bands").alias("band")), "bands")
+    firsts = placed.groupBy("band").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
+    stars = table(placed.join(firsts, "band").where("a <> fp").select("a", F.col("fp").alias("b")).distinct(), "stars")
+    groups = components(stars).select(F.col("node").alias("fp"), F.col("label").alias("group"))
+    chosen = signed.groupBy("fp").agg(F.min("key").alias("key")).join(groups, "fp")
+    texts = docs.select(F.xxhash64("text").alias("key"), "text").join(chosen, "key").select("group", "fp", "text").dropDuplicates(["group", "fp"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by group; only the hashes of the group at hand are held."""
+
+        def out() -> pa.RecordBatch:
+            edges = _similar_forest(names, sets, similarity)
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        last, names, sets = None, [], []
+        for b in batches:
+            for group, fp, text in zip(*(b.column(k) for k in range(3)), strict=True):
+                if (group := group.as_py()) != last:
+                    if len(names) > 1:
+                        yield out()
+                    last, names, sets = group, [], []
+                names.append(fp.as_py())
+                sets.append(shingle_set(text.as_py(), size))
+        if len(names) > 1:
+            yield out()
+
+    return arrow_map(texts.repartition("group").sortWithinPartitions("group"), run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, size: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id for every row of docs."""
-    prints, rooted, roots = _classes(docs, threshold, size)
+    prints = table(fingerprints(docs, size), "fingerprints")
+    rooted, roots = _classes(prints, lambda classes: link_edges(classes, threshold))
     of_class = table(rooted.join(roots, "root").select("fp", "component_id"), "components")
     return prints.join(of_class, "fp").select("doc_id", "fp", "component_id")
 
 
-def _classes(docs: DataFrame, threshold: int, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Fingerprints (doc_id, fp); classes of equal ones (fp, rep: smallest doc_id, root: names the component); components (root, component_id)."""
-    prints = table(fingerprints(docs, size), "fingerprints")
+def _classes(prints: DataFrame, edges_of: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal prints (fp, rep: smallest doc_id, root: names the component); components (root, component_id)."""
     classes = table(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    labels = components(link_edges(classes, threshold))
+    labels = components(edges_of(classes))
     rooted = table(classes.join(labels, classes.fp == labels.node, "left").select("fp", "rep", F.coalesce("label", "fp").alias("root")), "rooted")
-    return prints, rooted, table(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "roots")
+    return rooted, table(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "roots")
 
 
 def one_of_each(docs: DataFrame, threshold: int = THRESHOLD, size: int = SHINGLE) -> DataFrame:
     """The rows of docs without near-duplicates: of each component the document with the smallest doc_id (of rows that repeat a
     doc_id, one). Rows without a doc_id stay only if no document of their component has one, and then one of them."""
+    prints = table(fingerprints(docs, size), "fingerprints")
+    return _one_of_each(docs, prints, lambda classes: link_edges(classes, threshold), lambda t: fingerprint_of(t, size))
+
+
+def one_of_similar(docs: DataFrame, size: int = WIDE, similarity: float = SIMILAR) -> DataFrame:
+    """As one_of_each, but texts are linked whose shingle sets have a Jaccard similarity of at least this."""
+    signed = table(signatures(docs, size), "signatures")
+    return _one_of_each(docs, signed, lambda _: similar_edges(docs, signed, size, similarity), lambda t: _set_key(shingle_set(t, size)))
+
+
+def _one_of_each(docs: DataFrame, prints: DataFrame, edges_of: Callable[[DataFrame], DataFrame], print_of: Callable[[str | None], int]) -> DataFrame:
     cols = docs.columns
-    prints, rooted, roots = _classes(docs, threshold, size)
+    rooted, roots = _classes(prints, edges_of)
     kept = roots.where("component_id is not null").select(F.col("component_id").alias("__tm_id"))
     named = docs.join(kept, F.col("doc_id") == F.col("__tm_id"), "left_semi").dropDuplicates(["doc_id"])
     if prints.where("doc_id is null").isEmpty():
         return named.select(*cols)
     nameless = roots.where("component_id is null").select("root")
     held = rooted.join(nameless, "root", "left_semi").select(F.col("fp").alias("__tm_fp"), F.col("root").alias("__tm_root"))
-    rest = fingerprinted(docs.where("doc_id is null"), size).join(held, "__tm_fp").dropDuplicates(["__tm_root"])
+    rest = fingerprinted(docs.where("doc_id is null"), print_of).join(held, "__tm_fp").dropDuplicates(["__tm_root"])
     return named.select(*cols).unionByName(rest.select(*cols))
 
 
-def fingerprinted(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+def fingerprinted(docs: DataFrame, print_of: Callable[[str | None], int] = fingerprint_of) -> DataFrame:
     """docs with the column __tm_fp."""
 
     @F.pandas_udf("long")
     def fp(texts):
         import pandas as pd
 
-        return pd.Series(np.array([fingerprint_of(t, size) for t in texts], np.uint64).view(np.int64))
+        return pd.Series(np.array([print_of(t) % (1 << 64) for t in texts], np.uint64).view(np.int64))
 
     return docs.withColumn("__tm_fp", fp("text"))
 
