@@ -336,6 +336,16 @@ def test_html():
         html.main_text(odd)
 
 
+def test_html_article_is_a_container():
+    from textmatch.llm import html
+
+    long, short = "Many words, in order. " * 150, "A few words, at the end. " * 4
+    for page in (f"<body><h1>T</h1><p>{long}</p><p>{short}</p></body>", f"<body><div><h1>T</h1><p>{long}</p><p>{short}</p></div><nav>menu</nav></body>"):
+        assert html.main_text(page) == f"T\n\n{long.strip()}\n\n{short.strip()}"
+    assert html.main_text(f"<body><nav>menu</nav><div><h1>T</h1><div><p>{long}</p></div></div><footer>foot</footer>") == f"T\n\n{long.strip()}"
+    assert html.main_text(f"<div><div><p>{long}</p><p>{long}</p></div><div><p>{short}</p></div></div>").endswith(f"\n\n{short.strip()}")
+
+
 def test_html_pages(spark):
     from html import unescape
 

@@ -2,7 +2,7 @@
 
 Every text node has the path of tags from the root to it. For each path of a page, text length and punctuation are summed and divided
 by its number of nodes; both ratios are smoothed over neighbouring paths in page order, fused by their product, and paths at or
-above a share of the page's mean score are content. The smallest element that holds nearly all content text is the article;
+above a share of the page's mean score are content. The smallest element that holds all content text, and other text if that is one block, is the article;
 all its blocks are kept in page order (so a heading or a one-word paragraph is not lost), but for elements that are furniture by their
 tag, role, class or id: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.
 
@@ -24,8 +24,6 @@ from pyspark.sql import DataFrame
 from .common import arrow_map, read
 
 THRESHOLD = 0.5
-#: Share of the content text that the article must hold.
-HOLDS = 0.9
 BATCH_ROWS = 512
 
 _TOKEN = re.compile(
@@ -191,6 +189,15 @@ def _content(nodes: list[tuple[_Element, str]]) -> set[str]:
     return {p for p, f in zip(paths, fused, strict=True) if f >= THRESHOLD * mean}
 
 
+def _chain(x: _Element) -> list[_Element]:
+    """The elements from the root to x."""
+    out = []
+    while x is not None:
+        out.append(x)
+        x = x.parent
+    return out[::-1]
+
+
 def main_text(html: str | None) -> str:
     found = blocks(html or "")
     if not found:
@@ -200,23 +207,19 @@ def main_text(html: str | None) -> str:
     marked = bool(inner) and sum(len(t) for x, t in inner if x.path in chosen) * 2 >= sum(len(t) for x, t in found if x.path in chosen)
     if marked:  # the page names its article
         return "\n\n".join(t for _, t in inner)
-    held: dict[int, int] = {}
-    depth: dict[int, tuple[int, _Element]] = {}
-    total = 0
-    for x, text in found:
+    chains = [_chain(x) for x, _ in found]
+    article = None
+    for (x, _), chain in zip(found, chains, strict=True):
         if x.path not in chosen:
             continue
-        total += len(text)
-        chain, y = [], x
-        while y is not None:
-            chain.append(y)
-            y = y.parent
-        for d, y in enumerate(reversed(chain)):
-            held[id(y)] = held.get(id(y), 0) + len(text)
-            depth[id(y)] = (d, y)
-    article = max(((d, held[k], y) for k, (d, y) in depth.items() if held[k] >= HOLDS * total), key=lambda z: (z[0], z[1]))[2]
-    while article.tag not in BLOCK and article.parent is not None:
-        article = article.parent
+        if article is None:
+            article = chain
+        else:
+            same = next((k for k, (a, b) in enumerate(zip(article, chain, strict=False)) if a is not b), min(len(article), len(chain)))
+            article = article[:same]
+    while len(article) > 1 and (article[-1].tag not in BLOCK or sum(len(c) >= len(article) and c[len(article) - 1] is article[-1] for c in chains) == 1):
+        article = article[:-1]  # a lone block is no container
+    article = article[-1]
 
     def inside(x: _Element) -> bool:
         while x is not None and x is not article:
