@@ -394,6 +394,22 @@ def test_paraphrases(spark):
     assert {(r["doc_id"], r["item_id"]) for r in blocks.collect()} == {(100, 2), (101, 4)}
 
 
+def test_leaks_need_no_latent_space():
+    from textmatch.llm import leaks
+
+    rng = np.random.default_rng(6)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(300)]
+    texts = [" ".join(rng.choice(vocabulary, n)) for n in [*rng.integers(8, 120, 300), *range(1, 8)]]
+    items = leaks.Items(list(enumerate(texts)))
+    search = leaks.Search(items, np.zeros((len(items.vocabulary) + 1, 8), np.float32))  # finds nothing by cosine
+    for k, own in enumerate(items.codes):
+        words = own.copy()
+        if len(own) >= leaks.SHORT:  # no answer is needed as long as 0.8 of the words are there
+            words[rng.permutation(len(own))[: int(len(own) * (1 - leaks.LCS))]] = 0
+        text = np.concatenate([np.zeros(rng.integers(0, 90), np.int32), words, np.zeros(rng.integers(0, 90), np.int32)])
+        assert any(leak[0] == k and leak[2] >= leaks.LCS for leak in search.leaks(text))
+
+
 @pytest.mark.parametrize(("a", "b", "n"), [("abcde", "ace", 3), ("abc", "xyz", 0), ("aab", "aba", 2), ("", "a", 0)])
 def test_lcs(a, b, n):
     from textmatch.llm import leaks

@@ -4,7 +4,9 @@
 2. Terms are weighted by their document frequency over the whole corpus (those in many documents not at all). Passages of PASSAGE words, of documents and items, are the rows
    of a TF-IDF matrix A. Its randomised SVD takes one pass: each task adds up Z = A'(AW) and G = (AW)'(AW) for a random W; with G = R'R,
    Z inv(R) = A'Q for the orthonormal Q of AW, and its singular vectors span the latent space.
-3. Each document's overlapping windows meet the items by cosine in that space; a window at COSINE or more is a candidate.
+3. Each document's overlapping windows meet the items by cosine in that space; a window at COSINE or more is a candidate. Beside that, exactly:
+   a stretch that shares as many word pairs with an item as must stay when words of it are replaced down to PARAPHRASE (for short items, none) is one too,
+   so neither the rank nor the number of items can lose a copy that is verbatim or has replaced words.
 4. A candidate is checked by the longest common subsequence of the item and the words around the window: LCS of the item's words is a
    leak; from PARAPHRASE on it is one if the item's answer (what follows "answer:", else its last sentence) is there too.
 
@@ -201,24 +203,74 @@ class Search:
         self.codes, self.answers, self.space = [c.tolist() for c in items.codes], items.answers, space
         self.weighted = np.abs(space).sum(axis=1) > 0
         self.by_size = {}
+        self.base = len(space)  # a pair of words is first * base + second; an item of one word has it with 0
+        pairs = [np.unique(c[:-1].astype(np.int64) * self.base + c[1:] if len(c) > 1 else c.astype(np.int64) * self.base) for c in items.codes]
+        owner = np.repeat(np.arange(len(pairs)), [len(p) for p in pairs])
+        pairs = np.concatenate(pairs)
+        order = np.argsort(pairs, kind="stable")
+        self.pairs, first = np.unique(pairs[order], return_index=True)
+        self.pair_owner, self.pair_first = owner[order], np.r_[first, len(order)]
+        self.sizes = np.array([len(c) for c in items.codes])
+        kept = np.where(self.sizes < SHORT, self.sizes, np.ceil(PARAPHRASE * self.sizes - 1e-9)).astype(np.int64)
+        self.need = np.maximum(1, self.sizes - 1 - 2 * (self.sizes - kept))
+        self.windows = {}
         found = items.windows()
+        for k, size, c in found:
+            self.windows.setdefault(k, []).append((size, c))
         for size in sorted({s for _, s, _ in found}):
             mine = [(k, c) for k, s, c in found if s == size]
             self.by_size[size] = np.array([k for k, _ in mine]), _unit(np.stack([space[c].sum(axis=0) for _, c in mine])).T.copy()
 
+    def _exact(self, codes: np.ndarray) -> dict[int, list]:
+        """For items that share enough word pairs with a stretch of a document: (None, chunk, chunks of a window)."""
+        wide = codes.astype(np.int64)
+        keys, at = wide[:-1] * self.base + wide[1:], np.flatnonzero((codes[:-1] > 0) & (codes[1:] > 0))
+        keys = keys[at]
+        if (self.sizes == 1).any():
+            alone = np.flatnonzero(codes)
+            keys, at = np.r_[keys, wide[alone] * self.base], np.r_[at, alone]
+        place = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        hit = self.pairs[place] == keys
+        place, at = place[hit], at[hit]
+        first = self.pair_first[place]
+        n = self.pair_first[place + 1] - first
+        if not n.sum():
+            return {}
+        owner = self.pair_owner[np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
+        at = np.repeat(at, n)
+        order = np.lexsort((at, owner))
+        owner, at = owner[order], at[order]
+        last = np.arange(len(at)) + self.need[owner] - 1
+        within = np.minimum(last, len(at) - 1)
+        good = (last < len(at)) & (owner[within] == owner) & (at[within] - at <= self.sizes[owner] * 3 // 2)
+        out: dict[int, list] = {}
+        for key in np.unique(owner[good] * len(codes) + at[good] // STEP).tolist():
+            item, chunk = divmod(key, len(codes))
+            out.setdefault(item, []).append((None, chunk, self.windows[item][0][0]))
+        return out
+
+    def _cosine(self, item: int, codes: np.ndarray) -> float:
+        """Greatest cosine of a window of the item with these words."""
+        mine = _unit(self.space[codes].sum(axis=0)[None])[0]
+        return max(float(_unit(self.space[c].sum(axis=0)[None])[0] @ mine) for _, c in self.windows[item])
+
     def leaks(self, codes: np.ndarray) -> list[tuple[int, float, float]]:
         """(item, cosine, share of the item in the longest common subsequence)."""
         if not len(codes):
             return []
+        best = self._exact(codes)
         known = np.flatnonzero(self.weighted[codes])
-        if not len(known):
-            return []
+        if len(known):
+            self._latent(codes, known, best)
+        return self._checked(codes, best)
+
+    def _latent(self, codes: np.ndarray, known: np.ndarray, best: dict[int, list]) -> None:
+        """Adds (cosine, chunk, chunks of the window) of the windows that are like an item."""
         n_chunks = -(-len(codes) // STEP)
         chunk = known // STEP
         first = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
         chunks, count = np.zeros((n_chunks, self.space.shape[1]), np.float32), np.bincount(chunk, minlength=n_chunks)
         chunks[chunk[first]] = np.add.reduceat(self.space[codes[known]], first, axis=0)
-        best: dict[int, list] = {}
         for size, (owner, vectors) in self.by_size.items():
             n = max(1, n_chunks - size + 1)
             parts = range(min(size, n_chunks))
@@ -228,6 +280,8 @@ class Search:
                 cosine = _unit(sum(chunks[rows + k] for k in parts)) @ vectors
                 for i, j in zip(*np.nonzero(cosine >= COSINE), strict=True):
                     best.setdefault(int(owner[j]), []).append((float(cosine[i, j]), int(rows[i]), size))
+
+    def _checked(self, codes: np.ndarray, best: dict[int, list]) -> list[tuple[int, float, float]]:
         out = []
         for item, hits in best.items():
             own, done, top = self.codes[item], -1, (0.0, 0.0, False)
@@ -239,6 +293,8 @@ class Search:
                 near = codes[lo:hi].tolist()
                 share = lcs(own, near) / len(own)
                 if share >= PARAPHRASE:
+                    if cosine is None:
+                        cosine = self._cosine(item, codes[i * STEP : (i + size) * STEP])
                     asked = self.answers[item]
                     top = max(top, (share, cosine, lcs(asked, near) >= ANSWER * len(asked)))
             share, cosine, answered = top
