@@ -410,6 +410,18 @@ def test_leaks_need_no_latent_space():
         assert any(leak[0] == k and leak[2] >= leaks.LCS for leak in search.leaks(text))
 
 
+def test_each_stretch_of_a_leak_is_judged():
+    from textmatch.llm import leaks
+
+    own = [f"w{k}" for k in range(40)]
+    items = leaks.Items([(0, f"{' '.join(own[:30])}. {' '.join(own[30:])}.")])  # the last ten words are the answer
+    search = leaks.Search(items, np.eye(41, dtype=np.float32))
+    code = lambda keep: np.array([items.vocabulary[w] if k in keep else 0 for k, w in enumerate(own)], np.int32)
+    template, answered = code(range(29)), code([*range(16), *range(30, 40)])
+    assert not search.leaks(template) and [x[0] for x in search.leaks(answered)] == [0]
+    assert [(x[0], x[2]) for x in search.leaks(np.concatenate([template, np.zeros(200, np.int32), answered]))] == [(0, 26 / 40)]
+
+
 @pytest.mark.parametrize(("a", "b", "n"), [("abcde", "ace", 3), ("abc", "xyz", 0), ("aab", "aba", 2), ("", "a", 0)])
 def test_lcs(a, b, n):
     from textmatch.llm import leaks

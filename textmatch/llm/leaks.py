@@ -284,7 +284,8 @@ class Search:
     def _checked(self, codes: np.ndarray, best: dict[int, list]) -> list[tuple[int, float, float]]:
         out = []
         for item, hits in best.items():
-            own, done, top = self.codes[item], -1, (0.0, 0.0, False)
+            own, done, top = self.codes[item], -1, None
+            need = 1.0 if len(own) < SHORT else LCS
             for cosine, i, size in sorted(hits, key=lambda h: h[1]):
                 if i <= done:  # that stretch has been compared
                     continue
@@ -292,14 +293,13 @@ class Search:
                 done = i + 1
                 near = codes[lo:hi].tolist()
                 share = lcs(own, near) / len(own)
-                if share >= PARAPHRASE:
+                asked = self.answers[item]
+                if share >= need or len(own) >= SHORT and share >= PARAPHRASE and lcs(asked, near) >= ANSWER * len(asked):
                     if cosine is None:
                         cosine = self._cosine(item, codes[i * STEP : (i + size) * STEP])
-                    asked = self.answers[item]
-                    top = max(top, (share, cosine, lcs(asked, near) >= ANSWER * len(asked)))
-            share, cosine, answered = top
-            need = 1.0 if len(own) < SHORT else LCS
-            if share >= need or len(own) >= SHORT and share >= PARAPHRASE and answered:
+                    top = max(top or (share, cosine), (share, cosine))
+            if top:
+                share, cosine = top
                 out.append((item, cosine, share))
         return out
 
