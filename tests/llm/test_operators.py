@@ -286,9 +286,42 @@ def test_token_files(spark, docs, texts, odd, none, tmp_path):
             seen += whole
             for k in reversed(range(len(whole))):
                 assert (reader.document(k) == whole[k][2]).all()
-    expected = sorted(((i is not None, i or 0, t or "") for i, t, _ in ODD))
-    for (_, _, ids), (_, _, t) in zip(seen, expected, strict=True):
-        assert ids.tolist() == [*model.encode(t, add_special_tokens=False).ids, 0]
+    expected = sorted((i is not None, i or 0, [*model.encode(t or "", add_special_tokens=False).ids, 0]) for i, t, _ in ODD)
+    assert sorted((i is not None, i or 0, ids.tolist()) for i, _, ids in seen) == expected and [i for i, *_ in seen] == [x[1] if x[0] else None for x in expected]
+
+
+def test_token_segments_equal_the_library(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from textmatch.llm import tokens
+
+    monkeypatch.setattr(tokens, "SEGMENT", 3000)
+    rng, parts = np.random.default_rng(2), ["word", "it's", "'ll", "x'sy", " ", "  ", "\n", "12", "é", "ß\u00a0", "–", "?!", "'", "''s", "日本", "<|endoftext|>", "a" * 40, "\t'd", "I'VE", "we'red"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 400))) for _ in range(60)] + ["", "plain words go on " * 900, "日 plain words " * 500, "x" * 9000, ""]
+    model, encoder = Tokenizer.from_file(tokens.tokenizer_path()), tokens.Encoder(tokens.tokenizer_path())
+    units = tokens.units_of
+    monkeypatch.setattr(tokens, "units_of", lambda data, offsets: units(data, offsets, 1000))
+    for array in (pa.array(texts), pa.array(["skipped", *texts], pa.large_string()).slice(1)):
+        flat, sizes, open_ = [], [], 0
+        for ids, ended, left in encoder.segments(array):
+            flat.append(ids)
+            ended = ended.tolist()
+            if ended:
+                ended[0], open_ = ended[0] + open_, 0
+            sizes += ended
+            open_ += left
+        expected = [[*model.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+        assert sizes == list(map(len, expected)) and np.concatenate(flat).tolist() == [x for ids in expected for x in ids]
+
+
+def test_token_files_keep_the_type_of_ids(spark):
+    from textmatch.llm import tokens
+
+    docs = spark.createDataFrame([("b", "two words"), (None, "none"), ("a", None), ("b", "two words"), (None, "other")], "doc_id string, text string").withColumn("start", F.lit("clash"))
+    rows = tokens.tokenized(docs).orderBy("start").collect()
+    assert [r["doc_id"] for r in rows] == [None, None, "a", "b", "b"] and rows[3]["ids_crc32"] == rows[4]["ids_crc32"]
+    assert [r["start"] for r in rows] == np.cumsum([0] + [r["n_tokens"] for r in rows])[:-1].tolist()
 
 
 def test_token_file_notices_damage(tmp_path):

@@ -1,7 +1,9 @@
-"""What the operators of this subpackage share: words, whole-text reading, let bindings, tables that cut lineage."""
+"""What the operators of this subpackage share: words, whole-text reading, let bindings, folds, tables that cut lineage, Arrow batches."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -35,15 +37,18 @@ def n_words_of(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; only where it is unset (tests), a temporary one is set."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local master (tests) gets a temporary one; on a
+    cluster that would be one machine's disk, so it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             at = held.get()
-        else:
+        elif spark.sparkContext.master.partition("[")[0] == "local":
             at = tempfile.mkdtemp(prefix="textmatch-")
             spark.sparkContext.setCheckpointDir(at)
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return at.rstrip("/")
 
 
@@ -52,11 +57,33 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/textmatch/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+#: Row groups of tables; a writing task holds one in memory.
+ROW_GROUP = 1 << 24
+_tables: list[str] = []
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder as Parquet and read from there: lineage is cut, lost executors cost nothing, and the optimizer sees the true size."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    _tables.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tm_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that nothing reads any more."""
+    for t in tables:
+        drop_path(t.sparkSession, t._tm_path)
+        _tables.remove(t._tm_path)
+
+
+def drop_all(spark: SparkSession, but: DataFrame) -> None:
+    """Delete all tables so far but one; for those who know that no plan over the others is left."""
+    for path in [p for p in _tables if p != but._tm_path]:
+        drop_path(spark, path)
+        _tables.remove(path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -79,7 +106,35 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(app)
 
 
+#: Bytes of an Arrow batch on its way to Python (a longer row is a batch of its own).
+BATCH_BYTES = 1 << 22
+
+
 def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
-    """df.mapInArrow with this package at hand on the workers."""
-    ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    """df.mapInArrow with this package at hand on the workers. Batches are bounded by their bytes (a session setting, only ever lowered), and
+    a worker gives its memory back when a task ends, since it outlives the task."""
+    spark = df.sparkSession
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, str(1 << 30)))) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the system."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return  # another C library

@@ -1,30 +1,33 @@
 """Token ids in seekable zstandard files.
 
 A file is: independent zstandard frames of FRAME_BYTES of little-endian uint32 ids each (the last shorter), with content checksums;
-a skippable frame with the index of its documents (doc_id and number of ids, zstandard-compressed); and the seek table, a
-skippable frame at the very end with the compressed and plain size and the checksum (low 32 bits of XXH64) of each frame, as in the
-published seekable format. A reader takes the tail, then only the frames that hold the documents asked for.
-
-Documents are range-partitioned by doc_id, so files follow each other in ascending order and one task holds a frame and a batch at
-a time. A task writes to a name of its own and renames at the end; only files whose task reported back are read, so retried or
-speculative tasks leave nothing behind that counts.
-
-Texts are cut into the tokenizer's pre-tokens by its published pattern on the JVM; each distinct pre-token of a batch is encoded by the
-tokenizers library once (a bounded memo keeps frequent ones). Texts with characters whose class may differ between the two
-regex engines, or with a special token's string, go to the library whole. tests/llm holds this against encoding whole texts.
-
-Nulls: a null text is empty and gives the end id alone. Null doc_ids come first. Rows that repeat a doc_id lie next to each other.
+a skippable frame with the index of its documents (doc_id and number of ids as an Arrow stream, zstandard-compressed, so that ids of any
+type are kept); and the seek table, a skippable frame at the very end with the compressed and plain size and the checksum (low 32 bits of
+XXH64) of each frame, as in the published seekable format. A reader takes the tail, then only the frames that hold the documents asked for.
+
+Documents are range-partitioned by doc_id and, where ids are null or repeat, by a hash of the text, so files follow each other in ascending
+order, no id is a task of its own, and one task holds a frame and a segment of text at a time. A task writes to a name of its own and renames
+at the end; only files whose task reported back are read, so retried or speculative tasks leave nothing behind that counts.
+
+Texts are cut into the tokenizer's pre-tokens by its published pattern, a segment of SEGMENT bytes at a time as arrays of byte classes; each
+distinct pre-token of a segment is encoded by the tokenizers library once, and a memo of MEMO_ENTRIES keeps those seen before until the task ends.
+Texts with characters whose class may differ between Unicode versions, or with a special token's string, go to the library whole. A text of
+more than UNIT bytes is cut at spaces between two ASCII letters, where pre-tokens always end, so no text needs memory in proportion to its length
+unless it has no such space. tests/llm holds all this against encoding whole texts.
+
+Nulls: a null text is empty and gives the end id alone. Null doc_ids come first. Rows that repeat a doc_id lie next to each other, in the order of
+a hash of their texts (ties are rows alike, so the files agree). No rows give no files and an empty result. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,23 +37,195 @@ from .common import arrow_map, fresh_path, read
 END_ID = 0
 FRAME_BYTES = 1 << 18
 LEVEL = 3
-MEMO_SIZE = 250_000
-BATCH_ROWS = 512
+#: Bytes of text that are cut at a time, and from which a text is taken in parts.
+SEGMENT, UNIT = 1 << 21, 1 << 20
+#: Pre-tokens that the memo holds, at some 60 bytes each.
+MEMO_ENTRIES = 1 << 19
+#: Rows of a batch that goes back to the JVM.
+ROWS = 10_000
 SEEK_MAGIC, INDEX_MAGIC, FOOTER_MAGIC = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
-#: The published pre-token pattern; (?U) gives \s its Unicode meaning, as in the library.
-PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Scripts that have long been in Unicode: both engines class these characters alike.
-SAFE = r"^[\x00-\x7F\xA0-ɏͰ-ͷΑ-ωА-я‐-‧‰-›€]*\z"
+#: The published pre-token pattern is 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+ with these classes.
+LETTER, NUMBER, BLANK, OTHER, UNSURE = range(5)
+_BLANKS = frozenset([9, 10, 11, 12, 13, 32, 0xA0])
+#: Scripts that have long been in Unicode: every version classes these characters alike.
+_SURE = ((0x00, 0x7F), (0xA0, 0x24F), (0x370, 0x377), (0x391, 0x3C9), (0x410, 0x44F), (0x2010, 0x2027), (0x2030, 0x203A), (0x20AC, 0x20AC))
 
 _held: dict = {}
 
 
+def _class_of(point: int) -> int:
+    if not any(lo <= point <= hi for lo, hi in _SURE):
+        return UNSURE
+    if point in _BLANKS:
+        return BLANK
+    return {"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(point))[0], OTHER)
+
+
+_TOP = 0x20AD
+_CLASSES = np.array([*map(_class_of, range(_TOP)), UNSURE], np.uint8)
+_ASCII = np.r_[_CLASSES[:128], np.full(128, UNSURE, np.uint8)]
+#: Masks of the first n bytes of eight.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)] + [(1 << 64) - 1] * 7, np.uint64)
+_ASCII_LETTER = np.array([chr(c).isascii() and chr(c).isalpha() for c in range(256)])
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def byte_classes(data: np.ndarray) -> np.ndarray:
+    """Class of the character that each byte of UTF-8 belongs to."""
+    out = _ASCII[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        end = len(data) - 1
+        first, second, third = (data[np.minimum(lead + k, end)].astype(np.int32) for k in range(3))
+        point = np.where(first < 0xE0, (first & 31) << 6 | second & 63, (first & 15) << 12 | (second & 63) << 6 | third & 63)
+        of = np.where(first < 0xF0, _CLASSES[np.minimum(point, _TOP)], np.uint8(UNSURE))
+        for k in range(3):
+            longer = first >= (0, 0, 0xE0)[k]
+            out[np.minimum(lead[longer] + k, end)] = of[longer]
+    return out
+
+
+def piece_starts(data: np.ndarray, classes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sorted places where pre-tokens begin in texts that lie one after another; text k is data[bounds[k]:bounds[k + 1]]."""
+    if not len(data):
+        return np.zeros(0, np.int64)
+    change = np.empty(len(data), bool)
+    change[:1] = True
+    np.not_equal(classes[1:], classes[:-1], out=change[1:])
+    change[bounds[:-1][bounds[:-1] < len(data)]] = True
+    runs = np.flatnonzero(change)
+    ends = np.r_[runs[1:], len(data)]
+    of = classes[runs]
+    begins = np.zeros(len(data) + 1, bool)
+    begins[bounds] = True
+    followed = ~begins[ends]  # another run of the same text comes behind
+    blank = of == BLANK
+    last = ends - 1
+    last = np.where(blank & (data[last] >= 0x80), last - 1, last)  # a blank of two bytes
+    out = np.zeros(len(data), bool)
+    out[runs] = True
+    before_text = blank & followed
+    out[last[before_text]] = True  # all blanks but the last are a piece; the last, if it is a space, goes with what follows
+    joined = before_text & (data[last] == 0x20)
+    out[ends[joined]] = False
+    mark = np.flatnonzero((of == OTHER) & (ends - runs == 1) & (data[runs] == 0x27) & out[runs] & followed)
+    mark = mark[of[np.minimum(mark + 1, len(of) - 1)] == LETTER]
+    if len(mark):
+        at, stop = ends[mark], ends[mark + 1]
+        one, two = data[at], np.where(stop - at > 1, data[np.minimum(at + 1, len(data) - 1)], 0)
+        size = np.where(np.isin(one, np.frombuffer(b"stmd", np.uint8)), 1, 0)
+        for pair in (b"re", b"ve", b"ll"):
+            size = np.where((one == pair[0]) & (two == pair[1]), 2, size)
+        at, stop, size = at[size > 0], stop[size > 0], size[size > 0]
+        out[at] = False
+        rest = at + size
+        out[rest[rest < stop]] = True
+    return np.flatnonzero(out)
+
+
+def units_of(data: np.ndarray, offsets: np.ndarray, unit: int = UNIT) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of parts of texts (offsets: bounds of the texts) and, for each part, whether its text ends there."""
+    long = np.flatnonzero(np.diff(offsets) > unit)
+    more = []
+    for k in long.tolist():
+        at, end = int(offsets[k]), int(offsets[k + 1])
+        while end - at > unit:
+            look, cut = at + unit, None
+            while cut is None and look < end - 2:
+                w = data[look : min(end, look + unit)]
+                hits = _ASCII_LETTER[w[:-2]] & (w[1:-1] == 0x20) & _ASCII_LETTER[w[2:]]
+                cut = look + 1 + int(hits.argmax()) if hits.any() else None
+                look += unit - 2
+            if cut is None:
+                break
+            more.append(cut)
+            at = cut
+    starts = np.concatenate([offsets[:-1], np.array(more, offsets.dtype)])
+    ends_text = np.r_[np.ones(len(offsets) - 1, bool), np.zeros(len(more), bool)]
+    order = np.lexsort((~ends_text, starts))  # a text that is empty comes before its follower, parts come behind the start of theirs
+    starts, own = starts[order], ends_text[order]
+    return np.r_[starts, offsets[-1]], np.r_[own[1:], True]
+
+
+def _byte_alphabet() -> list[str]:
+    """The published letter for each byte: itself if it can be seen, else the next one from U+0100 on."""
+    seen = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
+    other = iter(range(256, 512))
+    return [chr(b) if b in seen else chr(next(other)) for b in range(256)]
+
+
+class Memo:
+    """Ids of pre-tokens of up to 15 bytes: a hash table of 16-byte keys (the bytes and their number), probed as arrays."""
+
+    def __init__(self, most: int = MEMO_ENTRIES):
+        self.most, self.bits = most, most.bit_length() + 1
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        self.low, self.high = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
+        self.ids, self.offsets = np.full(4096, END_ID, np.uint32), np.zeros(1025, np.int64)
+        self.offsets[1], self.n = 4, 1  # entry 0 is the end id, which no key has
+
+    def _homes(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        h = low * np.uint64(0x9E3779B97F4A7C15) ^ high * np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Entry of each key, -1 where there is none."""
+        out = np.full(len(low), -1, np.int32)
+        at = self._homes(low, high)
+        entry = self.slots[at]
+        todo = np.flatnonzero(entry >= 0)
+        entry, at = entry[todo], at[todo]
+        while len(todo):
+            same = (self.low[entry] == low[todo]) & (self.high[entry] == high[todo])
+            out[todo[same]] = entry[same]
+            todo, at = todo[~same], at[~same] + 1 & len(self.slots) - 1
+            entry = self.slots[at]
+            full = entry >= 0
+            todo, at, entry = todo[full], at[full], entry[full]
+        return out
+
+    def add(self, ids: list[int], counts: list[int]) -> int:
+        """New entries with these numbers of ids; the first one's number. They have no key."""
+        k, n = len(counts), len(ids)
+        while self.n + k > len(self.low):
+            self.low, self.high = (np.r_[x, np.zeros_like(x)] for x in (self.low, self.high))
+            self.offsets = np.r_[self.offsets, np.zeros(len(self.offsets) - 1, np.int64)]
+        at = int(self.offsets[self.n]) // 4
+        while at + n > len(self.ids):
+            self.ids = np.r_[self.ids, np.zeros_like(self.ids)]
+        self.ids[at : at + n] = ids
+        self.offsets[self.n + 1 : self.n + 1 + k] = 4 * (at + np.cumsum(counts))
+        self.n += k
+        return self.n - k
+
+    def name(self, first: int, low: np.ndarray, high: np.ndarray) -> None:
+        """Gives keys, which are distinct and new, to the entries from first on."""
+        k = len(low)
+        self.low[first : first + k], self.high[first : first + k] = low, high
+        at, entry = self._homes(low, high), np.arange(first, first + k, dtype=np.int32)
+        while len(at):
+            free = np.flatnonzero(self.slots[at] < 0)
+            self.slots[at[free]] = entry[free]  # of several that want a slot one gets it
+            lost = self.slots[at] != entry
+            at, entry = at[lost] + 1 & len(self.slots) - 1, entry[lost]
+
+    def taken(self, entries: np.ndarray) -> np.ndarray:
+        """Ids of the entries, one after another."""
+        held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), self.n, [None, pa.py_buffer(self.offsets[: self.n + 1]), pa.py_buffer(self.ids)])
+        got = held.take(pa.array(entries))
+        return np.frombuffer(got.buffers()[2], "<u4", int(np.frombuffer(got.buffers()[1], np.int64)[len(entries)]) // 4) if len(entries) else np.zeros(0, "<u4")
+
+
 class Encoder:
     """Ids of pre-tokens and of whole texts, with a bounded memo of pre-tokens."""
 
@@ -60,10 +235,8 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         if hasattr(self.model.model, "_resize_cache"):  # the memo takes its place
             self.model.model._resize_cache(0)
-        end = self.model.encode("\n", add_special_tokens=False).ids
-        self.line_end = end[0] if len(end) == 1 else -1
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.alphabet = dict(enumerate(_byte_alphabet()))
+        self.memo = Memo()
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -71,73 +244,113 @@ class Encoder:
             _held[path] = cls(path)
         return _held[path]
 
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def _learn(self, words: list[str]) -> None:
-        """Words joined by line ends come apart there again, and no id of theirs is a line end's; where that fails, each is encoded alone."""
-        plain = [w for w in words if w.strip(" ").isalnum()]
-        parts = [plain[k : k + 50] for k in range(0, len(plain), 50)]
-        for part, e in zip(parts, self.model.encode_batch_fast(["\n".join(p) for p in parts], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.line_end).tolist()
-            if len(cuts) == len(part) - 1:
-                raw = ids.tobytes()
-                for w, start, end in zip(part, [-1, *cuts], [*cuts, len(ids)], strict=True):
-                    self.memo[w] = raw[4 * start + 4 : 4 * end]
-        rest = [w for w in words if w not in self.memo]
-        for w, e in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.memo[w] = np.array(e.ids, np.uint32).tobytes()
-
-    def known(self, words: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO_SIZE:  # what is not asked for again before the next time goes
-            self.memo, self.old = {}, self.memo
-        memo, old = self.memo, self.old
-        unseen = []
-        for w in words:
-            if w not in memo:
-                if w in old:
-                    memo[w] = old[w]
-                else:
-                    unseen.append(w)
-        self._learn(unseen)
-        return [self.memo[w] for w in words]
-
-    def documents(self, pieces: pa.ListArray, texts: pa.StringArray) -> Iterator[np.ndarray]:
-        """Ids of each document: from its pre-tokens, or where those are null from its text. The end id is appended."""
-        offsets = pieces.offsets.to_numpy()
-        flat = pieces.values[offsets[0] : offsets[-1]].dictionary_encode()
-        bits = self.known(flat.dictionary.to_pylist())
-        sizes = np.fromiter((len(b) // 4 for b in bits), np.int64, len(bits))
-        starts, ids, codes = np.r_[0, np.cumsum(sizes)][:-1], np.frombuffer(b"".join(bits), np.uint32), flat.indices.to_numpy()
-        offsets, none = offsets - offsets[0], pc.is_null(pieces).to_numpy(zero_copy_only=False)
-        for k in range(len(pieces)):
-            if none[k]:
-                got = self.whole(texts[k].as_py() or "")
-            else:
-                mine = codes[offsets[k] : offsets[k + 1]]
-                n = sizes[mine]
-                ends = np.cumsum(n)
-                got = ids[np.repeat(starts[mine] - ends + n, n) + np.arange(ends[-1] if len(n) else 0)]
-            yield np.r_[got, np.uint32(END_ID)].astype("<u4")
+    def forget(self) -> None:
+        self.memo.clear()
+
+    def merged(self, pieces: list[bytes]) -> tuple[list[int], list[int]]:
+        """Ids of pre-tokens by the library's merges, each pre-token in the byte alphabet, and their numbers."""
+        merge, ids, counts = self.model.model.tokenize, [], []
+        for x in b"\xff".join(pieces).decode("latin-1").translate(self.alphabet).split(self.alphabet[255]):  # no UTF-8 has this byte
+            got = merge(x)
+            ids += [t.id for t in got]
+            counts.append(len(got))
+        return ids, counts
+
+    def segments(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """texts: strings without nulls. Of each segment: its ids, the end id behind each text included; the numbers of ids, in this segment, of the
+        texts that end in it; and of ids that belong to a text that goes on."""
+        wide = pa.types.is_large_string(texts.type)
+        _, places, raw = texts.buffers()
+        offsets = np.frombuffer(places, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+        bounds, ends = units_of(data, offsets)
+        first = 0
+        while first < len(ends):
+            last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + SEGMENT, "right")) - 1)
+            last = min(last, len(ends))
+            yield self._segment(data[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first], ends[first:last])
+            first = last
+
+    def _entries(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Entries of the memo for pre-tokens of up to 15 bytes."""
+        padded = np.r_[data, np.zeros(16, np.uint8)]
+        eights = np.ndarray((len(data) + 8,), "<u8", padded, strides=(1,))
+        low, high = eights[starts] & _FIRST[sizes], eights[starts + 8] & _FIRST[np.maximum(sizes - 8, 0)] | sizes.astype(np.uint64) << np.uint64(56)
+        found = self.memo.find(low, high)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            order = new[np.lexsort((high[new], low[new]))]
+            differs = np.r_[True, (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]])]
+            one = order[differs]
+            raw = data.tobytes()
+            first = self.memo.add(*self.merged([raw[s:e] for s, e in zip(starts[one].tolist(), (starts[one] + sizes[one]).tolist(), strict=True)]))
+            self.memo.name(first, low[one], high[one])
+            found[order] = first + np.cumsum(differs) - 1
+        return found
+
+    def _segment(self, data: np.ndarray, bounds: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        if self.memo.n > self.memo.most:
+            self.memo.clear()
+        classes = byte_classes(data)
+        whole = np.zeros(len(ends), bool)  # goes to the library as it is
+        odd = np.flatnonzero(classes == UNSURE)
+        special = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))
+        whole[np.searchsorted(bounds, np.r_[odd, special], "right") - 1] = True
+        starts = piece_starts(data, classes, bounds)
+        if whole.any():
+            owner = np.searchsorted(bounds, starts, "right") - 1
+            starts = starts[~whole[owner] | (starts == bounds[owner])]
+        sizes = np.diff(np.r_[starts, len(data)])
+        alone = whole[np.searchsorted(bounds, starts, "right") - 1] if whole.any() else np.zeros(len(starts), bool)
+        short = (sizes <= 15) & ~alone
+        entries = np.empty(len(starts), np.int32)
+        entries[short] = self._entries(data, starts[short], sizes[short])
+        named = self.memo.n
+        if len(rest := np.flatnonzero(~short)):  # few; these are forgotten after the segment
+            texts = [data[s : s + n].tobytes() for s, n in zip(starts[rest].tolist(), sizes[rest].tolist(), strict=True)]
+            place = {x: named + k for k, x in enumerate(sorted(set(zip(alone[rest].tolist(), texts, strict=True))))}
+            if long := [x for library, x in place if not library]:
+                self.memo.add(*self.merged(long))
+            for library, x in place:
+                if library:
+                    self.memo.add(ids := self.model.encode(x.decode(), add_special_tokens=False).ids, [len(ids)])
+            entries[rest] = [place[x] for x in zip(alone[rest].tolist(), texts, strict=True)]
+        after = np.searchsorted(starts, bounds[1:])  # number of pieces up to the end of each part
+        after = np.where(bounds[1:] == len(data), len(starts), after)
+        count = np.diff(self.memo.offsets[: self.memo.n + 1]) // 4
+        total = np.r_[0, np.cumsum(count[entries])][after]
+        text_ends = np.flatnonzero(ends)
+        of_text = np.diff(np.r_[0, total[text_ends]]) + 1
+        left = int(total[-1] - (total[text_ends[-1]] if len(text_ends) else 0))
+        ids = self.memo.taken(np.insert(entries, after[text_ends], 0))
+        self.memo.n = named
+        return ids, of_text, left
 
 
 class Writer:
-    """One file; see the module."""
+    """One file; see the module. add() takes ids of documents in order; a document's ids may come in parts."""
 
     def __init__(self, sink, level: int = LEVEL, frame_bytes: int = FRAME_BYTES):
         import zstandard
 
         self.pack = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
-        self.sink, self.frame_bytes, self.left, self.frames, self.ids, self.sizes = sink, frame_bytes, bytearray(), [], [], []
+        self.sink, self.frame_bytes, self.left, self.frames, self.doc_ids, self.sizes = sink, frame_bytes, bytearray(), [], [], []
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.ids.append(doc_id)
-        self.sizes.append(len(ids))
-        self.left += ids.astype("<u4").tobytes()
-        while len(self.left) >= self.frame_bytes:
-            self._frame(bytes(self.left[: self.frame_bytes]))
-            del self.left[: self.frame_bytes]
+    def add_ids(self, ids: np.ndarray) -> None:
+        self.left += ids.astype("<u4", copy=False).tobytes()
+        at = 0
+        while len(self.left) - at >= self.frame_bytes:
+            self._frame(bytes(self.left[at : at + self.frame_bytes]))
+            at += self.frame_bytes
+        del self.left[:at]
+
+    def add_documents(self, doc_ids: pa.Array, sizes: np.ndarray) -> None:
+        self.doc_ids.append(doc_ids)
+        self.sizes.append(sizes)
+
+    def add(self, doc_id, ids: np.ndarray) -> None:
+        self.add_documents(pa.array([doc_id]), np.array([len(ids)]))
+        self.add_ids(ids)
 
     def _frame(self, plain: bytes) -> None:
         from xxhash import xxh64_intdigest
@@ -148,9 +361,12 @@ class Writer:
     def close(self) -> None:
         if self.left:
             self._frame(bytes(self.left))
-        valid = np.array([i is not None for i in self.ids], np.uint8)
-        ids = np.array([i or 0 for i in self.ids], "<i8")
-        index = self.pack.compress(struct.pack("<Q", len(ids)) + ids.tobytes() + np.array(self.sizes, "<i8").tobytes() + valid.tobytes())
+        ids = pa.chunked_array(self.doc_ids).combine_chunks() if self.doc_ids else pa.array([], pa.int64())
+        listed = pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate([np.zeros(0, np.int64), *self.sizes]), pa.int64())], ["doc_id", "n"])
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, listed.schema) as stream:
+            stream.write_batch(listed)
+        index = self.pack.compress(out.getvalue().to_pybytes())
         self.sink.write(struct.pack("<II", INDEX_MAGIC, len(index)) + index)
         table = b"".join(struct.pack("<III", *f) for f in self.frames)
         self.sink.write(struct.pack("<II", SEEK_MAGIC, len(table) + 9) + table + struct.pack("<IBI", len(self.frames), 0x80, FOOTER_MAGIC))
@@ -174,10 +390,9 @@ class Reader:
         magic, length = struct.unpack("<II", self._at(at, 8))
         if magic != INDEX_MAGIC:
             raise ValueError("no index of documents behind the frames")
-        index = self.unpack.decompress(self._at(at + 8, length))
-        n = struct.unpack_from("<Q", index)[0]
-        self.doc_ids, self.sizes = (np.frombuffer(index, "<i8", n, 8 + 8 * n * k) for k in (0, 1))
-        self.valid = np.frombuffer(index, np.uint8, n, 8 + 16 * n).astype(bool)
+        with pa.ipc.open_stream(self.unpack.decompress(self._at(at + 8, length))) as stream:
+            listed = stream.read_all()
+        self.doc_ids, self.sizes = listed.column("doc_id").combine_chunks(), listed.column("n").to_numpy()
         self.starts = np.r_[0, np.cumsum(self.sizes)]
 
     def _at(self, at: int, n: int) -> bytes:
@@ -200,17 +415,24 @@ class Reader:
         at = int(self.plain[first])
         return np.frombuffer(plain[start - at : end - at], "<u4")
 
-    def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """(doc_id, start, ids) of all documents, each frame once."""
-        left, frame = b"", 0
-        for k, n in enumerate(self.sizes.tolist()):
-            parts, have = [left], len(left)
-            while have < 4 * n:
-                parts.append(self.frame(frame))
-                have, frame = have + len(parts[-1]), frame + 1
-            left = b"".join(parts)
-            ids, left = np.frombuffer(left[: 4 * n], "<u4"), left[4 * n :]
-            yield (int(self.doc_ids[k]) if self.valid[k] else None), int(self.starts[k]), ids
+    def raw(self) -> Iterator[memoryview]:
+        """Bytes of the ids of each document in order, each frame once."""
+        held, at, frame = b"", 0, 0
+        for n in (4 * self.sizes).tolist():
+            if len(held) - at < n:
+                parts = [held[at:]]
+                have = len(parts[0])
+                while have < n:
+                    parts.append(self.frame(frame))
+                    have, frame = have + len(parts[-1]), frame + 1
+                held, at = b"".join(parts), 0
+            yield memoryview(held)[at : at + n]
+            at += n
+
+    def documents(self) -> Iterator[tuple]:
+        """(doc_id, start, ids) of all documents."""
+        for k, raw in enumerate(self.raw()):
+            yield self.doc_ids[k].as_py(), int(self.starts[k]), np.frombuffer(raw, "<u4")
 
 
 def _store(uri: str):
@@ -222,10 +444,8 @@ def _store(uri: str):
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, frame_bytes: int = FRAME_BYTES) -> list[dict]:
     """Writes docs to files under path; a row for each file, in order: name, docs, ids, start (ids in the files before)."""
     tokenizer = tokenizer or tokenizer_path()
-    spark = docs.sparkSession
-    ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    safe = F.col("text").rlike(SAFE) & ~F.col("text").contains("<|")
-    cut = ordered.select("doc_id", F.when(safe, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("pieces"), F.when(~safe, F.col("text")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    ordered = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, encoder = TaskContext.get(), Encoder.at(tokenizer)
@@ -235,18 +455,26 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, frame
         with store.open_output_stream(draft) as sink:
             out = Writer(sink, frame_bytes=frame_bytes)
             for b in batches:
-                for doc_id, ids in zip(b.column(0).to_pylist(), encoder.documents(b.column(1), b.column(2)), strict=True):
-                    out.add(doc_id, ids)
-                    n_docs, n_ids = n_docs + 1, n_ids + len(ids)
+                sizes, open_ = [], 0
+                for ids, ended, left in encoder.segments(b.column(1)):
+                    out.add_ids(ids)
+                    n_ids += len(ids)
+                    if len(ended):
+                        ended[0] += open_
+                        open_ = 0
+                    sizes.append(ended)
+                    open_ += left
+                out.add_documents(b.column(0), np.concatenate([np.zeros(0, np.int64), *sizes]))
+                n_docs += b.num_rows
             out.close()
+        encoder.forget()
         if n_docs:
             store.move(draft, f"{at}/{name}")
             yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "name": [name], "docs": [n_docs], "ids": [n_ids]})
         else:
             store.delete_file(draft)
 
-    with small_batches(spark):
-        rows = arrow_map(cut, run, "part long, name string, docs long, ids long").collect()  # one row a file
+    rows = arrow_map(ordered, run, "part long, name string, docs long, ids long").collect()  # one row a file
     files, start = [], 0
     for r in sorted(rows, key=lambda r: r["part"]):
         files.append({"name": r["name"], "docs": r["docs"], "ids": r["ids"], "start": start})
@@ -254,23 +482,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, frame
     return files
 
 
-class small_batches:
-    """Whole texts can be long: fewer rows than usual go to Python at a time."""
-
-    def __init__(self, spark):
-        self.conf, self.key = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-    def __enter__(self):
-        self.was = self.conf.get(self.key)
-        self.conf.set(self.key, str(BATCH_ROWS))
-
-    def __exit__(self, *_):
-        self.conf.set(self.key, self.was)
-
-
-def read_tokens(spark, path: str, files: list[dict]) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files; each frame is checked."""
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
+def read_tokens(spark, path: str, files: list[dict], kind: str = "bigint") -> DataFrame:
+    """doc_id (of type kind), start, n_tokens, ids_crc32 of every document, from the files; each frame is checked."""
+    schema = f"doc_id {kind}, start long, n_tokens long, ids_crc32 long"
     if not files:
         return spark.createDataFrame([], schema)
 
@@ -278,20 +492,22 @@ def read_tokens(spark, path: str, files: list[dict]) -> DataFrame:
         store, at = _store(path)
         for b in batches:
             for name, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = []
                 with store.open_input_file(f"{at}/{name}") as source:
-                    for doc_id, start, ids in Reader(source).documents():
-                        rows.append((doc_id, base + start, len(ids), zlib.crc32(ids.tobytes())))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    reader = Reader(source)
+                    sums = np.fromiter(map(zlib.crc32, reader.raw()), np.int64, len(reader.sizes))
+                for k in range(0, len(sums), ROWS):
+                    part = slice(k, k + ROWS)
+                    yield pa.RecordBatch.from_arrays([reader.doc_ids[part], *(pa.array(x, pa.int64()) for x in (base + reader.starts[:-1][part], reader.sizes[part], sums[part]))], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     listed = spark.createDataFrame([(f["name"], f["start"]) for f in files], "name string, base long").repartition(len(files))
     return arrow_map(listed, run, schema)
 
 
 def tokenized(docs: DataFrame, path: str | None = None, tokenizer: str | None = None) -> DataFrame:
+    """docs written to files under path (a new one in the shared folder) and read back; see write_tokens and read_tokens."""
     spark = docs.sparkSession
     path = path or fresh_path(spark, "tokens")
-    return read_tokens(spark, path, write_tokens(docs, path, tokenizer))
+    return read_tokens(spark, path, write_tokens(docs, path, tokenizer), docs.schema["doc_id"].dataType.simpleString())
 
 
 def op7_token_output(spark, sf_dir: str) -> DataFrame:
