@@ -508,6 +508,39 @@ def test_near_duplicates(docs, texts, odd, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.one_of_each(none).count() == 0
 
 
+def test_no_row_that_equals_nothing_is_lost(spark):
+    from textmatch.llm import simhash
+
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(3, a, 0), (5, b, 1), (5, a, 2), (5, c, 3), (5, c, 3), (None, c, 4), (None, None, 5), (None, "", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __n long")
+    for f in (simhash.one_of_each, simhash.one_of_similar):
+        got = [(r["doc_id"], r["text"]) for r in f(docs).collect()]
+        assert len(got) == 4 and set(got[:4]) >= {(3, a), (5, b), (5, c)} and sum(i is None for i, _ in got) == 1
+        assert sorted(map(repr, f(docs.repartition(7)).collect())) == sorted(map(repr, f(docs).collect()))
+
+
+@pytest.mark.parametrize("block", [1 << 20, 3000])
+def test_groups_of_several_blocks_lose_no_link(spark, block):
+    from textmatch.llm import simhash
+
+    rng, base = np.random.default_rng(4), [f"w{k}" for k in range(120)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 120):  # around one text, in chains away from it, and near misses
+        words = (rows[int(rng.integers(0, len(rows)))][1] if k % 3 else rows[0][1]).split()
+        for at in rng.integers(0, len(words), int(rng.integers(1, 7))):
+            words[at] = f"n{rng.integers(1 << 30)}"
+        rows.append((k, " ".join(words)))
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(116)} for k, t in rows}
+    label = {k: k for k, _ in rows}
+    linked = [(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    for _ in range(len(rows)):
+        for a, b in linked:
+            label[a] = label[b] = min(label[a], label[b])
+    got = simhash.one_of_similar(spark.createDataFrame(rows, "doc_id long, text string"), block=block)
+    assert {r["doc_id"] for r in got.collect()} == set(label.values()) and len(set(label.values())) > 3
+
+
 def test_anchors_miss_no_pair(spark):
     from textmatch.llm import simhash
 

@@ -7,6 +7,8 @@ import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,16 +74,34 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are made inside are deleted at the end, but for those given to what it yields, which returns them."""
+    before, kept = set(_tables), set()
+
+    def keep(t: DataFrame) -> DataFrame:
+        kept.add(t._tm_path)
+        return t
+
+    try:
+        yield keep
+    finally:
+        _delete(spark, [p for p in _tables if p not in before | kept])
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables that nothing reads any more."""
     for t in tables:
-        drop_path(t.sparkSession, t._tm_path)
-        _tables.remove(t._tm_path)
+        _delete(t.sparkSession, [t._tm_path])
 
 
 def drop_all(spark: SparkSession, but: DataFrame) -> None:
     """Delete all tables so far but one; for those who know that no plan over the others is left."""
-    for path in [p for p in _tables if p != but._tm_path]:
+    _delete(spark, [p for p in _tables if p != but._tm_path])
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
         drop_path(spark, path)
         _tables.remove(path)
 

@@ -10,13 +10,16 @@ replicated, so thousands of exact copies cost one row.
 Each bucket gives a spanning forest of its links, not its pairs; label propagation with pointer jumping over those few edges
 gives the components. Every table that an iteration reads lies in the shared folder.
 
-Digests of three words can't see copies with a few edits: at a Jaccard similarity of 0.8 two digests differ in about 10 bits. one_of_similar
-(the stage of the pipeline) links texts whose sets of five-word shingles have a similarity of SIMILAR or more. Candidates share a band of
-minimal hashes; a pair of exactly 0.8 shares none of the BANDS with probability 7e-6 (less above). Buckets give stars, those give groups of candidates,
-and inside a group all texts meet by their shared shingles, so each link is checked exactly and none between members of a group is missed.
-
-Nulls: a null text has no words (fingerprint zero). A null doc_id is a document of its class like any other; component_id is the
-smallest doc_id that is not null, null only if the component has no other. Repeated rows are kept, with equal results.
+Digests of three words can't see copies with a few edits: at a Jaccard similarity of 0.8 two digests differ in about 10 bits, and a covering
+code that reaches so far has millions of anchors a fingerprint. So one_of_similar (the stage of the pipeline) is another method: it links texts whose
+sets of five-word shingles have a similarity of SIMILAR or more. Candidates share a band of minimal hashes; a pair of exactly 0.8 shares none of the
+BANDS with probability 7e-6 (less above). Buckets give stars, those give groups of candidates, and a group is compared in units of bounded size, where
+all texts meet by their shared shingles, so each link is checked exactly and none between members of a group is missed.
+
+Nulls: a null text has no words (fingerprint zero), like an empty one. A null doc_id is a document of its class like any other; component_id is the
+smallest doc_id that is not null, null only if the component has no other. Repeated rows are kept by near_duplicates, with equal results. No rows
+give no rows. A text of any length is hashed CHUNK shingles at a time. Other columns pass through whatever their names; those that begin with
+__tm_ are taken.
 """
 
 from __future__ import annotations
@@ -27,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
-from .common import LOWER, UPPER, arrow_map, read, table
+from .common import LOWER, UPPER, arrow_map, drop, read, scratch, table
 
 SHINGLE = 3
 THRESHOLD = 2
@@ -36,6 +40,8 @@ SEED = 42
 #: Of one_of_similar: words of a shingle, least similarity, bands and minimal hashes of a band.
 WIDE, SIMILAR = 5, 0.8
 BANDS, ROWS = 30, 5
+#: Shingles of a unit of one_of_similar (of one text, if it has more), and sets with most candidates (one of each of so many shares) that every block of a group meets.
+BLOCK, PIVOTS = 1 << 20, 8
 #: Hashes whose bits are added at a time; bounds the memory for one very long text.
 CHUNK = 1 << 16
 _BLANKS = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
@@ -64,16 +70,16 @@ def fingerprint_of(text: str | None, size: int = SHINGLE) -> int:
     return int(sum(1 << b for b in range(64) if 2 * int(ones[b]) > n))
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE, *also: str) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) and the columns of also, which are of type long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = np.array([fingerprint_of(t.as_py(), size) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got), *b.columns[2:]], ["doc_id", "fp", *also])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, fp long")
+    return arrow_map(docs.select("doc_id", "text", *also), run, ", ".join([f"doc_id {kind}", "fp long", *(f"{c} long" for c in also)]))
 
 
 def syndrome(fp: Column) -> Column:
@@ -149,17 +155,21 @@ def link_edges(classes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node of the component of each node that has an edge. Labels only fall; each round takes the
     smallest label around a node and then the label of that label, until a round changes nothing."""
-    both = table(edges.select("a", "b").union(edges.select("b", "a")), "edges")
-    labels = table(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
-    while True:
-        sent = both.join(labels, both.a == labels.node).select(F.col("b").alias("node"), "label")
-        low = table(labels.union(sent).groupBy("node").agg(F.min("label").alias("label")), "labels")
-        up = low.select(F.col("node").alias("label"), F.col("label").alias("higher"))
-        jumped = table(low.join(up, "label").select("node", F.least("label", "higher").alias("label")), "labels")
-        old = labels.select(F.col("node").alias("n"), F.col("label").alias("was"))
-        if jumped.join(old, (F.col("node") == F.col("n")) & (F.col("label") != F.col("was"))).isEmpty():
-            return jumped
-        labels = jumped
+    spark = edges.sparkSession
+    with scratch(spark) as keep:
+        both = table(edges.select("a", "b").union(edges.select("b", "a")), "edges")
+        labels = keep(table(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels"))
+        while True:
+            with scratch(spark) as keep_round:
+                sent = both.join(labels, both.a == labels.node).select(F.col("b").alias("node"), "label")
+                low = table(labels.union(sent).groupBy("node").agg(F.min("label").alias("label")), "labels")
+                up = low.select(F.col("node").alias("label"), F.col("label").alias("higher"))
+                jumped = keep(keep_round(table(low.join(up, "label").select("node", F.least("label", "higher").alias("label")), "labels")))
+            old = labels.select(F.col("node").alias("n"), F.col("label").alias("was"))
+            if jumped.join(old, (F.col("node") == F.col("n")) & (F.col("label") != F.col("was"))).isEmpty():
+                return jumped
+            drop(labels)
+            labels = jumped
 
 
 def shingle_set(text: str | None, size: int = WIDE) -> np.ndarray:
@@ -191,28 +201,33 @@ def _bands(hashes: np.ndarray) -> list[int]:
     return found.view(np.int64).tolist()
 
 
-def signatures(docs: DataFrame, size: int = WIDE) -> DataFrame:
-    """doc_id, key (hash of the text), fp (names the shingle set), bands."""
+def signatures(docs: DataFrame, size: int = WIDE, *also: str) -> DataFrame:
+    """doc_id, key (hash of the text), fp (names the shingle set), n (its size), bands, and the columns of also, which are of type long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, bands = [], []
+            keys, sizes, bands = [], [], []
             for t in b.column(2):
                 own = shingle_set(t.as_py(), size)
                 keys.append(_set_key(own))
+                sizes.append(len(own))
                 bands.append(_bands(own))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "key", "fp", "bands"])
+            made = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made, *b.columns[3:]], ["doc_id", "key", "fp", "n", "bands", *also])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(docs.select("doc_id", F.xxhash64("text").alias("key"), "text"), run, f"doc_id {kind}, key long, fp long, bands array<long>")
+    schema = ", ".join([f"doc_id {kind}", "key long", "fp long", "n long", "bands array<long>", *(f"{c} long" for c in also)])
+    return arrow_map(docs.select("doc_id", F.xxhash64("text").alias("key"), "text", *also), run, schema)
 
 
-def _similar_forest(names: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links between the sets of one group. Sets meet by the shingles they share only."""
+def _similar_forest(names: list[int], sets: list[np.ndarray], labels: list[int], similarity: float) -> list[tuple[int, int]]:
+    """Edges that join the sets of one unit as their links do; sets of one label are joined already. Sets meet by the shingles they share only."""
     sizes = np.array([len(x) for x in sets])
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
     ends = np.cumsum(sizes)
     own = [codes[e - n : e] for e, n in zip(ends, sizes, strict=True)]
+    of = np.unique(labels, return_inverse=True)[1]
+    mates = np.split(np.argsort(of, kind="stable"), np.cumsum(np.bincount(of))[:-1])
     todo, edges, live = np.ones(len(sets), bool), [], 0
 
     def postings() -> tuple[np.ndarray, np.ndarray]:
@@ -221,9 +236,13 @@ def _similar_forest(names: list[int], sets: list[np.ndarray], similarity: float)
         held = held[np.argsort(codes[held], kind="stable")]
         return owner[held], np.searchsorted(codes[held], np.arange(codes.max() + 2))
 
+    def reached(k: int) -> list[int]:
+        mine = mates[of[k]]
+        todo[mine] = False
+        return mine.tolist()
+
     while todo.any():
-        root = int(np.argmax(todo))
-        todo[root], queue = False, [root]
+        queue = reached(int(np.argmax(todo)))
         while queue and (left := int(todo.sum())):
             if not live or left * 2 < live:  # those already reached are no longer met
                 (owner, first), live = postings(), left
@@ -231,96 +250,122 @@ def _similar_forest(names: list[int], sets: list[np.ndarray], similarity: float)
             lo, n = first[own[x]], first[own[x] + 1] - first[own[x]]
             met = owner[np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
             shared = np.bincount(met, minlength=len(sets))
-            near = np.flatnonzero(todo & (shared >= similarity * (sizes + sizes[x] - shared) - 1e-9))
-            todo[near] = False
-            queue += near.tolist()
-            edges += [(names[x], names[y]) for y in near]
+            for y in np.flatnonzero(todo & (shared >= similarity * (sizes + sizes[x] - shared) - 1e-9)).tolist():
+                edges.append((names[x], names[y]))
+                if todo[y]:
+                    queue += reached(y)
     return edges
 
 
-def similar_edges(docs: DataFrame, signed: DataFrame, size: int = WIDE, similarity: float = SIMILAR) -> DataFrame:
-    """a, b: edges whose components are those of all links between the distinct shingle sets of docs. signed: see signatures."""
-    placed = table(signed.groupBy("fp").agg(F.first("bands").alias("bands")).select("fp", F.explode("bands").alias("band")), "bands")
-    firsts = placed.groupBy("band").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
-    stars = table(placed.join(firsts, "band").where("a <> fp").select("a", F.col("fp").alias("b")).distinct(), "stars")
-    groups = components(stars).select(F.col("node").alias("fp"), F.col("label").alias("group"))
-    chosen = signed.groupBy("fp").agg(F.min("key").alias("key")).join(groups, "fp")
-    texts = docs.select(F.xxhash64("text").alias("key"), "text").join(chosen, "key").select("group", "fp", "text").dropDuplicates(["group", "fp"])
+def _unit_edges(units: DataFrame, size: int, similarity: float) -> DataFrame:
+    """a, b for units: unit, fp, label, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by group; only the hashes of the group at hand are held."""
+        """Rows come sorted by unit; only the hashes of the unit at hand are held."""
 
         def out() -> pa.RecordBatch:
-            edges = _similar_forest(names, sets, similarity)
+            edges = _similar_forest(names, sets, labels, similarity)
             return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-        last, names, sets = None, [], []
+        last, names, labels, sets = None, [], [], []
         for b in batches:
-            for group, fp, text in zip(*(b.column(k) for k in range(3)), strict=True):
-                if (group := group.as_py()) != last:
+            for unit, fp, label, text in zip(*(b.column(k) for k in range(4)), strict=True):
+                if (unit := unit.as_py()) != last:
                     if len(names) > 1:
                         yield out()
-                    last, names, sets = group, [], []
+                    last, names, labels, sets = unit, [], [], []
                 names.append(fp.as_py())
+                labels.append(label.as_py())
                 sets.append(shingle_set(text.as_py(), size))
         if len(names) > 1:
             yield out()
 
-    return arrow_map(texts.repartition("group").sortWithinPartitions("group"), run, "a long, b long")
+    return arrow_map(units.select("unit", "fp", "label", "text").repartition("unit").sortWithinPartitions("unit"), run, "a long, b long")
+
+
+def similar_edges(docs: DataFrame, signed: DataFrame, size: int = WIDE, similarity: float = SIMILAR, block: int = BLOCK) -> DataFrame:
+    """a, b: edges whose components are those of all links between the distinct shingle sets of docs. signed: see signatures.
+
+    A group of candidates is compared in units of about block shingles. First each block of a group is, with the group's PIVOTS sets that have
+    most candidates: what is close to the middle of a group becomes one component there. Groups of several blocks are then blocked
+    anew, large components by themselves, and each two blocks but those of one component are a unit."""
+    placed = table(signed.groupBy("fp").agg(F.first("bands").alias("bands")).select("fp", F.explode("bands").alias("band")), "bands")
+    firsts = placed.groupBy("band").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
+    met = placed.join(firsts, "band")
+    stars = table(met.groupBy("a", F.col("fp").alias("b")).agg(F.sum("n").alias("met")), "stars")
+    groups = components(stars.where("a <> b"))
+    degree = stars.groupBy(F.col("b").alias("fp")).agg(F.sum("met").alias("degree"))
+    chosen = signed.groupBy("fp").agg(F.min("key").alias("key"), F.max("n").alias("n"))
+    grouped = chosen.join(groups.select(F.col("node").alias("fp"), F.col("label").alias("group")), "fp").join(degree, "fp")
+    grouped = table(grouped.select("group", "fp", "key", "n", "degree"), "grouped")
+    whole = grouped.groupBy("group").agg(F.sum("n").alias("total")).withColumn("blocks", F.ceil(F.col("total") / block).cast("int"))
+    distinct = docs.select(F.xxhash64("text").alias("key"), "text").groupBy("key").agg(F.first("text").alias("text"))
+    texts = table(distinct.join(grouped.select("key", "fp"), "key").select("fp", "text"), "texts")
+    near = grouped.join(whole, "group")
+    seed = F.xxhash64(F.lit(SEED), "fp")
+    own = near.select("fp", F.xxhash64("group", F.pmod(seed, "blocks")).alias("unit"))
+    large = near.where("blocks > 1")
+    pivots = large.groupBy("group", "blocks", F.pmod(seed, F.lit(PIVOTS)).alias("of")).agg(F.max(F.struct("degree", "fp")).alias("p"))
+    spread = pivots.select(F.col("p.fp").alias("fp"), "group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
+    units = own.unionByName(spread.select("fp", F.xxhash64("group", F.col("k").cast("long")).alias("unit"))).distinct()
+    one = table(_unit_edges(units.join(texts, "fp").withColumn("label", F.col("fp")), size, similarity), "unit-edges")
+    held = table(large.drop("degree"), "large-groups")
+    if held.isEmpty():
+        return one
+    named = held.join(components(one).select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    named = table(named.select("group", "fp", "n", "label"), "named")
+    by_label = named.groupBy("group", "label").agg(F.sum("n").alias("weight"))
+    blocked = named.join(by_label, ["group", "label"]).withColumn("own", F.when(F.col("weight") * 2 >= block, F.col("label")))
+    of_mixed = blocked.groupBy("group", "own").agg(F.ceil(F.sum("n") / block).cast("int").alias("parts"))
+    blocked = blocked.alias("x").join(of_mixed.alias("y"), (F.col("x.group") == F.col("y.group")) & F.col("x.own").eqNullSafe(F.col("y.own")))
+    blocked = table(blocked.select("x.group", "x.fp", "x.label", "x.own", F.pmod(seed, "parts").cast("int").alias("part")), "blocked")
+    blocks = table(blocked.groupBy("group", "own", "part").agg(F.xxhash64("group", "own", "part").alias("id")), "blocks")  # a row a block, not a text
+    one_side, other = blocks.select("group", F.col("own").alias("own_a"), F.col("id").alias("id_a")), blocks.select("group", F.col("own").alias("own_b"), F.col("id").alias("id_b"))
+    pairs = one_side.join(other, "group").where("id_a <= id_b AND NOT (own_a IS NOT NULL AND own_a <=> own_b)")
+    pairs = table(pairs.select(F.xxhash64("id_a", "id_b").alias("unit"), F.array_distinct(F.array("id_a", "id_b")).alias("ids")).select("unit", F.explode("ids").alias("id")), "block-pairs")
+    again = blocked.withColumn("id", F.xxhash64("group", "own", "part")).select("fp", "label", "id").join(pairs, "id").join(texts, "fp")
+    return one.unionByName(_unit_edges(again, size, similarity))
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, size: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id for every row of docs."""
-    prints = table(fingerprints(docs, size), "fingerprints")
-    rooted, roots = _classes(prints, lambda classes: link_edges(classes, threshold))
-    of_class = table(rooted.join(roots, "root").select("fp", "component_id"), "components")
+    with scratch(docs.sparkSession) as keep:
+        prints = keep(table(fingerprints(docs, size), "fingerprints"))
+        rooted = _rooted(prints, lambda: link_edges(prints.select("fp").distinct(), threshold))
+        roots = rooted.join(prints, "fp").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        of_class = keep(table(rooted.join(roots, "root").select("fp", "component_id"), "components"))
     return prints.join(of_class, "fp").select("doc_id", "fp", "component_id")
 
 
-def _classes(prints: DataFrame, edges_of: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal prints (fp, rep: smallest doc_id, root: names the component); components (root, component_id)."""
-    classes = table(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    labels = components(edges_of(classes))
-    rooted = table(classes.join(labels, classes.fp == labels.node, "left").select("fp", "rep", F.coalesce("label", "fp").alias("root")), "rooted")
-    return rooted, table(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "roots")
+def _rooted(prints: DataFrame, edges_of: Callable[[], DataFrame]) -> DataFrame:
+    """fp, root: each distinct fp of prints and what names its component."""
+    labels = components(edges_of())
+    fps = prints.select("fp").distinct()
+    return table(fps.join(labels, fps.fp == labels.node, "left").select("fp", F.coalesce("label", "fp").alias("root")), "rooted")
 
 
 def one_of_each(docs: DataFrame, threshold: int = THRESHOLD, size: int = SHINGLE) -> DataFrame:
-    """The rows of docs without near-duplicates: of each component the document with the smallest doc_id (of rows that repeat a
-    doc_id, one). Rows without a doc_id stay only if no document of their component has one, and then one of them."""
-    prints = table(fingerprints(docs, size), "fingerprints")
-    return _one_of_each(docs, prints, lambda classes: link_edges(classes, threshold), lambda t: fingerprint_of(t, size))
+    """The rows of docs without near-duplicates: of each component the row with the smallest doc_id; rows without one come last, and of rows
+    that share a doc_id, the one with the smallest hash of its values. Of rows that repeat in all values one stays."""
+    return _one_of_each(docs, lambda d: fingerprints(d, size, "__tm_row", "__tm_key"), lambda prints: link_edges(prints.select("fp").distinct(), threshold))
 
 
-def one_of_similar(docs: DataFrame, size: int = WIDE, similarity: float = SIMILAR) -> DataFrame:
+def one_of_similar(docs: DataFrame, size: int = WIDE, similarity: float = SIMILAR, block: int = BLOCK) -> DataFrame:
     """As one_of_each, but texts are linked whose shingle sets have a Jaccard similarity of at least this."""
-    signed = table(signatures(docs, size), "signatures")
-    return _one_of_each(docs, signed, lambda _: similar_edges(docs, signed, size, similarity), lambda t: _set_key(shingle_set(t, size)))
+    return _one_of_each(docs, lambda d: signatures(d, size, "__tm_row", "__tm_key"), lambda signed: similar_edges(docs, signed, size, similarity, block))
 
 
-def _one_of_each(docs: DataFrame, prints: DataFrame, edges_of: Callable[[DataFrame], DataFrame], print_of: Callable[[str | None], int]) -> DataFrame:
+def _one_of_each(docs: DataFrame, prints_of: Callable[[DataFrame], DataFrame], edges_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     cols = docs.columns
-    rooted, roots = _classes(prints, edges_of)
-    kept = roots.where("component_id is not null").select(F.col("component_id").alias("__tm_id"))
-    named = docs.join(kept, F.col("doc_id") == F.col("__tm_id"), "left_semi").dropDuplicates(["doc_id"])
-    if prints.where("doc_id is null").isEmpty():
-        return named.select(*cols)
-    nameless = roots.where("component_id is null").select("root")
-    held = rooted.join(nameless, "root", "left_semi").select(F.col("fp").alias("__tm_fp"), F.col("root").alias("__tm_root"))
-    rest = fingerprinted(docs.where("doc_id is null"), print_of).join(held, "__tm_fp").dropDuplicates(["__tm_root"])
-    return named.select(*cols).unionByName(rest.select(*cols))
-
-
-def fingerprinted(docs: DataFrame, print_of: Callable[[str | None], int] = fingerprint_of) -> DataFrame:
-    """docs with the column __tm_fp."""
-
-    @F.pandas_udf("long")
-    def fp(texts):
-        import pandas as pd
-
-        return pd.Series(np.array([print_of(t) % (1 << 64) for t in texts], np.uint64).view(np.int64))
-
-    return docs.withColumn("__tm_fp", fp("text"))
+    hashed = [f.name for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+    marked = docs.withColumn("__tm_row", F.xxhash64(*hashed)).withColumn("__tm_key", F.xxhash64(F.lit(SEED), "doc_id", "text"))
+    with scratch(docs.sparkSession) as keep:
+        prints = table(prints_of(marked), "prints")
+        rooted = _rooted(prints, lambda: edges_of(prints))
+        order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "__tm_row", "__tm_key")
+        best = prints.join(rooted, "fp").groupBy("root").agg(F.min(order).alias("best")).select("best.__tm_row", "best.__tm_key")
+        kept = keep(table(best, "kept"))
+    return marked.dropDuplicates(["__tm_row", "__tm_key"]).join(kept.hint("merge"), ["__tm_row", "__tm_key"], "left_semi").select(*cols)
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
