@@ -95,11 +95,6 @@ def drop(*tables: DataFrame) -> None:
         _delete(t.sparkSession, [t._tm_path])
 
 
-def drop_all(spark: SparkSession, but: DataFrame) -> None:
-    """Delete all tables so far but one; for those who know that no plan over the others is left."""
-    _delete(spark, [p for p in _tables if p != but._tm_path])
-
-
 def _delete(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         drop_path(spark, path)

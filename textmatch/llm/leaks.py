@@ -10,11 +10,13 @@
 4. A candidate is checked by the longest common subsequence of the item and the words around the window: LCS of the item's words is a
    leak; from PARAPHRASE on it is one if the item's answer (what follows "answer:", else its last sentence) is there too.
 
-What is broadcast is bounded by the benchmark, whose words are counted first; above BLOCK_WORDS the items are taken in blocks, each against all
-documents. Sums over passages are added in two levels, so no task gets more than a share of the partial sums.
+What is broadcast is bounded by the benchmark, whose words (those of the vocabulary itself) are counted first; above BLOCK_WORDS the items are
+taken in blocks, each against all documents; one item alone may be longer. Broadcasts and tables of a block go when its leaks are written. Sums over
+passages are added in two levels, so no task gets more than a share of the partial sums.
 
-Nulls: a document or item whose text is null or holds no word has no leak. Rows that repeat a document are flagged alike; an
-item text that repeats is reported for each item_id.
+Nulls: a document or item whose text is null or holds no word has no leak. Rows that repeat a document are flagged alike; an item text that repeats
+is reported for each item_id. Without documents or items there are no leaks. Of stretches with the same share of an item the one with the greatest
+cosine counts. A long document is searched 4,096 windows at a time, in memory of some 400 bytes for each ten of its words. Columns that are not read don't matter; those that begin with __tm_ are taken.
 """
 
 from __future__ import annotations
@@ -24,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import arrow_map, read, table
+from .common import arrow_map, read, scratch, table
 
 PASSAGE, STEP = 40, 10
 RANK, EXTRA = 88, 8
@@ -50,6 +53,11 @@ def words(text: str) -> list[str]:
     return _WORDS.findall(text.lower())
 
 
+def _words(text: str) -> Column:
+    """As words(), for a column."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SPLIT), "")
+
+
 def answer(text: str) -> list[str]:
     """Words of what follows the last "answer:", else of the last sentence that has three words, else of all."""
     _, mark, rest = text.lower().rpartition("answer:")
@@ -93,8 +101,8 @@ class Items:
 
 
 def coded(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
-    """doc_id, key (hash of the text), codes of the words of every text."""
-    cut = docs.select("doc_id", F.xxhash64("text").alias("key"), F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), SPLIT), "").alias("words"))
+    """Table of doc_id, key (hash of the text), codes of the words of every text."""
+    cut = docs.select("doc_id", F.xxhash64("text").alias("key"), _words("text").alias("words"))
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +118,9 @@ def coded(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), got], ["doc_id", "key", "codes"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(cut, run, f"doc_id {kind}, key long, codes array<int>")
+    out = table(arrow_map(cut, run, f"doc_id {kind}, key long, codes array<int>"), "codes")
+    held.destroy()
+    return out
 
 
 def _sums(codes: np.ndarray, passage: np.ndarray, n: int, weight: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +187,8 @@ def latent_space(docs: DataFrame, items: Items, rank: int = RANK, seed: int = SE
 
     partial = arrow_map(docs.select("codes"), run, "part int, sums binary")
     some = partial.withColumn("salt", F.pmod(F.hash(F.md5("sums")), F.lit(32))).groupBy("part", "salt").applyInArrow(add, "part int, sums binary")
-    parts = dict(some.groupBy("part").applyInArrow(add, "part int, sums binary").collect())
+    parts = dict(some.groupBy("part").applyInArrow(add, "part int, sums binary").collect())  # the size of W and of G
+    held.destroy()
     z, g = np.zeros((size, wide)), np.zeros((wide, wide))
     own = items.codes
     number = np.concatenate([np.full(len(c), k) for k, c in enumerate(own)]).astype(np.int64)
@@ -307,21 +318,32 @@ class Search:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, key (hash of the text), item_id, cosine, lcs: a row for each document and item that leaked into it."""
     spark = docs.sparkSession
-    kinds = [docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()]
-    schema = f"doc_id {kinds[0]}, key long, item_id {kinds[1]}, cosine double, lcs double"
     asked = benchmark.where("text is not null").select("item_id", "text")
-    total = asked.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
+    total = asked.agg(F.sum(F.size(_words("text")))).first()[0] or 0
     n_blocks = max(1, -(-total // block_words))
     out = None
     for k in range(n_blocks):
-        rows = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()  # about block_words words
+        rows = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()  # about block_words words, or one longer item
         items = Items(sorted((tuple(r) for r in rows if words(r["text"])), key=lambda r: (r[0] is not None, r)))
-        if not items.ids:
-            continue
-        own = table(coded(docs, items.vocabulary), "codes")
+        if items.ids:
+            got = _leaks_of(docs, items, benchmark.schema["item_id"].dataType)
+            out = got if out is None else out.unionByName(got)
+    return spark.createDataFrame([], _found_schema(docs, benchmark.schema["item_id"].dataType)) if out is None else out
+
+
+def _found_schema(docs: DataFrame, item_type) -> str:
+    return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, item_id {item_type.simpleString()}, cosine double, lcs double"
+
+
+def _leaks_of(docs: DataFrame, items: Items, item_type) -> DataFrame:
+    """Table of the leaks of a block of items; nothing else of the search stays."""
+    spark = docs.sparkSession
+    arrow_type = to_arrow_type(item_type)
+    with scratch(spark) as keep:
+        own = coded(docs, items.vocabulary)
         held = spark.sparkContext.broadcast((items, latent_space(own, items)))
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items, space = held.value
             search = Search(items, space)
             for b in batches:
@@ -330,17 +352,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_W
                 for k in range(b.num_rows):
                     found += [(k, *x) for x in search.leaks(codes[offsets[k] : offsets[k + 1]])]
                 at = pa.array([f[0] for f in found], pa.int64())
-                ids = pa.array([items.ids[f[1]] for f in found], pa.int64() if kinds[1] == "bigint" else None)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), ids, pa.array([f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.float64())], ["doc_id", "key", "item_id", "cosine", "lcs"])
+                made = [pa.array([items.ids[f[1]] for f in found], arrow_type), *(pa.array([f[j] for f in found], pa.float64()) for j in (2, 3))]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *made], ["doc_id", "key", "item_id", "cosine", "lcs"])
 
-        got = arrow_map(own, run, schema)
-        out = got if out is None else out.unionByName(got)
-    return spark.createDataFrame([], schema) if out is None else out
+        out = keep(table(arrow_map(own, run, _found_schema(docs, item_type)), "leaks"))
+        held.destroy()
+    return out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs into which no item leaked, with their columns."""
-    bad = table(find_leaks(docs, benchmark).select(F.col("doc_id").alias("__tm_id"), F.col("key").alias("__tm_key")).distinct(), "leaked")
+    bad = find_leaks(docs, benchmark).select(F.col("doc_id").alias("__tm_id"), F.col("key").alias("__tm_key")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("__tm_id")) & (F.xxhash64("text") == F.col("__tm_key"))
     return docs.join(bad, same, "left_anti").select(*docs.columns)
 

@@ -7,10 +7,11 @@ passes over them and then the first blocks of that order. So every document but
 none is taken more than LIMIT times.
 
 The driver holds one row a source. Quotas of shards are found where the shards are: by the divisor method, which gives the seats of
-the highest quotients; a few passes over the table of shards narrow the divisor, and the seats still open go by rank.
+the highest quotients; a few passes over the table of shards narrow the divisor, and the seats still open go by rank, which a sort by ranges finds.
 
-Nulls: a null text has size 0; null is a source of its own, the last. A null doc_id is an id like any other. Rows that repeat a
-doc_id share a shard and lie next to each other. Empty input gives an empty mix.
+Nulls: a null text has size 0; null is a source of its own, the last. A null doc_id is an id like any other. Rows that repeat doc_id, source and
+size are counted, numbered and dealt out like different documents, so none gather in a shard. Shards with equal quotients are taken by their number.
+Empty input gives an empty mix. A text of any length is one document, of which a quota may take the beginning. Columns that are not read don't matter; those that begin with __tm_ are taken.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from __future__ import annotations
 import heapq
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words_of, read, table
+from .common import n_words_of, read, scratch, table
 
 WEIGHTS = (1.0, 2.0, 3.0)
 LIMIT = 3
@@ -97,31 +98,47 @@ def _quotas(shards: DataFrame, plan: DataFrame, fan: int = 32, passes: int = 3)
     placed = shards.join(known, "no").select("no", "shard", "words", "all_seats", F.floor(F.col("words") / F.col("hi") + 0.5).alias("sure"), F.floor(F.col("words") / F.col("lo") + 0.5).alias("most"))
     placed = table(placed, "quotas")
     left = placed.groupBy("no").agg((F.first("all_seats") - F.sum("sure")).alias("left"))
-    rank = F.row_number().over(Window.partitionBy("no").orderBy(F.desc(F.col("words") / (2 * F.col("sure") + 1)), "shard"))
-    more = placed.where("most > sure").withColumn("rank", rank).join(left, "no").where("rank <= left").select("no", "shard", F.lit(1).alias("one"))
+    rank = ranked(placed.where("most > sure"), "no", F.col("words") / (2 * F.col("sure") + 1), "shard")
+    more = rank.join(left, "no").where("rank <= left").select("no", "shard", F.lit(1).alias("one"))
     return placed.join(more, ["no", "shard"], "left").select("no", "shard", "words", (F.col("sure") + F.coalesce("one", F.lit(0))).alias("seats"))
 
 
+def ranked(df: DataFrame, of: str, value: Column, tie: str) -> DataFrame:
+    """df with rank: its place among the rows of the same value of the column of, by falling value, then by tie. A sort by ranges, so that a group of any
+    size lies in many partitions; the offsets are a row a partition and group."""
+    ranges = df.withColumn("__tm_value", value).repartitionByRange(of, F.desc("__tm_value"), tie).withColumn("__tm_part", F.spark_partition_id())
+    ranges = table(ranges, "ranges")
+    before = Window.partitionBy(of).orderBy("__tm_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.groupBy(of, "__tm_part").count().withColumn("__tm_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    inside = F.row_number().over(Window.partitionBy(of, "__tm_part").orderBy(F.desc("__tm_value"), tie))
+    placed = ranges.withColumn("__tm_inside", inside).join(offsets, [of, "__tm_part"])
+    return placed.withColumn("rank", F.col("__tm_before") + F.col("__tm_inside")).select(*df.columns, "rank")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: int = LIMIT, block: int = BLOCK, docs_per_shard: int = DOCS_PER_SHARD, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, taken for every row of docs. weights repeat over the sources in code point order."""
     spark = docs.sparkSession
-    sized = table(docs.select("doc_id", "source", n_words_of(F.col("text")).alias("size")), "sizes")
-    found = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("docs")).collect()  # a row a source
-    found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    words, share = [r["words"] for r in found], [weights[i % len(weights)] for i in range(len(found))]
-    aims = targets(words, share, limit)
-    seats = sainte_lague(aims, round(sum(words) / block))
-    kind = sized.schema["source"].dataType.simpleString()
-    plan = [(i, r["source"], r["words"], aims[i], seats[i], math.ceil(r["docs"] / docs_per_shard)) for i, r in enumerate(found)]
-    sources = spark.createDataFrame(plan, f"no int, source {kind}, source_size long, target double, seats long, shards int")
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    dealt = sized.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-    dealt = table(dealt.select("doc_id", F.col("d.source").alias("source"), "size", "no", "source_size", "target", F.pmod(key, "shards").cast("int").alias("shard"), F.xxhash64(F.lit(seed + 1), "doc_id").alias("place")), "dealt")
-    shards = table(dealt.groupBy("no", "shard").agg(F.sum("size").alias("words")), "shards")
-    each = shards.groupBy("no").agg(F.sum("words").alias("words"), F.count("*").alias("shards"), F.max("words").alias("largest"))
-    quotas = table(_quotas(shards, each.join(sources.select("no", "seats"), "no")), "shard-quotas")
-
-    in_order = Window.partitionBy("no", "shard").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    with scratch(spark) as keep:
+        sized = docs.select("doc_id", "source", n_words_of(F.col("text")).alias("size"))
+        counted = table(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")), "sizes")
+        found = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("docs")).collect()  # a row a source
+        found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
+        words, share = [r["words"] for r in found], [weights[i % len(weights)] for i in range(len(found))]
+        aims = targets(words, share, limit)
+        seats = sainte_lague(aims, round(sum(words) / block))
+        kind = counted.schema["source"].dataType.simpleString()
+        plan = [(i, r["source"], r["words"], aims[i], seats[i], math.ceil(r["docs"] / docs_per_shard)) for i, r in enumerate(found)]
+        sources = spark.createDataFrame(plan, f"no int, source {kind}, source_size long, target double, seats long, shards int")
+        each_row = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))  # rows that repeat are dealt out like others
+        key = lambda salt: F.xxhash64(F.lit(salt), "doc_id", "size", "copy")
+        dealt = each_row.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
+        cols = ["doc_id", F.col("d.source").alias("source"), "size", "copy", "no", "source_size", "target"]
+        dealt = keep(table(dealt.select(*cols, F.pmod(key(seed), "shards").cast("int").alias("shard"), key(seed + 1).alias("place")), "dealt"))
+        shards = table(dealt.groupBy("no", "shard").agg(F.sum("size").alias("words")), "shards")
+        each = shards.groupBy("no").agg(F.sum("words").alias("words"), F.count("*").alias("shards"), F.max("words").alias("largest"))
+        quotas = keep(table(_quotas(shards, each.join(sources.select("no", "seats"), "no")), "shard-quotas"))
+
+    in_order = Window.partitionBy("no", "shard").orderBy("place", "doc_id", "size", "copy").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = dealt.withColumn("before", F.sum("size").over(in_order) - F.col("size"))
     q = quotas.select("no", "shard", F.col("words").alias("shard_words"), F.least(F.col("seats") * block, F.col("words") * limit).alias("quota"))
     got = placed.join(q, ["no", "shard"], "left")
