@@ -41,7 +41,7 @@ SEED = 42
 WIDE, SIMILAR = 5, 0.8
 BANDS, ROWS = 30, 5
 #: Shingles of a unit of one_of_similar (of one text, if it has more), and sets with most candidates (one of each of so many shares) that every block of a group meets.
-BLOCK, PIVOTS = 1 << 20, 8
+BLOCK, PIVOTS = 1 << 17, 8
 #: Hashes whose bits are added at a time; bounds the memory for one very long text.
 CHUNK = 1 << 16
 _BLANKS = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
