@@ -111,6 +111,25 @@ def test_pii(spark, docs, texts, none, odd):
     assert redacted == "mail [email] now"
 
 
+def test_pii_of_a_text_with_many_spans_and_a_long_key(spark):
+    import time
+
+    from textmatch.llm import pii
+
+    key = "a1B2c3D4e5" * 200
+    many = " ".join(f"user{k}@host{k % 7}.example.org" for k in range(30_000))
+    rows = [(1, many), (2, f'api_key = "{key}" and the rest'), (3, "write to some.one (at) a [dot] b [dot] c [dot] d [dot] e [dot] f [dot] org. Then go"), (4, "token: abc.def.ghi.jkl.mno.pqr1 here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in pii.detected(docs).join(docs, "doc_id").select("doc_id", "spans", pii.redacted(F.col("text"), F.col("spans")).alias("t")).collect()}
+    assert time.perf_counter() - began < 60
+    assert len(got[1]["spans"]) == 30_000 and got[1]["t"] == " ".join(["[email]"] * 30_000)
+    spans = {r["doc_id"]: [(x["kind"], x["e"] - x["s"]) for x in r["more"]] for r in pii.proposals(docs).collect()}
+    assert spans[2] == [("secret", len('api_key = "') + len(key))] and spans[3] == [("spelled", len(rows[2][1]) - len("write to . Then go"))] and spans[4] == [("secret", len("token: abc.def.ghi.jkl.mno.pqr1"))]
+    cut = docs.where("doc_id = 2").select(pii.redacted(F.col("text"), F.expr(f"array(struct('secret' AS kind, 0 AS s, {11 + len(key)} AS e), struct('x' AS kind, 5 AS s, {12 + len(key)} AS e))")).alias("t")).first()["t"]
+    assert cut == "[secret] and the rest"
+
+
 def test_pii_learns_who_is_reliable():
     from textmatch.llm import pii
 

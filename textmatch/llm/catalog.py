@@ -1,4 +1,6 @@
-"""The queries of the training-data operators, by name, and the SQL that gives the same rows in DuckDB."""
+"""The queries of the training-data operators, by name, and the SQL that gives the same rows in DuckDB.
+
+Those without opN are the parts of opN_ queries that SQL can express: base spans, rules, targets."""
 
 from __future__ import annotations
 
@@ -7,11 +9,11 @@ from .html import op8_html_extraction
 from .leaks import op9_benchmark_decontamination
 from .lines import OP3_SQL, op3_line_dedup
 from .mixing import op5_source_mixing
-from .pii import op2_pii
+from .pii import BASE_SQL, op2_pii, pii_base
 from .quality import OP1_SQL, op1_quality_rules
 from .simhash import op10_simhash_near_dedup
 from .tokens import op7_token_output
-from .urls import op4_url_filters
+from .urls import RULES_SQL, op4_url_filters, url_rules
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
@@ -24,9 +26,13 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "pii_base": pii_base,
+    "url_rules": url_rules,
 }
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": OP1_SQL,
     "op3_line_dedup": OP3_SQL,
+    "pii_base": BASE_SQL,
+    "url_rules": RULES_SQL,
 }

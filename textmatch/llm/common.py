@@ -29,6 +29,45 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def fold(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str, chunk: int = 256) -> Column:
+    """Arrays (of kind) that step(state, item) -> (state, array) gives for items from left to right, as one array. Outputs are gathered by chunks, so the cost is
+    linear in practice, where appending to one array would be quadratic."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def run(part: Column, state: Column) -> Column:
+        def one(a: Column, x: Column) -> Column:
+            state, out = step(a["s"], x)
+            return F.struct(state.alias("s"), F.concat(a["o"], out).alias("o"))
+
+        return F.aggregate(part, F.struct(state.alias("s"), none.alias("o")), one)
+
+    def chunked(all_: Column) -> Column:
+        def one(a: Column, k: Column) -> Column:
+            part = F.transform(F.sequence(k * chunk, F.least((k + 1) * chunk, F.size(all_)) - 1), lambda i: F.get(all_, i))
+            return let(run(part, a["s"]), lambda r: F.struct(r["s"].alias("s"), F.concat(a["o"], F.array(r["o"])).alias("o")))
+
+        zero = F.struct(start.alias("s"), F.array().cast(f"array<array<{kind}>>").alias("o"))
+        chunks = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / chunk).cast("int"))
+        return F.flatten(F.aggregate(chunks, zero, one)["o"])
+
+    return let(items, lambda x: F.when(F.size(x) > chunk, chunked(x)).when(F.size(x) > 0, run(x, start)["o"]).otherwise(none))
+
+
+#: Code points of a chunk of a text that is cut at many places.
+CUT = 64
+
+
+def chunks_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
+
+
+def cut_of(chunks: Column, start: Column, end: Column) -> Column:
+    """The code points from start to end of a text (chunks: see chunks_of), in time that does not depend on where they are."""
+    first = F.floor(start / CUT).cast("int")
+    part = F.transform(F.sequence(first, F.floor((end - 1) / CUT).cast("int")), lambda i: F.get(chunks, i))
+    return F.when(end <= start, F.lit("")).otherwise(F.substring(F.array_join(part, ""), start - first * CUT + 1, end - start))
+
+
 def words_of(text: Column) -> Column:
     """Words of a text in order; null counts as empty."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")
