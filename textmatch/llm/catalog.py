@@ -8,7 +8,7 @@ from .grades import op6_quality_classifier
 from .html import op8_html_extraction
 from .leaks import op9_benchmark_decontamination
 from .lines import OP3_SQL, op3_line_dedup
-from .mixing import op5_source_mixing
+from .mixing import TARGETS_SQL, mix_targets, op5_source_mixing
 from .pii import BASE_SQL, op2_pii, pii_base
 from .quality import OP1_SQL, op1_quality_rules
 from .simhash import op10_simhash_near_dedup
@@ -28,6 +28,7 @@ QUERIES = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "pii_base": pii_base,
     "url_rules": url_rules,
+    "mix_targets": mix_targets,
 }
 
 ORACLES: dict[str, str] = {
@@ -35,4 +36,5 @@ ORACLES: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
     "pii_base": BASE_SQL,
     "url_rules": RULES_SQL,
+    "mix_targets": TARGETS_SQL,
 }

@@ -1,12 +1,13 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
-P(grade <= k) = sigmoid(threshold_k - w.x) with one weight vector w over hashed text for all grades and ordered thresholds. x holds the
-distinct lower-cased words of a text (log counts, divided by the root of their length) and the shapes of its words, hashed into 2 ** BITS places. The
-model is fitted on a bounded sample, the TRAIN_ROWS rated documents with the smallest seeded hash of doc_id; every document is scored
-from its whole text. Weights are a fixed 2 ** BITS floats, whatever the corpus.
-
-Nulls: a null text is empty and is scored by the thresholds alone; null ratings and ratings of unknown documents are not used;
-several ratings of a document count as their lowest. With no ratings at all every document gets grade 0 and is not kept.
+P(grade <= k) = sigmoid(threshold_k - w.x) with one weight vector w over hashed text for all grades and ordered thresholds. x holds the distinct
+lower-cased words of a text, the beginnings of its words (so that a stem counts in all its forms) and the shares of their shapes, hashed into 2 ** BITS places;
+places that say nothing about the grades of the rated documents (chi-square) have no weight. The model is fitted on a bounded sample, the TRAIN_ROWS rated documents with the smallest seeded hash of doc_id; every
+document is scored from its whole text. Weights are a fixed 2 ** BITS floats, whatever the corpus.
+
+Nulls: a null text is empty and is scored by the thresholds alone; null ratings and ratings of unknown documents are not used; several ratings of a document count
+as their lowest. With no ratings at all every document gets grade 0 and is not kept. Rows that repeat are scored alike; rated rows that repeat are fitted as often as
+they are there. No rows give no rows. A long text takes memory in proportion to its distinct words. Of equal hashes the smaller doc_id is drawn first. Columns that are not read don't matter.
 """
 
 from __future__ import annotations
@@ -20,50 +21,77 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, arrow_map, read
+from .common import arrow_map, read
 
 BITS = 18
 TRAIN_ROWS = 16_000
-STEPS = 120
-#: A place that fewer rated documents have keeps the weight 0.
-LEAST_DOCS = 10
+STEPS, PENALTY = 200, 3e-2
+#: A place that fewer rated documents have, or whose chi-square with the grades is less, keeps the weight 0.
+LEAST_DOCS, LEAST_CHI = 10, 30.0
+#: Values of a word that is there, and of a shape that all words have.
+PRESENT, SHAPED = 0.5, 4.0
 SEED = 5
 #: A document is selected if the probability of the highest grade is at least this.
 KEEP = 0.5
-BATCH_ROWS = 512
+#: Letters of a word's beginning, which words of one stem share; characters (with overhead) of words whose places are kept.
+BEGINNING = 4
+MEMO_CHARACTERS = 1 << 24
 _SHAPE = str.maketrans({**{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "0" for c in "0123456789"}})
 _RUNS = re.compile(r"(.)\1+")
-_SPLIT = re.compile(BLANKS)
+_TO_SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 _STRIP = ".,;:!?\"'()#*$%&|<>"
 
 
-class _Places(dict):
-    """Word to its two places: of itself without case and outer punctuation, and of its shape (runs of one kind as one)."""
+def _place(kind: str, text: str) -> int:
+    from xxhash import xxh32_intdigest
+
+    return xxh32_intdigest((kind + text).encode("utf-8", "surrogatepass"), SEED) & ((1 << BITS) - 1)
+
+
+def places_of(word: bytes) -> tuple[int, int, int]:
+    """Of the word without case and outer punctuation, of its first letters, and of its shape (runs of one kind as one)."""
+    text = word.decode("utf-8", "surrogatepass")
+    if text.isascii() and text.isalpha() and (text.islower() or text[1:].islower()):
+        shape = "a" if text.islower() else "Aa"
+    else:
+        shape = _RUNS.sub(r"\1", text.translate(_SHAPE))
+        shape = "".join(c if c in "Aa0" or not c.isalpha() else "a" for c in shape)
+    plain = text.lower().strip(_STRIP)
+    return _place("w", plain), _place("b", plain[:BEGINNING]), _place("s", shape)
+
+
+class Memo(dict):
+    """What is known of each word, up to MEMO_CHARACTERS; longer words are rare, and looked up anew."""
 
-    def __missing__(self, word: str) -> int:
-        from xxhash import xxh32_intdigest
+    def __init__(self, of):
+        self.of, self.size = of, 0
 
-        if len(self) > 200_000:
+    def __missing__(self, word: bytes):
+        got = self.of(places_of(word))
+        if self.size > MEMO_CHARACTERS:
             self.clear()
-        shape = _RUNS.sub(r"\1", word[:64].translate(_SHAPE))
-        shape = "".join(c if c in "Aa0" or not c.isalpha() else "a" for c in shape)[:8]
-        one, two = (xxh32_intdigest(x.encode("utf-8", "surrogatepass"), SEED) & ((1 << BITS) - 1) for x in ("w" + word.lower().strip(_STRIP), "s" + shape))
-        self[word] = got = one << BITS | two
+            self.size = 0
+        if len(word) <= 64:
+            self[word] = got
+            self.size += len(word) + 150
         return got
 
 
-_places = _Places()
+def _counts(text: str | None) -> Counter:
+    counts = Counter((text or "").encode("utf-8", "surrogatepass").translate(_TO_SPACE).split(b" "))
+    counts.pop(b"", None)
+    return counts
 
 
-def vector(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Places and values of x."""
-    counts = Counter(_SPLIT.split(text or ""))
-    counts.pop("", None)
-    both = np.fromiter(map(_places.__getitem__, counts), np.int64, len(counts))
-    places, back = np.unique(np.r_[both >> BITS, both & ((1 << BITS) - 1)], return_inverse=True)
-    values = np.log1p(np.bincount(back, np.tile(np.fromiter(counts.values(), np.float64, len(counts)), 2), len(places)))
-    norm = np.sqrt((values**2).sum())
-    return places.astype(np.int32), (values / np.sqrt(norm) if norm else values).astype(np.float32)
+def vector(text: str | None, memo: Memo | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of x: PRESENT for each distinct word and beginning, SHAPED times the share of words for each shape."""
+    counts = _counts(text)
+    get = (memo if memo is not None else Memo(tuple)).__getitem__
+    word, begin, shape = np.array([get(w) for w in counts], np.int64).reshape(-1, 3).T
+    there = np.unique(np.r_[word, begin])
+    shapes, back = np.unique(shape, return_inverse=True)
+    n = np.bincount(back, np.fromiter(counts.values(), np.float64, len(counts)), len(shapes))
+    return np.r_[there, shapes].astype(np.int32), np.r_[np.full(len(there), PRESENT), SHAPED * n / max(1.0, n.sum())].astype(np.float32)
 
 
 class Ordinal:
@@ -73,14 +101,14 @@ class Ordinal:
         self.weights, self.thresholds = weights, thresholds
 
     @classmethod
-    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int, steps: int = STEPS, penalty: float = 1e-2) -> Ordinal:
+    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int, steps: int = STEPS, penalty: float = PENALTY) -> Ordinal:
         """Maximum likelihood by Adam over all rows at once. Thresholds are a first one and the logarithms of the gaps."""
         n = len(rows)
         if not n:
             return cls(np.zeros(1 << BITS, np.float32), np.full(n_grades - 1, 30.0))
         owner = np.repeat(np.arange(n), [len(p) for p, _ in rows])
         place, value = np.concatenate([p for p, _ in rows]), np.concatenate([v for _, v in rows]).astype(np.float64)
-        often = np.bincount(place, minlength=1 << BITS) >= min(LEAST_DOCS, n)
+        often = informative(place, grades[owner], grades, n_grades)
         owner, value, place = owner[often[place]], value[often[place]], place[often[place]]
         used, place = np.unique(place, return_inverse=True)
         scale = 1 / np.sqrt(np.bincount(place, value**2, len(used)) / n + 1e-3)  # steps of like size for rare and common places
@@ -108,10 +136,38 @@ class Ordinal:
         weights[used] = theta[: len(used)] * scale
         return cls(weights, theta[len(used)] + np.r_[0, np.cumsum(np.exp(theta[len(used) + 1 :]))])
 
-    def tails(self, places: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """P(grade >= 1), P(grade >= 2), ..."""
-        latent = float(self.weights[places] @ values) if len(places) else 0.0
-        return 1 / (1 + np.exp(np.clip(self.thresholds - latent, -40, 40)))
+    def latent(self, places: np.ndarray, values: np.ndarray) -> float:
+        return float(self.weights[places] @ values) if len(places) else 0.0
+
+    def tails(self, latent) -> np.ndarray:
+        """P(grade >= 1), P(grade >= 2), ... of one latent score or of an array of them."""
+        return 1 / (1 + np.exp(np.clip(self.thresholds - np.asarray(latent)[..., None], -40, 40)))
+
+    def scorer(self):
+        """A function that gives a text's latent score, as of its vector, from the words whose places have a weight."""
+        w = self.weights.astype(np.float64)
+        memo = Memo(lambda places: (tuple(p for p in places[:2] if w[p]), float(w[places[2]])))
+
+        def score(text: str | None) -> float:
+            there, shaped, total = set(), 0.0, 0
+            for word, n in _counts(text).items():
+                places, shape = memo[word]
+                shaped += n * shape
+                total += n
+                if places:
+                    there.update(places)
+            return PRESENT * sum(w[p] for p in sorted(there)) + SHAPED * shaped / max(1, total)
+
+        return score
+
+
+def informative(place: np.ndarray, grade: np.ndarray, grades: np.ndarray, n_grades: int) -> np.ndarray:
+    """For each place whether at least LEAST_DOCS rated documents have it and their grades differ from the others' by a chi-square of LEAST_CHI."""
+    count = np.bincount(grade * (1 << BITS) + place, minlength=n_grades << BITS).reshape(n_grades, -1)
+    total = count.sum(axis=0)
+    expected = np.bincount(grades, minlength=n_grades)[:, None] / len(grades) * total
+    chi = ((count - expected) ** 2 / np.maximum(expected, 1e-9)).sum(axis=0)
+    return (total >= min(LEAST_DOCS, len(grades))) & (chi >= LEAST_CHI)
 
 
 def train(docs: DataFrame, ratings: DataFrame, train_rows: int = TRAIN_ROWS) -> Ordinal:
@@ -121,12 +177,11 @@ def train(docs: DataFrame, ratings: DataFrame, train_rows: int = TRAIN_ROWS) ->
     picked = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # at most train_rows pairs of numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo(tuple)
         for b in batches:
-            for at in range(0, b.num_rows, BATCH_ROWS):
-                part = b.slice(at, BATCH_ROWS)
-                rows = [vector(t.as_py()) for t in part.column(0)]
-                kinds = (pa.list_(pa.int32()), pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)), part.column(1), part.column(2)], ["places", "vals", "grade", "doc_id"])
+            rows = [vector(t.as_py(), memo) for t in b.column(0)]
+            kinds = (pa.list_(pa.int32()), pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)), b.column(1), b.column(2)], ["places", "vals", "grade", "doc_id"])
 
     kind = picked.schema["doc_id"].dataType.simpleString()
     got = arrow_map(picked.select("text", "grade", "doc_id"), run, f"places array<int>, vals array<float>, grade int, doc_id {kind}").toArrow().sort_by("doc_id")
@@ -141,8 +196,9 @@ def graded(docs: DataFrame, model: Ordinal, keep: float = KEEP) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Ordinal(*held.value)
+        score = own.scorer()
         for b in batches:
-            tails = np.array([own.tails(*vector(t.as_py())) for t in b.column(1)]).reshape(b.num_rows, -1)
+            tails = own.tails(np.array([score(t.as_py()) for t in b.column(1)], np.float64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tails.sum(axis=1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= keep)], ["doc_id", "expected_grade", "p_top", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

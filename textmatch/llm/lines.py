@@ -14,7 +14,11 @@ again.
 Keys are hashes, groups are counted and ordered by partial aggregates, and the joins on hot keys read written tables, so that
 adaptive execution can split them. Joins are merge joins at every size: a side that would fit a broadcast today grows with the corpus. Long runs are 64-bit hashes of their lines' 64-bit hashes.
 
-Nulls: a null text stays null and has no lines. Rows that repeat a doc_id with the same text are one document. Null doc_ids come first.
+A repeated passage that begins and ends inside lines is not whole lines, and stays: the unit of this method is the line.
+
+Nulls: a null text stays null and has no lines. Rows that repeat a doc_id with the same text are one document. Null doc_ids come first. Of equal runs the first by doc_id,
+hash of the text and place stays. No rows give no rows. A long text is one row, and costs the square of the ranges to delete in it at worst. Other columns pass through
+whatever their names; those that begin with __tm_ are taken.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, read, table, words_of
+from .common import let, read, scratch, table, words_of
 
 MIN_WORDS = 50
 GRAM_WORDS = 25
@@ -104,8 +108,9 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int =
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
     """docs with text as it is without repeated runs, and __tm_lines and __tm_removed (numbers of lines)."""
-    cuts = repeated_runs(docs, min_words, gram_words).select(F.col("doc_id").alias("__tm_id"), F.col("key").alias("__tm_key"), F.col("cut").alias("__tm_cut"))
-    cuts = table(cuts, "cuts")
+    with scratch(docs.sparkSession) as keep:
+        cuts = repeated_runs(docs, min_words, gram_words).select(F.col("doc_id").alias("__tm_id"), F.col("key").alias("__tm_key"), F.col("cut").alias("__tm_cut"))
+        cuts = keep(table(cuts, "cuts"))
     same = F.col("doc_id").eqNullSafe(F.col("__tm_id")) & (F.xxhash64("text") == F.col("__tm_key"))
     joined = docs.join(cuts.hint("merge"), same, "left")
     kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.exists("__tm_cut", lambda r: (r["s"] <= i) & (i <= r["e"])))

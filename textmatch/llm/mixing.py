@@ -170,3 +170,20 @@ def mixed(docs: DataFrame, **parameters) -> DataFrame:
 
 def op5_source_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mix_targets(spark, sf_dir: str) -> DataFrame:
+    """Sizes and targets of op5_source_mixing, which SQL can express; targets to four places."""
+    return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+TARGETS_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY 3.0 * source_size / w, source NULLS LAST) AS k FROM s),
+c AS (SELECT *, sum(3 * source_size) OVER (ORDER BY k) - 3 * source_size AS before, sum(w) OVER (ORDER BY k DESC) AS rest, sum(source_size) OVER () AS total FROM r),
+l AS (SELECT *, (total - before)::DOUBLE / rest::DOUBLE AS level FROM c),
+f AS (SELECT k AS first, level FROM l WHERE level * w <= 3 * source_size ORDER BY k LIMIT 1),
+t AS (SELECT source, source_size, round(CASE WHEN k < (SELECT first FROM f) THEN 3.0 * source_size ELSE (SELECT level FROM f) * w END, 4)::DOUBLE AS target FROM l)
+SELECT doc_id, size, source_size, target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+"""

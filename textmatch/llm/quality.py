@@ -7,7 +7,9 @@ ones. The order decides how long a run takes, never its verdict: a document is k
 Everything happens within a row, so there is no shuffle but that of the sample. Repeated windows are found by sorting the window
 hashes of one text, never by comparing all of them.
 
-Nulls: a null text is empty (no words, base_failed). Rows that repeat are judged alike; columns that are not read don't matter.
+Nulls: a null text is empty (no words, base_failed). Rows that repeat are judged alike. No rows give no rows, and rules in the order given. Rules of equal rates keep the
+order given; the seconds are wall-clock, so the order may differ between runs, the verdicts never do. A long text is one row, in time n log n in its words.
+Columns other than text pass through whatever their names; those that begin with __tm_ are taken.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, let, read, table, words_of
+from .common import WORD, let, read, scratch, table, words_of
 
 MIN_WORDS = 50
 #: Documents in the sample on which the order of the rules is settled.
@@ -88,18 +90,19 @@ def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int =
     if not n:
         return [(r, 0.0, 0.0) for r in rules]
     drawn = docs.select(F.coalesce("text", F.lit("")).alias("t")).sample(min(1.0, sample_rows / n), seed).repartition(4)
-    held = table(drawn.select("t", measures(F.col("t")).alias("m")), "rule-sample").where(~base_failed(F.col("m")))
-
-    def run(c: Column) -> tuple[float, float]:
-        plan, best = held.agg(F.avg(F.coalesce(c, F.lit(False)).cast("double"))), float("inf")
-        for _ in range(2):  # the first compiles
-            began = time.perf_counter()
-            share = plan.first()[0]
-            best = min(best, time.perf_counter() - began)
-        return best, share or 0.0
-
-    idle = run(F.length("t") < 0)[0]
-    found = [(r, max(1e-3, s - idle), share) for r in rules for s, share in [run(r.rejects(F.col("t"), F.col("m")))]]
+    with scratch(docs.sparkSession):
+        held = table(drawn.select("t", measures(F.col("t")).alias("m")), "rule-sample").where(~base_failed(F.col("m")))
+
+        def run(c: Column) -> tuple[float, float]:
+            plan, best = held.agg(F.avg(F.coalesce(c, F.lit(False)).cast("double"))), float("inf")
+            for _ in range(2):  # the first compiles
+                began = time.perf_counter()
+                share = plan.first()[0]
+                best = min(best, time.perf_counter() - began)
+            return best, share or 0.0
+
+        idle = run(F.length("t") < 0)[0]
+        found = [(r, max(1e-3, s - idle), share) for r in rules for s, share in [run(r.rejects(F.col("t"), F.col("m")))]]
     return sorted(found, key=lambda x: -x[2] / x[1])
 
 
