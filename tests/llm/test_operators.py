@@ -334,14 +334,18 @@ def test_ordinal_regression_on_held_out_rows(spark):
     assert all(0 <= r["p_top"] <= 1 for r in got.values())
 
 
-def test_scorer_equals_the_vector():
+def test_scorer_equals_the_vector(monkeypatch):
+    import pyarrow as pa
+
     from textmatch.llm import grades
 
     rng = np.random.default_rng(8)
     model = grades.Ordinal(np.where(rng.random(1 << grades.BITS) < 0.5, rng.standard_normal(1 << grades.BITS), 0).astype(np.float32), np.array([-1.0, 1.0]))
-    score = model.scorer()
-    for text in (None, "", "Word word WORD, 12-34 x x", "é\u00a0ü😀 " * 40, "long" * 500 + " end", "\ud800 odd"):
-        assert score(text) == pytest.approx(model.latent(*grades.vector(text)), abs=1e-4)
+    score, rng = model.scorer(), np.random.default_rng(3)
+    texts = [None, "", "Word word WORD, 12-34 x x", "é\u00a0ü😀 " * 40, "long" * 500 + " end", " a\tb\x0bc ", *("".join(rng.choice(list("abÉ1, \n"), n)) for n in rng.integers(0, 300, 50)), "x" * 9000, "many words " * 900, ""]
+    monkeypatch.setattr(grades, "SEGMENT", 700)
+    expected = [model.latent(*grades.vector(t)) for t in texts]
+    assert score(pa.array(texts)).tolist() == pytest.approx(expected, abs=1e-3) and score(pa.array(["w", *texts]).slice(1)).tolist() == pytest.approx(expected, abs=1e-3)
 
 
 def test_cumulative_links_fit_as_plain_likelihood():

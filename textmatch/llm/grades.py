@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, read
+from .words import LONGEST, Keys, firsts, packed, raw, segments, words_in
 
 BITS = 18
 TRAIN_ROWS = 16_000
@@ -33,48 +35,39 @@ PRESENT, SHAPED = 0.5, 4.0
 SEED = 5
 #: A document is selected if the probability of the highest grade is at least this.
 KEEP = 0.5
-#: Letters of a word's beginning, which words of one stem share; characters (with overhead) of words whose places are kept.
+#: Letters of a word's beginning, which words of one stem share; words that a table of words holds; bytes of text that are scored at a time.
 BEGINNING = 4
-MEMO_CHARACTERS = 1 << 24
+MEMO_WORDS, SEGMENT = 1 << 19, 1 << 21
 _SHAPE = str.maketrans({**{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "0" for c in "0123456789"}})
 _RUNS = re.compile(r"(.)\1+")
 _TO_SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
-_STRIP = ".,;:!?\"'()#*$%&|<>"
+_STRIP = b".,;:!?\"'()#*$%&|<>"
 
 
-def _place(kind: str, text: str) -> int:
+def _place(named: bytes) -> int:
     from xxhash import xxh32_intdigest
 
-    return xxh32_intdigest((kind + text).encode("utf-8", "surrogatepass"), SEED) & ((1 << BITS) - 1)
+    return xxh32_intdigest(named, SEED) & ((1 << BITS) - 1)
 
 
-def places_of(word: bytes) -> tuple[int, int, int]:
-    """Of the word without case and outer punctuation, of its first letters, and of its shape (runs of one kind as one)."""
-    text = word.decode("utf-8", "surrogatepass")
-    if text.isascii() and text.isalpha() and (text.islower() or text[1:].islower()):
-        shape = "a" if text.islower() else "Aa"
-    else:
-        shape = _RUNS.sub(r"\1", text.translate(_SHAPE))
-        shape = "".join(c if c in "Aa0" or not c.isalpha() else "a" for c in shape)
-    plain = text.lower().strip(_STRIP)
-    return _place("w", plain), _place("b", plain[:BEGINNING]), _place("s", shape)
-
-
-class Memo(dict):
-    """What is known of each word, up to MEMO_CHARACTERS; longer words are rare, and looked up anew."""
+@lru_cache(4096)
+def _shape_place(form: str) -> int:
+    """form: a word with letters and digits by their kind."""
+    shape = _RUNS.sub(r"\1", form)
+    shape = "".join(c if c in "Aa0" or not c.isalpha() else "a" for c in shape)
+    return _place(b"s" + shape.encode("utf-8", "surrogatepass"))
 
-    def __init__(self, of):
-        self.of, self.size = of, 0
 
-    def __missing__(self, word: bytes):
-        got = self.of(places_of(word))
-        if self.size > MEMO_CHARACTERS:
-            self.clear()
-            self.size = 0
-        if len(word) <= 64:
-            self[word] = got
-            self.size += len(word) + 150
-        return got
+def places_of(word: bytes) -> tuple[int, int, int]:
+    """Of the word without case and outer punctuation, of its first letters, and of its shape (runs of one kind as one)."""
+    body = word.strip(_STRIP)
+    if word.isascii() and body.isalpha():  # most words
+        plain = body.lower()
+        kind = b"a" if body.islower() else b"Aa" if body[1:].islower() else b"A" if body.isupper() else body.decode().translate(_SHAPE).encode()
+        return _place(b"w" + plain), _place(b"b" + plain[:BEGINNING]), _shape_place(word.replace(body, kind, 1).decode())
+    plain = body.decode("utf-8", "surrogatepass").lower()
+    named = (b"w" + plain.encode("utf-8", "surrogatepass"), b"b" + plain[:BEGINNING].encode("utf-8", "surrogatepass"))
+    return _place(named[0]), _place(named[1]), _shape_place(word.decode("utf-8", "surrogatepass").translate(_SHAPE))
 
 
 def _counts(text: str | None) -> Counter:
@@ -83,11 +76,10 @@ def _counts(text: str | None) -> Counter:
     return counts
 
 
-def vector(text: str | None, memo: Memo | None = None) -> tuple[np.ndarray, np.ndarray]:
+def vector(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Places and values of x: PRESENT for each distinct word and beginning, SHAPED times the share of words for each shape."""
     counts = _counts(text)
-    get = (memo if memo is not None else Memo(tuple)).__getitem__
-    word, begin, shape = np.array([get(w) for w in counts], np.int64).reshape(-1, 3).T
+    word, begin, shape = np.array([places_of(w) for w in counts], np.int64).reshape(-1, 3).T
     there = np.unique(np.r_[word, begin])
     shapes, back = np.unique(shape, return_inverse=True)
     n = np.bincount(back, np.fromiter(counts.values(), np.float64, len(counts)), len(shapes))
@@ -143,22 +135,67 @@ class Ordinal:
         """P(grade >= 1), P(grade >= 2), ... of one latent score or of an array of them."""
         return 1 / (1 + np.exp(np.clip(self.thresholds - np.asarray(latent)[..., None], -40, 40)))
 
-    def scorer(self):
-        """A function that gives a text's latent score, as of its vector, from the words whose places have a weight."""
-        w = self.weights.astype(np.float64)
-        memo = Memo(lambda places: (tuple(p for p in places[:2] if w[p]), float(w[places[2]])))
-
-        def score(text: str | None) -> float:
-            there, shaped, total = set(), 0.0, 0
-            for word, n in _counts(text).items():
-                places, shape = memo[word]
-                shaped += n * shape
-                total += n
-                if places:
-                    there.update(places)
-            return PRESENT * sum(w[p] for p in sorted(there)) + SHAPED * shaped / max(1, total)
-
-        return score
+    def scorer(self) -> Scorer:
+        return Scorer(self.weights)
+
+
+class Scorer:
+    """Latent scores of many texts at once, as of their vectors. Each distinct short word is looked at once; a table keeps MEMO_WORDS of them."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights, self.words = weights.astype(np.float64), Keys(MEMO_WORDS)
+        self.places, self.shapes = np.full((2, 1024), -1, np.int32), np.zeros(1024)
+
+    def _learn(self, words: list[bytes]) -> int:
+        """New entries; the first one's number. A place without a weight is -1."""
+        first, n = self.words.n, len(words)
+        self.words.room(n)
+        if (more := len(self.words.low) - len(self.shapes)) > 0:
+            self.places, self.shapes = np.c_[self.places, np.full((2, more), -1, np.int32)], np.r_[self.shapes, np.zeros(more)]
+        found = np.array([places_of(w) for w in words], np.int64).reshape(n, 3).T
+        self.places[:, first : first + n] = np.where(self.weights[found[:2]] != 0, found[:2], -1)
+        self.shapes[first : first + n] = self.weights[found[2]]
+        self.words.n += n
+        return first
+
+    def _entries(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        out = np.empty(len(starts), np.int32)
+        short = np.flatnonzero(sizes <= LONGEST)
+        low, high = packed(data, starts[short], sizes[short])
+        found = self.words.find(low, high)
+        order, number, one = firsts(low, high, found)
+        held = data.tobytes()
+        if len(one):
+            at = short[one]
+            first = self._learn([held[s:e] for s, e in zip(starts[at].tolist(), (starts[at] + sizes[at]).tolist(), strict=True)])
+            self.words.name(first, low[one], high[one])
+            found[order] = first + number
+        out[short] = found
+        long = np.flatnonzero(sizes > LONGEST)
+        texts = [held[s:e] for s, e in zip(starts[long].tolist(), (starts[long] + sizes[long]).tolist(), strict=True)]
+        place = {w: k for k, w in enumerate(dict.fromkeys(texts))}
+        first = self.named = self.words.n
+        self._learn(list(place))  # without keys: forgotten after the segment
+        out[long] = [first + place[w] for w in texts]
+        return out
+
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        n = len(texts)
+        shaped, total, pairs = np.zeros(n), np.zeros(n), [np.zeros(0, np.int64)]
+        for data, bounds, owner in segments(*raw(texts.fill_null("")), SEGMENT):
+            if self.words.n > MEMO_WORDS:
+                self.words.clear()
+            starts, sizes = words_in(data, bounds)
+            own = owner[np.searchsorted(bounds, starts, "right") - 1]
+            entries = self._entries(data, starts, sizes)
+            total += np.bincount(own, minlength=n)
+            shaped += np.bincount(own, self.shapes[entries], n)
+            for place in self.places[:, entries]:
+                hit = place >= 0
+                pairs.append(np.unique(own[hit] << BITS | place[hit]))
+            self.words.n = self.named
+        there = np.unique(np.concatenate(pairs))
+        return PRESENT * np.bincount(there >> BITS, self.weights[there & (1 << BITS) - 1], n) + SHAPED * shaped / np.maximum(total, 1)
 
 
 def informative(place: np.ndarray, grade: np.ndarray, grades: np.ndarray, n_grades: int) -> np.ndarray:
@@ -177,9 +214,8 @@ def train(docs: DataFrame, ratings: DataFrame, train_rows: int = TRAIN_ROWS) ->
     picked = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # at most train_rows pairs of numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(tuple)
         for b in batches:
-            rows = [vector(t.as_py(), memo) for t in b.column(0)]
+            rows = [vector(t.as_py()) for t in b.column(0)]
             kinds = (pa.list_(pa.int32()), pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)), b.column(1), b.column(2)], ["places", "vals", "grade", "doc_id"])
 
@@ -198,7 +234,7 @@ def graded(docs: DataFrame, model: Ordinal, keep: float = KEEP) -> DataFrame:
         own = Ordinal(*held.value)
         score = own.scorer()
         for b in batches:
-            tails = own.tails(np.array([score(t.as_py()) for t in b.column(1)], np.float64))
+            tails = own.tails(score(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tails.sum(axis=1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= keep)], ["doc_id", "expected_grade", "p_top", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

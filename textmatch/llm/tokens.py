@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, fresh_path, read
+from .words import LONGEST, Keys, firsts, packed, raw
 
 END_ID = 0
 FRAME_BYTES = 1 << 18
@@ -64,8 +65,6 @@ def _class_of(point: int) -> int:
 _TOP = 0x20AD
 _CLASSES = np.array([*map(_class_of, range(_TOP)), UNSURE], np.uint8)
 _ASCII = np.r_[_CLASSES[:128], np.full(128, UNSURE, np.uint8)]
-#: Masks of the first n bytes of eight.
-_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)] + [(1 << 64) - 1] * 7, np.uint64)
 _ASCII_LETTER = np.array([chr(c).isascii() and chr(c).isalpha() for c in range(256)])
 
 
@@ -159,47 +158,23 @@ def _byte_alphabet() -> list[str]:
     return [chr(b) if b in seen else chr(next(other)) for b in range(256)]
 
 
-class Memo:
-    """Ids of pre-tokens of up to 15 bytes: a hash table of 16-byte keys (the bytes and their number), probed as arrays."""
+class Memo(Keys):
+    """Ids of pre-tokens of up to LONGEST bytes."""
 
     def __init__(self, most: int = MEMO_ENTRIES):
-        self.most, self.bits = most, most.bit_length() + 1
-        self.clear()
+        super().__init__(most)
 
     def clear(self) -> None:
-        self.slots = np.full(1 << self.bits, -1, np.int32)
-        self.low, self.high = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
+        super().clear()
         self.ids, self.offsets = np.full(4096, END_ID, np.uint32), np.zeros(1025, np.int64)
         self.offsets[1], self.n = 4, 1  # entry 0 is the end id, which no key has
 
-    def _homes(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        h = low * np.uint64(0x9E3779B97F4A7C15) ^ high * np.uint64(0xC2B2AE3D27D4EB4F)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Entry of each key, -1 where there is none."""
-        out = np.full(len(low), -1, np.int32)
-        at = self._homes(low, high)
-        entry = self.slots[at]
-        todo = np.flatnonzero(entry >= 0)
-        entry, at = entry[todo], at[todo]
-        while len(todo):
-            same = (self.low[entry] == low[todo]) & (self.high[entry] == high[todo])
-            out[todo[same]] = entry[same]
-            todo, at = todo[~same], at[~same] + 1 & len(self.slots) - 1
-            entry = self.slots[at]
-            full = entry >= 0
-            todo, at, entry = todo[full], at[full], entry[full]
-        return out
-
     def add(self, ids: list[int], counts: list[int]) -> int:
         """New entries with these numbers of ids; the first one's number. They have no key."""
         k, n = len(counts), len(ids)
-        while self.n + k > len(self.low):
-            self.low, self.high = (np.r_[x, np.zeros_like(x)] for x in (self.low, self.high))
-            self.offsets = np.r_[self.offsets, np.zeros(len(self.offsets) - 1, np.int64)]
+        self.room(k)
+        if len(self.offsets) <= len(self.low):
+            self.offsets = np.r_[self.offsets, np.zeros(len(self.low) + 1 - len(self.offsets), np.int64)]
         at = int(self.offsets[self.n]) // 4
         while at + n > len(self.ids):
             self.ids = np.r_[self.ids, np.zeros_like(self.ids)]
@@ -208,17 +183,6 @@ class Memo:
         self.n += k
         return self.n - k
 
-    def name(self, first: int, low: np.ndarray, high: np.ndarray) -> None:
-        """Gives keys, which are distinct and new, to the entries from first on."""
-        k = len(low)
-        self.low[first : first + k], self.high[first : first + k] = low, high
-        at, entry = self._homes(low, high), np.arange(first, first + k, dtype=np.int32)
-        while len(at):
-            free = np.flatnonzero(self.slots[at] < 0)
-            self.slots[at[free]] = entry[free]  # of several that want a slot one gets it
-            lost = self.slots[at] != entry
-            at, entry = at[lost] + 1 & len(self.slots) - 1, entry[lost]
-
     def taken(self, entries: np.ndarray) -> np.ndarray:
         """Ids of the entries, one after another."""
         held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), self.n, [None, pa.py_buffer(self.offsets[: self.n + 1]), pa.py_buffer(self.ids)])
@@ -259,10 +223,7 @@ class Encoder:
     def segments(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         """texts: strings without nulls. Of each segment: its ids, the end id behind each text included; the numbers of ids, in this segment, of the
         texts that end in it; and of ids that belong to a text that goes on."""
-        wide = pa.types.is_large_string(texts.type)
-        _, places, raw = texts.buffers()
-        offsets = np.frombuffer(places, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-        data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+        data, offsets = raw(texts)
         bounds, ends = units_of(data, offsets)
         first = 0
         while first < len(ends):
@@ -272,20 +233,15 @@ class Encoder:
             first = last
 
     def _entries(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Entries of the memo for pre-tokens of up to 15 bytes."""
-        padded = np.r_[data, np.zeros(16, np.uint8)]
-        eights = np.ndarray((len(data) + 8,), "<u8", padded, strides=(1,))
-        low, high = eights[starts] & _FIRST[sizes], eights[starts + 8] & _FIRST[np.maximum(sizes - 8, 0)] | sizes.astype(np.uint64) << np.uint64(56)
+        """Entries of the memo for pre-tokens of up to LONGEST bytes."""
+        low, high = packed(data, starts, sizes)
         found = self.memo.find(low, high)
-        new = np.flatnonzero(found < 0)
-        if len(new):
-            order = new[np.lexsort((high[new], low[new]))]
-            differs = np.r_[True, (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]])]
-            one = order[differs]
-            raw = data.tobytes()
-            first = self.memo.add(*self.merged([raw[s:e] for s, e in zip(starts[one].tolist(), (starts[one] + sizes[one]).tolist(), strict=True)]))
+        order, number, one = firsts(low, high, found)
+        if len(one):
+            held = data.tobytes()
+            first = self.memo.add(*self.merged([held[s:e] for s, e in zip(starts[one].tolist(), (starts[one] + sizes[one]).tolist(), strict=True)]))
             self.memo.name(first, low[one], high[one])
-            found[order] = first + np.cumsum(differs) - 1
+            found[order] = first + number
         return found
 
     def _segment(self, data: np.ndarray, bounds: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -302,7 +258,7 @@ class Encoder:
             starts = starts[~whole[owner] | (starts == bounds[owner])]
         sizes = np.diff(np.r_[starts, len(data)])
         alone = whole[np.searchsorted(bounds, starts, "right") - 1] if whole.any() else np.zeros(len(starts), bool)
-        short = (sizes <= 15) & ~alone
+        short = (sizes <= LONGEST) & ~alone
         entries = np.empty(len(starts), np.int32)
         entries[short] = self._entries(data, starts[short], sizes[short])
         named = self.memo.n
