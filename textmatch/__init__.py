@@ -1 +1,3 @@
-"""Spark-native multilingual fuzzy search and text matching."""
+"""Multilingual fuzzy search and text matching on Spark."""
+
+VERSION = "0.2.0"

@@ -8,7 +8,7 @@ FEATURES = ("phonetic", "compound", "synonyms", "keyboard-neighbors", "partial-w
 #: Defaults and presets that results depend on.
 DEFAULTS = {
     "languages": ["english"], "features": list(FEATURES), "max_results": 10, "min_query_length": 1, "fuzzy_threshold": 0.33, "max_edit_distance": 2, "ngram_size": 3,
-    "performance": "balanced", "field_weights": {}, "custom_synonyms": {}, "stop_words": [], "enable_stop_words": False, "word_boundaries": False, "use_bm25": False, "bm25_weight": 0.6,
+    "performance": "balanced", "field_weights": {}, "custom_synonyms": {}, "stop_words": [], "enable_stop_words": False, "word_boundaries": False, "use_bm25": False, "bm25_weight": 0.6, "custom_normalizer": None,
     "alphanumeric": {"enabled": True, "alpha": 0.7, "numeric": 0.3, "multiplier": 1.5},
     "scores": {"exact": 1.0, "prefix": 0.97, "substring": 0.87, "phonetic": 0.40, "fuzzy": 0.70, "fuzzy_min": 0.30, "synonym": 0.45, "compound": 0.82, "ngram": 0.28},
     "modifiers": {"base_score": 0.0, "short_word_boost": 0.0, "short_word_max_diff": 3, "prefix_length_penalty": False},

@@ -80,6 +80,15 @@ def token_positions(text: Column) -> Column:
     return F.aggregate(found, start, step, lambda a: a["out"])
 
 
+def join_tokens(words: Column, joint: str = " ") -> Column:
+    return F.array_join(words, joint)
+
+
+def normalize_for_search(text: Column) -> Column:
+    """Tokens in lower case, joined by single spaces."""
+    return join_tokens(tokens(text))
+
+
 def is_separator(c: Column) -> Column:
     return c.rlike(f"^{SEPARATORS}$")
 
@@ -196,3 +205,8 @@ def has_phrases(query: Column) -> Column:
 
 def normalize_phrase(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
+
+
+def split_phrase_words(phrase: Column) -> Column:
+    """Words of a phrase in lower case."""
+    return F.filter(F.split(normalize_phrase(phrase), " "), lambda w: w != "")

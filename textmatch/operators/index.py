@@ -8,7 +8,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import languages
@@ -65,7 +65,8 @@ def detect_languages(words: DataFrame, word: str = "word", rows: int = 100) -> l
 
 
 def dictionary(source: DataFrame, word: str = "word", fields: list[str] | None = None, ord_col: str | None = None, min_length: int = 1) -> DataFrame:
-    """base_id, ord, word, word_lc, fields: unique without case, the first spelling kept. With fields, the first that is there names the row
+    """base_id, ord, word, word_lc, fields: unique without case, the first spelling kept. base_id is ord_col, else a hash of the word, which no
+    other partitioning changes. With fields, the first that is there names the row
     and the last row of a name gives the fields."""
     ord_ = F.col(ord_col).cast("long") if ord_col else F.monotonically_increasing_id()
     name = F.coalesce(*[F.col(f).cast("string") for f in fields], F.concat(F.lit("item_"), ord_)) if fields else F.col(word).cast("string")
@@ -76,7 +77,20 @@ def dictionary(source: DataFrame, word: str = "word", fields: list[str] | None =
         base = rows.groupBy("word_lc").agg(F.min_by("word", "ord").alias("word"), F.max_by("fields", "ord").alias("fields"), F.min("ord").alias("ord"))
     else:
         base = rows.groupBy("word_lc").agg(F.min_by("word", "ord").alias("word"), F.min("ord").alias("ord")).withColumn("fields", F.lit(None).cast("map<string,string>"))
-    return base.select(F.col("ord").alias("base_id"), "ord", "word", "word_lc", "fields")
+    return base.select((F.col("ord") if ord_col else F.xxhash64("word_lc")).alias("base_id"), "ord", "word", "word_lc", "fields")
+
+
+def custom_normalized(config: dict, text: Column) -> Column:
+    """text by the caller's own function, if the settings have one. It is not saved with an index."""
+    own = config.get("custom_normalizer")
+    if own is None:
+        return text
+
+    @F.pandas_udf("string")
+    def run(texts):
+        return texts.map(lambda t: own(t) if t is not None else None)
+
+    return run(text)
 
 
 def _texts(base: DataFrame, fields: list[str]) -> DataFrame:
@@ -93,7 +107,7 @@ def tables_of(base: DataFrame, config: dict, fields: list[str] | None = None) ->
     if not langs:
         raise ValueError(f"no known language in {names}")
     ship(spark)
-    texts = _texts(base, fields or [])
+    texts = _texts(base, fields or []).withColumn("text", custom_normalized(config, F.col("text")))
 
     @F.pandas_udf(_FORMS)
     def forms(words):
@@ -148,19 +162,30 @@ def build(source: DataFrame, config: dict | None = None, word: str = "word", fie
         user["languages"] = detect_languages(source, (fields or [word])[0])
     settings = merge(user)
     index = tables_of(dictionary(source, word, fields, ord_col, settings["min_query_length"]), settings, fields)
-    if progress:
+    if progress:  # a table counts as done when it is there
+        index = index.cache()
         for k, t in enumerate(TABLES, 1):
+            getattr(index, t).count()
             progress(t, k, len(TABLES))
     return index
 
 
-def add(index: Index, source: DataFrame, word: str = "word", ord_col: str | None = None) -> Index:
-    """The index with the words of source that it doesn't have. Only the new ones are worked on."""
+def delta(index: Index, source: DataFrame, word: str = "word", ord_col: str | None = None) -> Index:
+    """The tables of the words of source that index doesn't have."""
     fresh = dictionary(source, word, index.fields or None, ord_col, index.config["min_query_length"]).join(index.base, "word_lc", "left_anti")
     top = index.base.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("top"))
     shifted = fresh.crossJoin(F.broadcast(top)).withColumn("ord", F.col("ord") + F.col("top") + 1)  # top is one row
-    delta = tables_of(shifted.select(F.col("ord").alias("base_id"), "ord", "word", "word_lc", "fields"), index.config, index.fields)
-    return Index(*(getattr(index, t).unionByName(getattr(delta, t)) for t in TABLES), index.config, index.fields)
+    base_id = F.col("ord") if ord_col else F.col("base_id")
+    return tables_of(shifted.select(base_id.alias("base_id"), "ord", "word", "word_lc", "fields"), index.config, index.fields)
+
+
+def joined(index: Index, other: Index) -> Index:
+    return Index(*(getattr(index, t).unionByName(getattr(other, t)) for t in TABLES), index.config, index.fields)
+
+
+def add(index: Index, source: DataFrame, word: str = "word", ord_col: str | None = None) -> Index:
+    """The index with the words of source that it doesn't have. Only the new ones are worked on."""
+    return joined(index, delta(index, source, word, ord_col))
 
 
 def remove(index: Index, words: DataFrame, word: str = "word") -> Index:
@@ -175,7 +200,7 @@ def save(index: Index, path: str, mode: str = "overwrite") -> None:
     for t in TABLES:
         getattr(index, t).sortWithinPartitions(keys[t]).write.mode(mode).parquet(f"{path}/{t}")
     spark = index.base.sparkSession
-    spark.createDataFrame([(json.dumps({"config": index.config, "fields": index.fields, "version": 1}),)], "value string").coalesce(1).write.mode(mode).text(f"{path}/config")
+    spark.createDataFrame([(json.dumps({"config": index.config | {"custom_normalizer": None}, "fields": index.fields, "version": 1}),)], "value string").coalesce(1).write.mode(mode).text(f"{path}/config")
 
 
 def load(spark: SparkSession, path: str) -> Index | None:

@@ -12,21 +12,21 @@ from pyspark.sql import functions as F
 from ..functions.distance import damerau_levenshtein
 from ..functions.text import matches_wildcard, ngrams, starts_word
 from ..languages import Language
-from .index import Index, union
+from .index import Index, custom_normalized, union
 
 #: Matchers in the order in which they are folded.
 STEPS = ("exact", "prefix", "substring", "phonetic", "synonym", "ngram", "fuzzy")
 _COLUMNS = ("query_id", "base_id", "lang_ord", "step", "type", "edit_distance", "variant", "kind", "field", "vord")
 
 
-def _candidates(df: DataFrame, n: int, step: str, edit: Column | None = None, kind: str | None = None) -> DataFrame:
+def _candidates(df: DataFrame, n: int, step: str, edit: Column | None = None, kind: str | None = None, also: list[Column] | None = None) -> DataFrame:
     """Puts joined rows into the schema; those without a variant get nulls."""
     has = lambda c: F.col(c) if c in df.columns else F.lit(None)
     vord = F.struct(F.col("ord"), F.col("v_lang_ord").alias("lang_ord"), F.col("pos")) if "pos" in df.columns else F.struct(F.lit(0).cast("long").alias("ord"), F.lit(0).alias("lang_ord"), F.lit(0).alias("pos"))
     type_ = F.when(F.col("kind") == "compound", "compound").otherwise(step) if step == "exact" and kind is None and "kind" in df.columns else F.lit(step)
     return df.select(
         "query_id", "base_id", F.lit(n).alias("lang_ord"), F.lit(STEPS.index(step)).alias("step"), type_.alias("type"), (edit if edit is not None else F.lit(None)).cast("int").alias("edit_distance"),
-        has("variant").cast("string").alias("variant"), has("kind").cast("string").alias("kind"), has("field").cast("string").alias("field"), vord.alias("vord"),
+        has("variant").cast("string").alias("variant"), has("kind").cast("string").alias("kind"), has("field").cast("string").alias("field"), vord.alias("vord"), *(also or []),
     )
 
 
@@ -63,77 +63,117 @@ def are_few(queries: DataFrame) -> bool:
 
 
 def fuzzy_pairs(queries: DataFrame, variants: DataFrame, limit: int, transpositions: bool, few: bool = False) -> DataFrame:
-    """queries (query_id, nq) with variants (variant, len, ...) within their distance, and the distance. Every pair within it is found,
-    by shared pieces, or if there are few queries by comparing lengths first."""
+    """queries (query_id, nq) with variants (variant, len, ...) within their distance, and the distance: query_id, variant, edit. Every pair within it is
+    found, by shared pieces, or if there are few queries by comparing lengths first."""
     asked = queries.where("nq <> ''").withColumn("d", max_distance(F.length("nq"), limit))
-    out = []
-    for d in sorted({2, max(limit, 2), limit, max(limit, 3)} - {0}):
-        mine, n = asked.where(F.col("d") == d), (2 if transpositions else 1) * d + 1
-        within = F.levenshtein("variant", "nq", 2 * d if transpositions else d)
-        if few:
-            near = variants.select("variant", "len").distinct().join(F.broadcast(mine), F.abs(F.col("len") - F.length("nq")) <= d)
-            out.append(near.select("query_id", "nq", "d", "variant", within.alias("lev")).where("lev >= 0"))
-            continue
-        pieces = variants.where(F.col("len") >= n).select("variant", "len", F.explode(_cut(F.col("variant"), n)).alias("c")).select("variant", "len", "c.*").distinct()
-        probes = mine.select("query_id", "nq", "d", F.explode(_probes(F.col("nq"), n, d)).alias("p")).select("query_id", "nq", "d", "p.*")
-        long_ = probes.join(pieces, ["len", "no", "piece"]).select("query_id", "nq", "d", "variant").distinct()
+    classes = sorted({2, max(limit, 2), limit, max(limit, 3)} - {0})
+    wide = 2 if transpositions else 1
+    within = F.levenshtein("variant", "nq", wide * classes[-1])
+    own = variants.select("variant", "len").distinct()
+    if few:
+        pairs = own.join(F.broadcast(asked), F.abs(F.col("len") - F.length("nq")) <= F.col("d")).withColumn("lev", within)
+    else:
+        number = {d: wide * d + 1 for d in classes}
+        placed = lambda d, x: F.transform(x, lambda c: F.struct(F.lit(d).alias("d"), c["no"].alias("no"), c["piece"].alias("piece")))
+        none = F.array().cast("array<struct<d:int,no:int,piece:string>>")
+        cuts = F.concat(*[F.when(F.col("len") >= n, placed(d, _cut(F.col("variant"), n))).otherwise(none) for d, n in number.items()])
+        pieces = own.select("variant", "len", F.explode(cuts).alias("c")).select("variant", "len", "c.*")
+        probe = "array<struct<len:int,no:int,piece:string>>"
+        probes = F.concat(*[F.when(F.col("d") == d, _probes(F.col("nq"), n, d).cast(probe)).otherwise(F.array().cast(probe)) for d, n in number.items()])
+        probes = asked.select("query_id", "nq", "d", F.explode(probes).alias("p")).select("query_id", "nq", "d", "p.*")
+        long_ = probes.join(pieces, ["d", "len", "no", "piece"]).select("query_id", "nq", "d", "variant")
         # texts shorter than the number of pieces have no whole one; they meet by length
-        sized = mine.select("query_id", "nq", "d", F.explode(F.sequence(F.length("nq") - d, F.length("nq") + d)).alias("len")).where(F.col("len") < n)
-        short = sized.join(variants.where(F.col("len") < n).select("variant", "len").distinct(), "len").select("query_id", "nq", "d", "variant")
-        out.append(long_.unionByName(short).withColumn("lev", within).where("lev >= 0"))
-    pairs = union(out)
+        least = F.create_map(*[F.lit(x) for dn in number.items() for x in dn])
+        sized = asked.select("query_id", "nq", "d", F.explode(F.sequence(F.length("nq") - F.col("d"), F.length("nq") + F.col("d"))).alias("len")).where(F.col("len") < F.element_at(least, F.col("d")))
+        short = sized.join(own.where(F.col("len") < max(number.values())), "len").select("query_id", "nq", "d", "variant")
+        pairs = long_.unionByName(short).withColumn("lev", within)
+    pairs = pairs.where((F.col("lev") >= 0) & (F.col("lev") <= wide * F.col("d"))).select("query_id", "nq", "d", "variant", "lev")
+    pairs = pairs if few else pairs.distinct()
     edit = F.when(F.col("lev") <= 1, F.col("lev")).otherwise(damerau_levenshtein(F.col("variant"), F.col("nq"))) if transpositions else F.col("lev")
-    pairs = pairs.withColumn("edit", edit)
-    return pairs.where("edit <= d").select("query_id", "variant", "edit")
+    return pairs.withColumn("edit", edit).where("edit <= d").select("query_id", "variant", "edit")
+
+
+def highest(config: dict, step: str) -> float:
+    """The highest score that a match of this kind can get, but for BM25."""
+    return (config["scores"][step] + max(0.0, config["modifiers"]["short_word_boost"])) * max([1.0, *map(float, config["field_weights"].values())])
 
 
-def candidates(queries: DataFrame, index: Index, language: Language, n: int, word_boundaries: bool | None = None, few: bool = False) -> DataFrame:
-    """All candidates of one language's pass. queries: query_id, query. few: see FEW."""
+def candidates(queries: DataFrame, index: Index, language: Language, n: int, word_boundaries: bool | None = None, few: bool = False, least: float = 0.0) -> DataFrame:
+    """All candidates of one language's pass. queries: query_id, query. few: see FEW. least: a score that no phonetic, synonym or n-gram match below it is
+    needed for; these never stand in another's way, so a matcher that cannot reach it is left out."""
     config = index.config
     features, edge = set(config["features"]), config["word_boundaries"] if word_boundaries is None else word_boundaries
-    asked = queries.select("query_id", "query", F.lower(language.normalized(F.col("query"))).alias("nq"))
+    text = custom_normalized(config, F.col("query"))
+    asked = queries.select("query_id", "query", F.lower(language.normalized(text)).alias("nq"))
     variant = index.variant.withColumnRenamed("lang_ord", "v_lang_ord")
     whole = lambda df: df.where(starts_word(F.col("variant"), F.col("nq"))) if edge else df
     plain = asked.where(~F.col("query").contains("*"))
-    out = [
-        _candidates(whole(plain.join(variant, F.col("nq") == F.col("variant"))), n, "exact", F.lit(0)),
-        _candidates(plain.join(index.base, F.col("nq") == F.col("word_lc")).withColumn("variant", F.col("word_lc")), n, "exact", F.lit(0), kind="base"),
-    ]
+    can = lambda step: highest(config, step) >= least
+    out = [_candidates(plain.join(index.base, F.col("nq") == F.col("word_lc")).withColumn("variant", F.col("word_lc")), n, "exact", F.lit(0), kind="base")]
     stars = asked.where(F.col("query").contains("*"))
-    out.append(_candidates(stars.join(index.base, matches_wildcard(F.col("word"), F.col("query"))).withColumn("variant", F.col("word_lc")), n, "exact", F.lit(0), kind="base"))
+    out.append(_candidates(_by_wildcard(stars, index.base), n, "exact", F.lit(0), kind="base"))
 
     begins = F.startswith("variant", F.col("nq"))
-    if few:
+    if few:  # one pass over the variants for all three
         small = F.broadcast(asked.where("nq <> ''"))
-        out.append(_candidates(whole(variant.join(small, begins & (F.col("len") > F.length("nq")))), n, "prefix"))
-        out.append(_candidates(variant.join(small, F.contains("variant", F.col("nq")) & ~begins & (F.length("nq") >= 2)), n, "substring"))
+        same = (F.col("variant") == F.col("nq")) & ~F.col("query").contains("*")
+        found = variant.join(small, F.contains("variant", F.col("nq")))
+        first = starts_word(F.col("variant"), F.col("nq")) if edge else F.lit(True)
+        step = F.when(begins & (F.col("len") > F.length("nq")) & first, "prefix").when(same & first, "exact").when(~begins & (F.length("nq") >= 2), "substring")
+        found = found.withColumn("matcher", step).where("matcher is not null")
+        type_ = F.when((F.col("matcher") == "exact") & (F.col("kind") == "compound"), "compound").otherwise(F.col("matcher"))
+        number = F.array_position(F.array(*map(F.lit, STEPS)), F.col("matcher")).cast("int") - 1
+        one = _candidates(found, n, "exact", F.when(F.col("matcher") == "exact", 0), kind="any", also=[number.alias("step_of"), type_.alias("type_of")])
+        out.append(one.withColumn("step", F.col("step_of")).withColumn("type", F.col("type_of")))
     else:
+        out.append(_candidates(whole(plain.join(variant, F.col("nq") == F.col("variant"))), n, "exact", F.lit(0)))
         sizes = asked.select(F.length("nq").alias("size")).where("size > 0").distinct()
         heads = variant.join(F.broadcast(sizes), F.col("len") > F.col("size")).withColumn("head", F.expr("substring(variant, 1, size)"))  # a row for each length of a query
         out.append(_candidates(whole(asked.join(heads, F.col("nq") == F.col("head"))), n, "prefix"))
-        starts = F.filter(F.flatten(F.transform(F.sequence(F.lit(2), F.greatest(F.col("len"), F.lit(2))), lambda i: F.transform(F.array(F.lit(2), F.lit(3)), lambda k: F.struct(i.alias("at"), F.substring("variant", i, k).alias("key"), k.alias("k"))))), lambda x: F.length(x["key"]) == x["k"])
-        inner = variant.withColumn("s", F.explode(starts)).withColumns({"key": F.col("s.key"), "at": F.col("s.at")}).drop("s")
-        long_ = asked.where(F.length("nq") >= 2).withColumn("key", F.substring("nq", 1, 3))
-        inside = F.substring("variant", F.col("at"), F.length("nq")) == F.col("nq")
-        out.append(_candidates(long_.join(inner, "key").where(inside & ~begins).dropDuplicates(["query_id", "base_id", "variant", "field"]), n, "substring"))
+        out.append(_candidates(_inside(asked, variant), n, "substring"))
 
-    if "phonetic" in features and "phonetic" in language.features:
+    if "phonetic" in features and "phonetic" in language.features and can("phonetic"):
         @F.pandas_udf("string")
         def code(words):
             return words.map(lambda w: language.phonetic(w) if w else None)
 
         out.append(_candidates(asked.withColumn("code", code("query")).where("code <> ''").join(index.phonetic.select("code", "base_id").distinct(), "code"), n, "phonetic"))
-    if "synonyms" in features:
+    if "synonyms" in features and can("synonym"):
         out.append(_candidates(asked.join(index.synonym, F.col("nq") == F.col("syn")), n, "synonym"))
-    size = config["ngram_size"]
-    grams = asked.where(F.length("nq") >= size).select("query_id", F.explode(F.array_distinct(ngrams(F.col("nq"), size))).alias("gram"))
-    out.append(_candidates(grams.join(index.ngram, "gram").select("query_id", "base_id").distinct(), n, "ngram"))
+    if can("ngram"):
+        size = config["ngram_size"]
+        grams = asked.where(F.length("nq") >= size).select("query_id", F.explode(F.array_distinct(ngrams(F.col("nq"), size))).alias("gram"))
+        out.append(_candidates(grams.join(index.ngram, "gram").select("query_id", "base_id").distinct(), n, "ngram"))
     if features & {"missing-letters", "extra-letters", "transpositions"}:
         pairs = fuzzy_pairs(asked.select("query_id", "nq"), variant, config["max_edit_distance"], "transpositions" in features, few)
         out.append(_candidates(pairs.join(variant, "variant"), n, "fuzzy", F.col("edit")))
     return union([c.select(*_COLUMNS) for c in out])
 
 
+def _inside(asked: DataFrame, variant: DataFrame, size: int = 3) -> DataFrame:
+    """Queries with the variants that hold them, not at the beginning. They meet by the gram of the query that the fewest variants have, a short query by the
+    whole of it, so a gram that many words share draws nothing to it unless a query is made of such grams only."""
+    grams = lambda c, k: F.array_distinct(ngrams(c, k))
+    own = variant.where("len >= 2").withColumn("key", F.explode(F.concat(grams(F.col("variant"), size), F.when(F.col("len") >= 2, grams(F.col("variant"), 2)).otherwise(F.array().cast("array<string>")))))
+    asked = asked.where(F.length("nq") >= 2)
+    often = own.groupBy("key").agg(F.count("*").alias("n"))
+    of_query = asked.select("query_id", F.explode(grams(F.col("nq"), size)).alias("key")).join(often, "key")
+    rarest = of_query.groupBy("query_id").agg(F.min_by("key", F.struct("n", "key")).alias("key"))
+    found = asked.join(rarest, "query_id").join(own, "key")
+    return found.where(F.contains("variant", F.col("nq")) & ~F.startswith("variant", F.col("nq"))).dropDuplicates(["query_id", "base_id", "variant", "field"])
+
+
+def _by_wildcard(stars: DataFrame, base: DataFrame) -> DataFrame:
+    """Queries with a * and the words that they fit: those that begin with letters meet words by the first of them, others are compared with all."""
+    head = F.lower(F.substring_index("query", "*", 1))
+    stars = stars.withColumn("head", F.substring(head, 1, 2)).withColumn("size", F.length("head"))
+    keyed = base.withColumn("size", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("head", F.expr("substring(word_lc, 1, size)"))
+    by_key = stars.where("size > 0").join(keyed, ["size", "head"])
+    rest = F.broadcast(stars.where("size = 0").drop("size", "head")).join(base, F.lit(True))  # a stated set of queries without a beginning
+    found = by_key.drop("size", "head").unionByName(rest)
+    return found.where(matches_wildcard(F.col("word"), F.col("query"))).withColumn("variant", F.col("word_lc"))
+
+
 def folded(found: DataFrame) -> DataFrame:
     """query_id, base_id and the match that stands: languages in order, matchers in order within one.
 

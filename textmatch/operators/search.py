@@ -35,7 +35,9 @@ def matches(index: Index, queries: DataFrame, **options) -> DataFrame:
     if config["enable_stop_words"] and config["stop_words"]:
         asked = asked.withColumn("query", drop_stop_words(F.col("query"), config["stop_words"]))
     langs, few = languages.get(opt["languages"] or config["languages"]), are_few(asked)
-    found = folded(union([candidates(asked, index, lang, n, opt["word_boundaries"], few) for n, lang in enumerate(langs)]))
+    bm25 = config["use_bm25"] if opt["bm25"] is None else opt["bm25"]
+    least = 0.0 if bm25 else opt["threshold"] or config["fuzzy_threshold"]
+    found = folded(union([candidates(asked, index, lang, n, opt["word_boundaries"], few, least) for n, lang in enumerate(langs)]))
     rows = found.join(asked, "query_id").join(index.base, "base_id")
     name = F.element_at(F.array(*[F.lit(x.name) for x in langs]), F.col("lang_ord") + 1)
     value = score(config, F.col("type"), F.col("query"), F.col("word"), F.coalesce("variant", "word_lc"), F.col("edit_distance"), F.lower("query"), opt["strict"])
@@ -44,7 +46,7 @@ def matches(index: Index, queries: DataFrame, **options) -> DataFrame:
         weight = F.array_max(F.transform("match_fields", lambda f: F.coalesce(F.element_at(weights, f), F.lit(1.0))))
         value = F.least(F.lit(1.0), value * F.coalesce(weight, F.lit(1.0)))
     rows = rows.withColumn("score", value)
-    if config["use_bm25"] if opt["bm25"] is None else opt["bm25"]:
+    if bm25:
         words = tokens(F.col("word"))
         ranked = rank(index.base.select("base_id", "word"), asked, words, tokens(F.col("query")), "base_id")
         w = config["bm25_weight"] or 0.6

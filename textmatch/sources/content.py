@@ -85,6 +85,7 @@ def dictionary_of(df: DataFrame, content: str = "content", kind: str = "text", m
 
 def fetch(spark, urls: list[str], timeout: float = 10.0) -> DataFrame:
     """url, content; content is null where nothing came. The driver fetches."""
+    from http.client import HTTPException
     from urllib.request import urlopen
 
     rows = []
@@ -92,6 +93,6 @@ def fetch(spark, urls: list[str], timeout: float = 10.0) -> DataFrame:
         try:
             with urlopen(url, timeout=timeout) as r:  # noqa: S310
                 rows.append((url, r.read().decode("utf-8", "replace")))
-        except OSError:
+        except (OSError, ValueError, HTTPException):  # unreachable, malformed, or no HTTP
             rows.append((url, None))
     return spark.createDataFrame(rows, "url string, content string")
