@@ -5,7 +5,6 @@ from pathlib import Path
 import pytest
 
 DATA = "/root/testdata/sf0.001"
-SLOW = {"search_batch", "search_fields", "fql_query", "phrase_query"}
 pytestmark = pytest.mark.skipif(not Path(DATA).is_dir(), reason="needs the tables")
 
 
@@ -34,8 +33,6 @@ def test_queries(spark, duck):
     from textmatch.plans.catalog import ORACLES, QUERIES
 
     for name, f in QUERIES.items():
-        if name in SLOW:
-            continue
         got = f(spark, DATA).toPandas()
         if name in ORACLES:
             expected = duck.execute(ORACLES[name]).df()
@@ -43,6 +40,12 @@ def test_queries(spark, duck):
             assert rows(got) == rows(expected), name
 
 
+def test_phrases_are_of_all_kinds(spark):
+    from textmatch.plans.catalog import QUERIES
+
+    assert {r["type"] for r in QUERIES["phrase_matches"](spark, DATA).select("type").distinct().collect()} == {"exact", "fuzzy", "proximity", "none"}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -32,3 +32,39 @@ def test_streams_of_words(spark, tmp_path):
     query.stop()
     assert {r["word"] for r in streaming.current(spark, path).base.collect()} == {"apple", "banana"}
     assert built.mode() == "classic"
+
+
+def test_a_batch_that_is_replayed_is_added_once(spark, tmp_path):
+    path = str(tmp_path / "index")
+    words = lambda *ws: spark.createDataFrame([(w,) for w in ws], "word string")
+    streaming.publish(index.build(words("apple"), {"languages": ["english"], "features": ["partial-words"]}), path)
+    now = lambda: sorted(r["word"] for r in streaming.current(spark, path).base.collect())
+    streaming.add_batch(words("banana", "Apple"), path, 0)
+    streaming.add_batch(words("cherry"), path, 1)
+    for number, batch in ((1, words("cherry")), (0, words("banana", "Apple"))):
+        streaming.add_batch(batch, path, number)
+        assert now() == ["apple", "banana", "cherry"]
+    streaming.compact(spark, path)
+    streaming.add_batch(words("cherry"), path, 1)
+    streaming.add_batch(words("date"), path, 2)
+    assert now() == ["apple", "banana", "cherry", "date"]
+
+
+def test_ids_do_not_depend_on_partitions(spark):
+    words = spark.createDataFrame([(f"word{k}",) for k in range(200)], "word string")
+    ids = lambda df: {r["word"]: r["base_id"] for r in index.build(df, {"languages": ["english"], "features": []}).base.collect()}
+    assert ids(words.repartition(7)) == ids(words.coalesce(1))
+
+
+def test_progress_normalizer_and_helpers(spark):
+    import textmatch
+    from textmatch.operators import search
+    from textmatch.sources import content
+
+    seen, words = [], spark.createDataFrame([("Anna-Lena",), ("Bert",)], "word string")
+    built = index.build(words, {"languages": ["english"], "features": [], "custom_normalizer": lambda w: w.replace("-", "")}, progress=lambda *x: seen.append(x))
+    assert seen == [(t, k, 5) for k, t in enumerate(index.TABLES, 1)] and built.variant.where("variant = 'annalena'").count() == 1
+    assert [r["display"] for r in search.search(built, "anna-lena").collect()] == ["Anna-Lena"]
+    got = spark.range(1).select(text.normalize_for_search(F.lit("Big-World, here!")), text.join_tokens(F.array(F.lit("a"), F.lit("b")), "+"), text.split_phrase_words(F.lit(" New  York "))).first()
+    assert list(got) == ["big world here", "a+b", ["new", "york"]] and textmatch.VERSION
+    assert [r["content"] for r in content.fetch(spark, ["no url", "http://", "http://127.0.0.1:1/x", "http://[bad/"]).collect()] == [None] * 4

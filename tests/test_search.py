@@ -58,12 +58,20 @@ def test_update_and_remove(spark, built):
     assert less.variant.where("variant = 'apple'").isEmpty()
 
 
-def test_few_and_many_queries_have_the_same_candidates(spark, built):
+@pytest.mark.parametrize(("language", "edge"), [("english", False), ("german", False), ("english", True)])
+def test_few_and_many_queries_have_the_same_candidates(spark, built, language, edge):
     from textmatch import languages
 
-    asked = spark.createDataFrame(list(enumerate(["krank", "ceive", "York", "aple", "heim", "x"])), "query_id long, query string")
-    key = lambda few: sorted((r["query_id"], r["base_id"], r["step"], r["variant"] or "", r["edit_distance"] or 0) for r in match.candidates(asked, built, languages.REGISTRY["english"], 0, few=few).collect())
-    assert key(True) == key(False)
+    asked = spark.createDataFrame(list(enumerate(["krank", "ceive", "York", "aple", "heim", "x", "recieve", "Schuel", "new york", "*york", "h*l", "or"])), "query_id long, query string")
+    found = lambda few: match.candidates(asked, built, languages.REGISTRY[language], 0, edge, few=few).collect()
+    key = lambda rows: sorted((r["query_id"], r["base_id"], r["step"], r["type"], r["variant"] or "", -1 if r["edit_distance"] is None else r["edit_distance"]) for r in rows)
+    assert key(found(True)) == key(found(False))
+
+
+def test_matchers_that_cannot_reach_the_threshold_are_left_out(built):
+    full = {(r["query_id"], r["base_id"]): r for r in search.search(built, ["recieve", "doktor", "physician"], limit=50, threshold=0.01).collect()}
+    some = {(r["query_id"], r["base_id"]): r for r in search.search(built, ["recieve", "doktor", "physician"], limit=50).collect()}
+    assert {k: (r["score"], r["match_type"]) for k, r in full.items() if r["score"] >= 0.33} == {k: (r["score"], r["match_type"]) for k, r in some.items()}
 
 
 def test_save_and_load(spark, built, tmp_path):

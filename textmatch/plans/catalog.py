@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import languages
-from ..config import merge
 from ..fql.compile import fql
 from ..functions import distance, facets, ranking, text
-from ..operators import highlight, index, match, phrase, score, search
+from ..operators import highlight, index, match, phrase, search
 from ..runtime import ship
 from ..sources import content
 
@@ -21,23 +20,23 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def _names(spark, sf_dir) -> DataFrame:
-    """Distinct part names in code point order."""
-    names = _read(spark, sf_dir, "part").select(F.col("p_name").alias("word")).distinct()
-    return names.withColumn("ord", F.row_number().over(Window.orderBy("word")) - 1)
+    """Distinct part names."""
+    return _read(spark, sf_dir, "part").select(F.col("p_name").alias("word")).distinct()
 
 
 def _index(spark, sf_dir, **config):
-    return index.build(_names(spark, sf_dir), {"languages": ["english"]} | config, ord_col="ord")
+    return index.build(_names(spark, sf_dir), {"languages": ["english"]} | config)
+
+
+def _letters_index(spark, sf_dir):
+    """The part names, searched by exact, prefix, substring, n-gram and edit-distance matches; SQL can say what these give."""
+    return _index(spark, sf_dir, features=["missing-letters"])
 
 
 def search_slice(spark, sf_dir):
-    """The ten best part names for one word, by exact, prefix, substring and edit-distance matches of whole names."""
-    words = _names(spark, sf_dir).select("word", F.lower("word").alias("lc"))
-    q, d = F.lit(QUERY), F.levenshtein("lc", F.lit(QUERY))
-    kind = F.when(F.col("lc") == q, "exact").when(F.startswith("lc", q), "prefix").when(d <= 2, "fuzzy").when(F.contains("lc", q), "substring")
-    rows = words.withColumn("match_type", kind).withColumn("edit", d).where("match_type is not null")
-    value = score.score(merge({"languages": ["english"]}), F.col("match_type"), q, F.col("word"), F.col("lc"), F.col("edit"), q)
-    return rows.select("word", "match_type", F.round(value, 6).alias("score")).orderBy(F.desc("score"), "word").limit(10)
+    """The ten best part names for one word."""
+    got = search.search(_letters_index(spark, sf_dir), QUERY, limit=10)
+    return got.select(F.col("display").alias("word"), "match_type", F.round("score", 6).alias("score"))
 
 
 def _tokens(spark, sf_dir) -> DataFrame:
@@ -90,8 +89,15 @@ def segmented(spark, sf_dir):
 
 
 def without_stop_words(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").where("lang = 'en'")
-    return docs.select("doc_id", F.md5(text.drop_stop_words(F.coalesce("text", F.lit("")), text.STOP_WORDS["english"])).alias("digest"))
+    """Digest of each text without the stop words of its language; as it is if the language has no list."""
+    t = F.coalesce("text", F.lit(""))
+    out = t
+    for code, name in _LISTS.items():
+        out = F.when(F.col("lang") == code, text.drop_stop_words(t, text.STOP_WORDS[name])).otherwise(out)
+    return _read(spark, sf_dir, "documents").select("doc_id", F.md5(out).alias("digest"))
+
+
+_LISTS = {code: text.CODES[code] for code in ("en", "de", "fr", "es")}
 
 
 def detected_languages(spark, sf_dir):
@@ -122,7 +128,8 @@ def bm25(spark, sf_dir):
 
 def corpus_statistics(spark, sf_dir):
     totals, df = ranking.corpus_stats(_read(spark, sf_dir, "documents"), text.tokens(F.coalesce("text", F.lit(""))))
-    return df.select("term", F.col("df").cast("long").alias("df"))
+    one = totals.select(F.col("n_docs").cast("long").alias("n_docs"), F.round("mean_length", 6).alias("mean_length"))
+    return df.select("term", F.col("df").cast("long").alias("df")).crossJoin(F.broadcast(one))  # one row of totals
 
 
 def html_source(spark, sf_dir):
@@ -159,10 +166,17 @@ def word_boundaries(spark, sf_dir):
     return part.select("word", text.contains_word(F.col("word"), F.lit("bolt"), True).alias("whole"), text.contains_word(F.col("word"), F.lit("ol")).alias("inside"), text.starts_word(F.col("word"), F.lit("bo")).alias("starts"))
 
 
+def _phrases(spark, sf_dir) -> DataFrame:
+    """A text of each part and a phrase of two words: two neighbours, two with a letter less each, the first and third, or one that is not there."""
+    part = _read(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("t"))
+    w = F.split("t", " ")
+    pairs = (F.concat_ws(" ", w[0], w[1]), F.concat_ws(" ", F.substring(w[0], 2, 99), F.substring(w[1], 2, 99)), F.concat_ws(" ", w[2], w[0]), F.lit("no such"))
+    return part.select("p_partkey", "t", F.element_at(F.array(*pairs), (F.col("p_partkey") % 4 + 1).cast("int")).alias("p"))
+
+
 def phrase_matches(spark, sf_dir):
-    """Two-word beginnings of the part types as phrases in the names' and types' texts."""
-    part = _read(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("t"), F.substring_index("p_type", " ", 2).alias("p"))
-    return part.select("p_partkey", F.round(phrase.phrase_score(F.col("t"), F.col("p"))["score"], 6).alias("score"), phrase.phrase_score(F.col("t"), F.col("p"))["type"].alias("type"))
+    found = phrase.phrase_score(F.col("t"), F.col("p"))
+    return _phrases(spark, sf_dir).select("p_partkey", F.round(found["score"], 6).alias("score"), found["type"].alias("type"))
 
 
 def exact_and_prefix(spark, sf_dir):
@@ -183,23 +197,31 @@ def word_variants(spark, sf_dir):
 
 
 def gram_index(spark, sf_dir):
-    return _index(spark, sf_dir).ngram
+    built = _index(spark, sf_dir)
+    return built.ngram.join(built.base, "base_id").select("gram", "word")
 
 
 def index_sizes(spark, sf_dir):
-    return _index(spark, sf_dir).stats()
+    return _letters_index(spark, sf_dir).stats()
 
 
 def _asked(spark, sf_dir) -> DataFrame:
     """Each distinct part name with its third letter dropped."""
-    names = _names(spark, sf_dir)
-    return names.select(F.col("ord").cast("long").alias("query_id"), F.concat(F.substring("word", 1, 2), F.expr("substring(word, 4)")).alias("query"))
+    return _names(spark, sf_dir).select(F.xxhash64("word").alias("query_id"), F.concat(F.substring("word", 1, 2), F.expr("substring(word, 4)")).alias("query"))
 
 
 def search_batch(spark, sf_dir):
     """Every part name, one letter short, against all part names."""
-    got = search.search(_index(spark, sf_dir), _asked(spark, sf_dir), limit=3)
-    return got.select("query_id", "query", "rank", "display", "match_type", F.round("score", 6).alias("score"))
+    got = search.search(_letters_index(spark, sf_dir), _asked(spark, sf_dir), limit=3)
+    return got.select("query", F.col("rank").cast("int").alias("rank"), "display", "match_type", F.round("score", 6).alias("score"))
+
+
+def search_first_letters(spark, sf_dir):
+    """Beginnings and inner parts of part names as queries: prefixes and substrings."""
+    names = _names(spark, sf_dir)
+    parts = names.select(F.explode(F.array(F.substring("word", 1, 4), F.substring("word", 3, 4))).alias("query")).where("length(trim(query)) = 4").distinct()
+    got = search.search(_letters_index(spark, sf_dir), parts.select(F.xxhash64("query").alias("query_id"), "query"), limit=5, threshold=0.2)
+    return got.select("query", F.col("rank").cast("int").alias("rank"), "display", "match_type", F.round("score", 6).alias("score"))
 
 
 def search_fields(spark, sf_dir):
@@ -211,12 +233,12 @@ def search_fields(spark, sf_dir):
 
 
 def fql_query(spark, sf_dir):
-    got = fql(_index(spark, sf_dir), "fql((bolt OR gear) AND NOT small SCORE>0.3)", limit=50)
-    return got.select("rank", "display", F.round("score", 6).alias("score"))
+    got = fql(_letters_index(spark, sf_dir), "fql((bolt OR gear) AND NOT small SCORE>0.3)", limit=50)
+    return got.select(F.col("rank").cast("int").alias("rank"), "display", F.round("score", 6).alias("score"))
 
 
 def fql_regex(spark, sf_dir):
-    return fql(_index(spark, sf_dir), 'fql(REGEX:"^[a-m].*e")', limit=1000, allow_regex=True).select(F.col("display").alias("word"))
+    return fql(_index(spark, sf_dir), 'fql(REGEX:"^[a-m].*e")', limit=1 << 30, allow_regex=True).select(F.col("display").alias("word"))
 
 
 def phrase_query(spark, sf_dir):
@@ -227,8 +249,8 @@ def phrase_query(spark, sf_dir):
 def index_update(spark, sf_dir):
     """Adding words that are there changes nothing, adding new ones adds them, removing takes them out."""
     built = _index(spark, sf_dir, features=["partial-words"])
-    more = _read(spark, sf_dir, "part").select(F.col("p_type").alias("word"), F.col("p_partkey").alias("ord")).unionByName(_names(spark, sf_dir).select("word", "ord"))
-    grown = index.add(built, more, ord_col="ord")
+    more = _read(spark, sf_dir, "part").select(F.col("p_type").alias("word")).unionByName(_names(spark, sf_dir))
+    grown = index.add(built, more)
     less = index.remove(grown, _names(spark, sf_dir))
     return less.base.select("word_lc")
 
@@ -237,7 +259,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         search_slice, fuzzy_join, fuzzy_join_transpositions, normalized, accents, tokenized, gram_jaccard, segmented, without_stop_words, detected_languages, facet_filters, facet_sort, bm25, corpus_statistics,
-        html_source, json_source, base64_source, text_source, chunked, wildcards, word_boundaries, phrase_matches, exact_and_prefix, phonetic_codes, word_variants, gram_index, index_sizes, search_batch,
+        html_source, json_source, base64_source, text_source, chunked, wildcards, word_boundaries, phrase_matches, exact_and_prefix, phonetic_codes, word_variants, gram_index, index_sizes, search_batch, search_first_letters,
         search_fields, fql_query, fql_regex, phrase_query, index_update,
     )
 }
@@ -274,15 +296,34 @@ def _letters(name: str) -> str:
 
 
 _NAMES = "SELECT DISTINCT p_name AS word FROM part"
+
+
+def _matches_sql(threshold: float) -> str:
+    """Ranked matches r (qid, query, word, match_type, v, score, rank) of the queries q (qid, query) with all part names."""
+    return f"""
+m AS (SELECT qid, query, word, lower(word) AS lc, lower(query) AS nq, length(word)::DOUBLE AS n, length(query)::DOUBLE AS l, levenshtein(lower(word), lower(query)) AS d FROM q, ({_NAMES})),
+k AS (SELECT *, greatest(n, l) AS high, CASE WHEN lc = nq THEN 'exact' WHEN starts_with(lc, nq) THEN 'prefix' WHEN d <= CASE WHEN l <= 9 THEN 2 ELSE 3 END THEN 'fuzzy' WHEN contains(lc, nq) AND l >= 2 THEN 'substring' END AS match_type FROM m),
+s AS (SELECT qid, query, word, match_type, greatest(0.0, least(1.0, CASE match_type WHEN 'exact' THEN 1.0
+  WHEN 'prefix' THEN CASE WHEN n - l <= 3 THEN least(1.0, 0.97 * (0.2 + 0.8 * l / n) + 0.08) ELSE 0.97 * (0.2 + 0.8 * l / n) END
+  WHEN 'fuzzy' THEN greatest(0.3, 0.7 * (least(l, n) / high) * (1 - 1.5 * d / high)) + CASE WHEN high > 4 THEN 0 WHEN d <= 1 THEN 0.15 WHEN d <= 2 THEN 0.08 ELSE 0 END
+  ELSE 0.87 * (0.4 + 0.6 * l / n) - 0.5 * pow((instr(lc, nq) - 1) / n, 3) END)) AS v FROM k WHERE match_type IS NOT NULL),
+r AS (SELECT *, round(v, 6)::DOUBLE AS score, (row_number() OVER (PARTITION BY qid ORDER BY v DESC, word))::INTEGER AS rank FROM s WHERE v >= {threshold})"""
+
+
 ORACLES = {
-    "search_slice": f"""
-WITH w AS (SELECT word, lower(word) AS lc, length(word)::DOUBLE AS n, length('{QUERY}')::DOUBLE AS q, levenshtein(lower(word), '{QUERY}') AS d FROM ({_NAMES})),
-k AS (SELECT *, CASE WHEN lc = '{QUERY}' THEN 'exact' WHEN starts_with(lc, '{QUERY}') THEN 'prefix' WHEN d <= 2 THEN 'fuzzy' WHEN contains(lc, '{QUERY}') THEN 'substring' END AS match_type FROM w),
-s AS (SELECT word, match_type, CASE match_type WHEN 'exact' THEN 1.0
-  WHEN 'prefix' THEN CASE WHEN n - q <= 3 THEN least(1.0, 0.97 * (0.2 + 0.8 * q / n) + 0.08) ELSE 0.97 * (0.2 + 0.8 * q / n) END
-  WHEN 'fuzzy' THEN greatest(0.3, 0.7 * (least(q, n) / greatest(q, n)) * (1 - 1.5 * d / greatest(q, n)))
-  ELSE 0.87 * (0.4 + 0.6 * q / n) - 0.5 * pow((instr(lc, '{QUERY}') - 1) / n, 3) END AS v FROM k WHERE match_type IS NOT NULL)
-SELECT word, match_type, round(greatest(0.0, least(1.0, v)), 6)::DOUBLE AS score FROM s ORDER BY score DESC, word LIMIT 10""",
+    "search_slice": f"WITH q AS (SELECT 0 AS qid, '{QUERY}' AS query), {_matches_sql(0.33)} SELECT word, match_type, score FROM r WHERE rank <= 10",
+    "search_batch": f"WITH q AS (SELECT word AS qid, word[1:2] || word[4:] AS query FROM ({_NAMES})), {_matches_sql(0.33)} SELECT query, rank, word AS display, match_type, score FROM r WHERE rank <= 3",
+    "search_first_letters": f"""
+WITH q AS (SELECT DISTINCT query AS qid, query FROM (SELECT unnest([word[1:4], word[3:6]]) AS query FROM ({_NAMES})) WHERE length(trim(query)) = 4), {_matches_sql(0.2)}
+SELECT query, rank, word AS display, match_type, score FROM r WHERE rank <= 5""",
+    "fql_query": f"""
+WITH q AS (SELECT unnest(['bolt', 'gear', 'small']) AS qid, unnest(['bolt', 'gear', 'small']) AS query), {_matches_sql(0.33)},
+b AS (SELECT word, max(v) AS v FROM r WHERE qid <> 'small' AND word NOT IN (SELECT word FROM r WHERE qid = 'small' AND v > 0.3) GROUP BY word)
+SELECT (row_number() OVER (ORDER BY v DESC, word))::INTEGER AS rank, word AS display, round(v, 6)::DOUBLE AS score FROM b""",
+    "index_sizes": f"""
+WITH n AS (SELECT DISTINCT lower(p_name) AS lc FROM part)
+SELECT name, rows::BIGINT AS rows FROM (VALUES ('base', (SELECT count(*) FROM n)), ('variant', (SELECT count(*) FROM n)), ('phonetic', 0), ('synonym', 0),
+  ('ngram', (SELECT sum(len({_grams("lc")})) FROM n WHERE length(lc) > 3))) t(name, rows)""",
     "fuzzy_join": f"""
 WITH t AS (SELECT DISTINCT unnest({_tokens_sql(3)}) AS variant FROM (SELECT strip_accents({_replaced("text", text.FOLDS.items())}) AS text FROM documents)), q AS ({_NATIONS})
 SELECT query_id, variant, levenshtein(variant, nq)::INTEGER AS edit FROM t, q WHERE levenshtein(variant, nq) <= {_DISTANCE}""",
@@ -304,8 +345,8 @@ SELECT p_name, p_type, round(CASE WHEN a = p_type THEN 1.0 WHEN a = '' OR p_type
 SELECT c_custkey, regexp_replace(c_name, '[^A-Za-z]', '', 'g') AS alpha, regexp_replace(c_name, '[^0-9]', '', 'g') AS digits, regexp_matches(c_name, '[A-Za-z]') AND regexp_matches(c_name, '[0-9]') AS mixed,
   array_to_string(regexp_extract_all(c_name, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+'), '|') AS segments FROM customer""",
     "without_stop_words": rf"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '' AND lower(x) NOT IN ({_listed(text.STOP_WORDS['english'])})) AS t FROM documents WHERE lang = 'en')
-SELECT doc_id, md5(CASE WHEN len(t) > 0 THEN array_to_string(t, ' ') ELSE text END) AS digest FROM d""",
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '' AND NOT list_contains(CASE lang {" ".join(f"WHEN '{c}' THEN [{_listed(text.STOP_WORDS[n])}]" for c, n in _LISTS.items())} ELSE [] END, lower(x))) AS t FROM documents)
+SELECT doc_id, md5(CASE WHEN len(t) > 0 AND lang IN ({_listed(list(_LISTS))}) THEN array_to_string(t, ' ') ELSE text END) AS digest FROM d""",
     "detected_languages": f"SELECT doc_id, array_to_string(list_filter(['english', {', '.join(map(_letters, text.LETTERS))}], lambda x: x IS NOT NULL), ',') AS languages FROM documents",
     "facet_filters": "SELECT p_partkey, p_brand, p_retailprice FROM part WHERE p_retailprice BETWEEN 950 AND 1500 AND lower(p_brand) IN ('brand#12', 'brand#2', 'brand#17')",
     "facet_sort": "SELECT p_partkey, p_brand, place FROM (SELECT p_partkey, p_brand, (row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_retailprice, p_partkey))::INTEGER AS place FROM part) WHERE place <= 5",
@@ -316,7 +357,9 @@ tf AS (SELECT doc_id, length, term, count(*)::DOUBLE AS tf FROM (SELECT doc_id,
 df AS (SELECT term, count(*)::DOUBLE AS df FROM tf GROUP BY term),
 s AS (SELECT item_id, doc_id, round(sum(times * greatest(ln((n - df + 0.5) / (df + 0.5) + 1), 0.1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS bm25 FROM tf JOIN df USING (term) JOIN q USING (term), n GROUP BY ALL)
 SELECT item_id, doc_id, bm25, place FROM (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY bm25 DESC, doc_id))::INTEGER AS place FROM s) WHERE place <= 20""",
-    "corpus_statistics": f"SELECT term, count(*)::BIGINT AS df FROM (SELECT DISTINCT doc_id, unnest({_tokens_sql(1)}) AS term FROM documents) GROUP BY term",
+    "corpus_statistics": f"""
+WITH d AS (SELECT doc_id, {_tokens_sql(1)} AS t FROM documents), n AS (SELECT count(*)::BIGINT AS n_docs, round(avg(len(t)), 6)::DOUBLE AS mean_length FROM d)
+SELECT term, count(*)::BIGINT AS df, any_value(n_docs) AS n_docs, any_value(mean_length) AS mean_length FROM (SELECT doc_id, unnest(list_distinct(t)) AS term FROM d), n GROUP BY term""",
     "html_source": r"""
 WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\b[^>]*>.*?</script>', ' ', 'gis'), '<style\b[^>]*>.*?</style>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs'), '<[^>]+>', ' ', 'g') AS t FROM pages)
 SELECT page_id, md5(trim(regexp_replace(""" + _replaced("t", content.ENTITIES) + r""", '\s+', ' ', 'g'))) AS digest FROM a""",
@@ -325,11 +368,15 @@ SELECT page_id, md5(trim(regexp_replace(""" + _replaced("t", content.ENTITIES) +
     "text_source": f"SELECT word FROM (SELECT DISTINCT unnest({_tokens_sql(3)}) AS word FROM documents) WHERE word NOT IN ({_listed(text.STOP_WORDS['english'])})",
     "wildcards": f"SELECT word FROM ({_NAMES}) WHERE regexp_matches(lower(word), '^.*e.*l.*$')",
     "word_boundaries": rf"SELECT word, regexp_matches(lower(word), '(^|{_SEP})bolt({_SEP}|$)') AS whole, contains(lower(word), 'ol') AS inside, regexp_matches(lower(word), '(^|[^a-z0-9_])bo') AS starts FROM ({_NAMES})",
-    "phrase_matches": "SELECT p_partkey, 1.0::DOUBLE AS score, 'exact' AS type FROM part",
+    "phrase_matches": """
+WITH a AS (SELECT p_partkey, p_name || ' ' || p_type || ' ' || p_brand AS t FROM part), b AS (SELECT *, string_split(t, ' ') AS w FROM a),
+c AS (SELECT p_partkey, lower(t) AS t, string_split(lower(t), ' ') AS w, string_split(lower([w[1] || ' ' || w[2], w[1][2:] || ' ' || w[2][2:], w[3] || ' ' || w[1], 'no such'][p_partkey % 4 + 1]), ' ') AS p FROM b),
+e AS (SELECT *, list_transform(range(1, len(w)), lambda i: [levenshtein(w[i], p[1]), levenshtein(w[i + 1], p[2])]) AS d, abs(list_position(w, p[1]) - list_position(w, p[2])) AS span FROM c),
+f AS (SELECT *, list_filter(d, lambda x: x[1] <= 1 AND x[2] <= 1)[1] AS near FROM e)
+SELECT p_partkey, round(CASE WHEN contains(t, p[1] || ' ' || p[2]) THEN 1.0 WHEN near IS NOT NULL THEN 0.7 + 0.2 * (1 - (near[1] + near[2]) / 2.0) WHEN span <= 6 THEN 0.5 + 0.2 * (1 - span / 6.0) ELSE 0.0 END, 6)::DOUBLE AS score,
+  CASE WHEN contains(t, p[1] || ' ' || p[2]) THEN 'exact' WHEN near IS NOT NULL THEN 'fuzzy' WHEN span <= 6 THEN 'proximity' ELSE 'none' END AS type FROM f""",
     "exact_and_prefix": f"SELECT head, word, place FROM (SELECT lower(word)[1:3] AS head, word, (row_number() OVER (PARTITION BY lower(word)[1:3] ORDER BY length(word), word))::INTEGER AS place FROM ({_NAMES})) WHERE place <= 5",
-    "gram_index": rf"""
-WITH n AS (SELECT word, lower(word) AS lc, row_number() OVER (ORDER BY word) - 1 AS ord FROM ({_NAMES}))
-SELECT DISTINCT unnest({_grams("lc")}) AS gram, ord::BIGINT AS base_id FROM n WHERE length(lc) > 3""",
+    "gram_index": f"SELECT DISTINCT unnest({_grams('lc')}) AS gram, word FROM (SELECT word, lower(word) AS lc FROM ({_NAMES})) WHERE length(lc) > 3",
     "fql_regex": f"SELECT word FROM ({_NAMES}) WHERE regexp_matches(word, '^[a-m].*e')",
     "index_update": "SELECT DISTINCT lower(p_type) AS word_lc FROM part WHERE lower(p_type) NOT IN (SELECT lower(p_name) FROM part)",
 }
