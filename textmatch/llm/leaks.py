@@ -42,6 +42,8 @@ LCS, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
 #: Items of fewer words than this must be there word for word.
 SHORT = 8
 BLOCK_WORDS = 200_000
+#: Words of documents that are searched together.
+SEARCH_WORDS = 1 << 15
 SEED = 17
 BATCH_ROWS = 512
 SPLIT = r"[^\p{L}\p{N}]+"
@@ -123,22 +125,22 @@ def coded(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
     return out
 
 
-def _sums(codes: np.ndarray, passage: np.ndarray, n: int, weight: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _sums(codes: np.ndarray, passage: np.ndarray, weight: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Z and G of the passages (number of the passage of each word)."""
     known = weight[codes] > 0
     codes, passage = codes[known], passage[known]
-    norm = np.sqrt(np.bincount(passage, weight[codes].astype(np.float64) ** 2, n)) + 1e-9
+    if not len(codes):
+        return np.zeros(w.shape), np.zeros((w.shape[1], w.shape[1]))
+    first = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])  # passages without a weighted word add nothing
+    passage = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(codes)]))
+    norm = np.sqrt(np.bincount(passage, weight[codes].astype(np.float64) ** 2)) + 1e-9
     value = (weight[codes] / norm[passage]).astype(np.float32)
-    y = np.zeros((n, w.shape[1]), np.float32)
-    if len(codes):
-        first = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
-        y[passage[first]] = np.add.reduceat(w[codes] * value[:, None], first, axis=0)
+    y = np.add.reduceat(w[codes] * value[:, None], first, axis=0)
     z = np.zeros_like(w, np.float64)
-    if len(codes):
-        order = np.argsort(codes, kind="stable")
-        of = codes[order]
-        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-        z[of[first]] = np.add.reduceat(y[passage[order]] * value[order][:, None], first, axis=0)
+    order = np.argsort(codes, kind="stable")
+    of = codes[order]
+    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    z[of[first]] = np.add.reduceat(y[passage[order]] * value[order][:, None], first, axis=0)
     return z, (y.T @ y).astype(np.float64)
 
 
@@ -175,7 +177,7 @@ def latent_space(docs: DataFrame, items: Items, rank: int = RANK, seed: int = SE
                 sizes = np.diff(offsets)
                 first = np.r_[0, np.cumsum(-(-sizes // PASSAGE))]
                 inside = np.arange(len(codes)) - np.repeat(offsets[:-1] - offsets[0], sizes)
-                one, two = _sums(codes, np.repeat(first[:-1], sizes) + inside // PASSAGE, int(first[-1]), weight, w)
+                one, two = _sums(codes, np.repeat(first[:-1], sizes) + inside // PASSAGE, weight, w)
                 z += one
                 g += two
         parts = [g, *(z[k : k + 256] for k in range(0, len(z), 256))]
@@ -192,7 +194,7 @@ def latent_space(docs: DataFrame, items: Items, rank: int = RANK, seed: int = SE
     z, g = np.zeros((size, wide)), np.zeros((wide, wide))
     own = items.codes
     number = np.concatenate([np.full(len(c), k) for k, c in enumerate(own)]).astype(np.int64)
-    one, two = _sums(np.concatenate(own), number, len(own), weight, w)
+    one, two = _sums(np.concatenate(own), number, weight, w)
     if parts:
         g = np.frombuffer(parts.pop(0)).reshape(g.shape).copy()
         z = np.concatenate([np.frombuffer(parts[k]).reshape(-1, wide) for k in sorted(parts)])
@@ -232,13 +234,13 @@ class Search:
             mine = [(k, c) for k, s, c in found if s == size]
             self.by_size[size] = np.array([k for k, _ in mine]), _unit(np.stack([space[c].sum(axis=0) for _, c in mine])).T.copy()
 
-    def _exact(self, codes: np.ndarray) -> dict[int, list]:
-        """For items that share enough word pairs with a stretch of a document: (None, chunk, chunks of a window)."""
-        wide = codes.astype(np.int64)
-        keys, at = wide[:-1] * self.base + wide[1:], np.flatnonzero((codes[:-1] > 0) & (codes[1:] > 0))
-        keys = keys[at]
+    def _exact(self, padded: np.ndarray, doc_of: np.ndarray, best: dict) -> None:
+        """Adds (None, chunk, chunks of a window) for items that share enough word pairs with a stretch of a document."""
+        wide = padded.astype(np.int64)
+        at = np.flatnonzero((padded[:-1] > 0) & (padded[1:] > 0))
+        keys = wide[at] * self.base + wide[at + 1]
         if (self.sizes == 1).any():
-            alone = np.flatnonzero(codes)
+            alone = np.flatnonzero(padded)
             keys, at = np.r_[keys, wide[alone] * self.base], np.r_[at, alone]
         place = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
         hit = self.pairs[place] == keys
@@ -246,19 +248,19 @@ class Search:
         first = self.pair_first[place]
         n = self.pair_first[place + 1] - first
         if not n.sum():
-            return {}
+            return
         owner = self.pair_owner[np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
         at = np.repeat(at, n)
-        order = np.lexsort((at, owner))
-        owner, at = owner[order], at[order]
+        group = doc_of[at // STEP] * len(self.sizes) + owner
+        order = np.lexsort((at, group))
+        owner, at, group = owner[order], at[order], group[order]
         last = np.arange(len(at)) + self.need[owner] - 1
         within = np.minimum(last, len(at) - 1)
-        good = (last < len(at)) & (owner[within] == owner) & (at[within] - at <= self.sizes[owner] * 3 // 2)
-        out: dict[int, list] = {}
-        for key in np.unique(owner[good] * len(codes) + at[good] // STEP).tolist():
-            item, chunk = divmod(key, len(codes))
-            out.setdefault(item, []).append((None, chunk, self.windows[item][0][0]))
-        return out
+        good = (last < len(at)) & (group[within] == group) & (at[within] - at <= self.sizes[owner] * 3 // 2)
+        n_chunks = len(doc_of)
+        for key in np.unique(owner[good] * n_chunks + at[good] // STEP).tolist():
+            item, chunk = divmod(key, n_chunks)
+            best.setdefault((int(doc_of[chunk]), item), []).append((None, chunk, self.windows[item][0][0]))
 
     def _cosine(self, item: int, codes: np.ndarray) -> float:
         """Greatest cosine of a window of the item with these words."""
@@ -266,31 +268,48 @@ class Search:
         return max(float(_unit(self.space[c].sum(axis=0)[None])[0] @ mine) for _, c in self.windows[item])
 
     def leaks(self, codes: np.ndarray) -> list[tuple[int, float, float]]:
-        """(item, cosine, share of the item in the longest common subsequence)."""
-        if not len(codes):
-            return []
-        best = self._exact(codes)
-        known = np.flatnonzero(self.weighted[codes])
-        if len(known):
-            self._latent(codes, known, best)
-        return self._checked(codes, best)
-
-    def _latent(self, codes: np.ndarray, known: np.ndarray, best: dict[int, list]) -> None:
+        """(item, cosine, share of the item in the longest common subsequence) of one document."""
+        return [x[1:] for x in self.leaks_of(codes, np.array([0, len(codes)]))]
+
+    def leaks_of(self, codes: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, float, float]]:
+        """(document, item, cosine, share) of documents that lie one after another. Each is padded to whole chunks, to the widest window and to a gap at
+        least, so that no window, pair or stretch reaches from one into the next."""
+        sizes = np.diff(offsets)
+        real = -(-sizes // STEP)
+        held = np.maximum(real, max(self.by_size)) + 1
+        start = np.cumsum(held) - held
+        padded = np.zeros(int(held.sum()) * STEP, np.int32)
+        padded[np.repeat(start * STEP - (offsets[:-1] - offsets[0]), sizes) + np.arange(int(sizes.sum()))] = codes[offsets[0] : offsets[-1]]
+        doc_of = np.repeat(np.arange(len(sizes)), held)
+        best: dict[tuple[int, int], list] = {}
+        self._exact(padded, doc_of, best)
+        self._latent(padded, doc_of, start, real, best)
+        found: dict[int, dict[int, list]] = {}
+        for (doc, item), hits in best.items():
+            found.setdefault(doc, {})[item] = [(cosine, chunk - int(start[doc]), size) for cosine, chunk, size in hits]
+        return [(doc, *x) for doc in sorted(found) for x in self._checked(codes[offsets[doc] : offsets[doc + 1]], found[doc])]
+
+    def _latent(self, padded: np.ndarray, doc_of: np.ndarray, start: np.ndarray, real: np.ndarray, best: dict) -> None:
         """Adds (cosine, chunk, chunks of the window) of the windows that are like an item."""
-        n_chunks = -(-len(codes) // STEP)
+        known = np.flatnonzero(self.weighted[padded])
+        if not len(known):
+            return
+        n = len(doc_of)
         chunk = known // STEP
         first = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
-        chunks, count = np.zeros((n_chunks, self.space.shape[1]), np.float32), np.bincount(chunk, minlength=n_chunks)
-        chunks[chunk[first]] = np.add.reduceat(self.space[codes[known]], first, axis=0)
+        chunks, count = np.zeros((n, self.space.shape[1]), np.float32), np.bincount(chunk, minlength=n)
+        chunks[chunk[first]] = np.add.reduceat(self.space[padded[known]], first, axis=0)
+        local = np.arange(n) - start[doc_of]
         for size, (owner, vectors) in self.by_size.items():
-            n = max(1, n_chunks - size + 1)
-            parts = range(min(size, n_chunks))
-            busy = np.flatnonzero(sum(count[k : k + n] for k in parts))  # a window without weighted words is like no item
+            fits = local < np.maximum(1, real - size + 1)[doc_of]
+            words_in = np.convolve(count, np.ones(size, np.int64))[size - 1 :]  # of the window that begins at each chunk
+            busy = np.flatnonzero(fits & (words_in > 0))  # a window without weighted words is like no item
             for lo in range(0, len(busy), 4096):  # bounds the memory for one very long text
                 rows = busy[lo : lo + 4096]
-                cosine = _unit(sum(chunks[rows + k] for k in parts)) @ vectors
+                cosine = _unit(sum(chunks[rows + k] for k in range(size))) @ vectors
                 for i, j in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                    best.setdefault(int(owner[j]), []).append((float(cosine[i, j]), int(rows[i]), size))
+                    row = int(rows[i])
+                    best.setdefault((int(doc_of[row]), int(owner[j])), []).append((float(cosine[i, j]), row, size))
 
     def _checked(self, codes: np.ndarray, best: dict[int, list]) -> list[tuple[int, float, float]]:
         out = []
@@ -348,9 +367,12 @@ def _leaks_of(docs: DataFrame, items: Items, item_type) -> DataFrame:
             search = Search(items, space)
             for b in batches:
                 lists, found = b.column(2), []
-                offsets, codes = lists.offsets.to_numpy(), lists.values.to_numpy()
-                for k in range(b.num_rows):
-                    found += [(k, *x) for x in search.leaks(codes[offsets[k] : offsets[k + 1]])]
+                offsets, codes = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+                k = 0
+                while k < b.num_rows:  # documents of about SEARCH_WORDS words at a time
+                    stop = max(k + 1, int(np.searchsorted(offsets, offsets[k] + SEARCH_WORDS, "right")) - 1)
+                    found += [(k + doc, *x) for doc, *x in search.leaks_of(codes, offsets[k : stop + 1])]
+                    k = stop
                 at = pa.array([f[0] for f in found], pa.int64())
                 made = [pa.array([items.ids[f[1]] for f in found], arrow_type), *(pa.array([f[j] for f in found], pa.float64()) for j in (2, 3))]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *made], ["doc_id", "key", "item_id", "cosine", "lcs"])
