@@ -213,7 +213,8 @@ class Search:
     """Leaks of a block of items in the words of a document."""
 
     def __init__(self, items: Items, space: np.ndarray):
-        self.codes, self.answers, self.space = [c.tolist() for c in items.codes], items.answers, space
+        self.codes, self.answers, self.space = items.codes, items.answers, space
+        self.of_item, self.of_text = np.zeros((2, len(space)), bool)  # marked words; none between calls
         self.weighted = np.abs(space).sum(axis=1) > 0
         self.by_size = {}
         self.base = len(space)  # a pair of words is first * base + second; an item of one word has it with 0
@@ -307,27 +308,42 @@ class Search:
             for lo in range(0, len(busy), 4096):  # bounds the memory for one very long text
                 rows = busy[lo : lo + 4096]
                 cosine = _unit(sum(chunks[rows + k] for k in range(size))) @ vectors
-                for i, j in zip(*np.nonzero(cosine >= COSINE), strict=True):
+                flat = cosine.ravel()
+                for at in np.flatnonzero(flat >= COSINE).tolist():
+                    i, j = divmod(at, len(owner))
                     row = int(rows[i])
-                    best.setdefault((int(doc_of[row]), int(owner[j])), []).append((float(cosine[i, j]), row, size))
+                    best.setdefault((int(doc_of[row]), int(owner[j])), []).append((float(flat[at]), row, size))
 
     def _checked(self, codes: np.ndarray, best: dict[int, list]) -> list[tuple[int, float, float]]:
         out = []
         for item, hits in best.items():
             own, done, top = self.codes[item], -1, None
             need = 1.0 if len(own) < SHORT else LCS
+            least = (1.0 if len(own) < SHORT else PARAPHRASE) * len(own)
+            self.of_item[own] = True
             for cosine, i, size in sorted(hits, key=lambda h: h[1]):
                 if i <= done:  # that stretch has been compared
                     continue
                 lo, hi = max(0, i * STEP - len(own)), (i + size) * STEP + len(own)
                 done = i + 1
-                near = codes[lo:hi].tolist()
-                share = lcs(own, near) / len(own)
+                near = codes[lo:hi]
+                both = self.of_item[near]
+                if np.count_nonzero(both) < least:  # however its words stand, no leak
+                    continue
+                near = near[both]
+                self.of_text[near] = True
+                most = np.count_nonzero(self.of_text[own])
+                self.of_text[near] = False
+                if most < least:
+                    continue
+                near = near.tolist()
+                share = lcs(own.tolist(), near) / len(own)
                 asked = self.answers[item]
                 if share >= need or len(own) >= SHORT and share >= PARAPHRASE and lcs(asked, near) >= ANSWER * len(asked):
                     if cosine is None:
                         cosine = self._cosine(item, codes[i * STEP : (i + size) * STEP])
                     top = max(top or (share, cosine), (share, cosine))
+            self.of_item[own] = False
             if top:
                 share, cosine = top
                 out.append((item, cosine, share))
