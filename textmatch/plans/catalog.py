@@ -193,7 +193,9 @@ def phonetic_codes(spark, sf_dir):
 
 
 def word_variants(spark, sf_dir):
-    return _index(spark, sf_dir).variant.select("variant", "base_id", "kind", "lang")
+    """Variants of every part name."""
+    built = _index(spark, sf_dir)
+    return built.variant.join(built.base.select("base_id", "word"), "base_id").select("variant", "word", "kind", "lang")
 
 
 def gram_index(spark, sf_dir):
@@ -296,6 +298,16 @@ def _letters(name: str) -> str:
 
 
 _NAMES = "SELECT DISTINCT p_name AS word FROM part"
+_BUDGET = languages.BUDGET["balanced"]
+
+
+def _ending(e: str) -> str:
+    return f"CASE WHEN ends_with(t, '{e}') AND n > {len(e) + 2} THEN t[:n - {len(e)}] END"
+
+
+def _unended(e: str, least: int) -> str:
+    stem = f"CASE WHEN ends_with(t, '{e}') AND n > {least} THEN t[:n - {len(e)}] END"
+    return f"{stem}, {stem} || 'e'"
 
 
 def _matches_sql(threshold: float) -> str:
@@ -366,6 +378,18 @@ SELECT page_id, md5(trim(regexp_replace(""" + _replaced("t", content.ENTITIES) +
     "json_source": "SELECT p_partkey, p_name || ' ' || p_brand || ' ' || p_type AS leaves FROM part",
     "base64_source": f"SELECT DISTINCT unnest(list_filter(string_split_regex(lower(p_name), '{_SEP}+'), lambda x: length(x) >= 1)) AS word FROM part",
     "text_source": f"SELECT word FROM (SELECT DISTINCT unnest({_tokens_sql(3)}) AS word FROM documents) WHERE word NOT IN ({_listed(text.STOP_WORDS['english'])})",
+    "chunked": r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS id, conv_id, turn, list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS parts FROM conversations),
+s AS (SELECT id, 1 AS i, 0 AS no, length(parts[1]) AS held FROM d WHERE len(parts) > 0
+  UNION ALL SELECT id, i + 1, CASE WHEN held + 1 + length(parts[i + 1]) > 200 THEN no + 1 ELSE no END, CASE WHEN held + 1 + length(parts[i + 1]) > 200 THEN 0 ELSE held + 1 END + length(parts[i + 1]) FROM s JOIN d USING (id) WHERE i < len(parts))
+SELECT any_value(conv_id) AS conv_id, any_value(turn) AS turn, no::INTEGER AS no, string_agg(parts[i], ' ' ORDER BY i) AS chunk FROM s JOIN d USING (id) GROUP BY id, no""",
+    "word_variants": f"""
+WITH w AS (SELECT word, lower(word) AS t, length(word) AS n FROM ({_NAMES})),
+a AS (SELECT *, CASE WHEN n <= 6 THEN {_BUDGET[0]} WHEN n <= 12 THEN {_BUDGET[1]} ELSE {_BUDGET[2]} END AS most, [t, {", ".join(map(_ending, languages.ENDINGS["english"].split()))}] AS stems FROM w),
+b AS (SELECT *, CASE WHEN n > 4 THEN list_transform(range(3, n, greatest(1, (n - 3) // most)), lambda k: t[:k]) ELSE [] END AS heads FROM a),
+c AS (SELECT *, coalesce(list_filter(range(1, len(heads) + 1), lambda j: len(list_distinct(list_concat(stems, [word], heads[:j]))) - 2 >= most)[1], len(heads)) AS last FROM b),
+v AS (SELECT word, t, list_distinct(list_concat(stems, heads[:last], [CASE WHEN NOT ends_with(t, 's') THEN t || 's' WHEN n > 3 THEN t[:n - 1] END, {_unended("ing", 5)}, {_unended("ed", 4)}])) AS variants FROM c)
+SELECT variant, word, CASE WHEN variant = t THEN 'normal' ELSE 'partial' END AS kind, 'english' AS lang FROM (SELECT word, t, unnest(variants) AS variant FROM v) WHERE variant <> ''""",
     "wildcards": f"SELECT word FROM ({_NAMES}) WHERE regexp_matches(lower(word), '^.*e.*l.*$')",
     "word_boundaries": rf"SELECT word, regexp_matches(lower(word), '(^|{_SEP})bolt({_SEP}|$)') AS whole, contains(lower(word), 'ol') AS inside, regexp_matches(lower(word), '(^|[^a-z0-9_])bo') AS starts FROM ({_NAMES})",
     "phrase_matches": """
