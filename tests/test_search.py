@@ -95,6 +95,16 @@ def test_phrases(built):
     assert rows[0]["display"] == "New York City" and rows[0]["score"] == 1.0
 
 
+def test_phrases_in_blocks(spark, monkeypatch):
+    built = index.build(spark.createDataFrame([("New York",), ("York New",), ("Los Angeles",), ("Boston",)], "word string"), {"languages": ["english"]})
+    asked = ['"new york" "los angeles"', '"angeles los"', '"no such"']
+    rows = lambda: sorted(map(tuple, phrase.phrase_search(built, asked).select("query", "display", "match_type", "score").collect()))
+    whole = rows()
+    assert {r[1] for r in whole} == {"New York", "York New", "Los Angeles"}
+    monkeypatch.setattr(phrase, "BLOCK", 1)
+    assert rows() == whole
+
+
 @pytest.mark.parametrize(("swap", "few"), [(False, False), (True, False), (True, True)])
 def test_fuzzy_pairs_lose_nothing(spark, swap, few):
     words = ["a", "ab", "abc", "abcd", "teh", "the", "then", "banana", "bandana", "bnadana", "function", "funciton", "functional", "receive", "recieve", "responsibility", "responsibilty", "irresponsible"]

@@ -11,6 +11,10 @@ from .index import Index, union
 from .search import as_queries, matches, ranked
 
 
+#: Phrases that are sent to the executors at once; a call with more takes them in blocks.
+BLOCK = 4096
+
+
 def phrase_score(text: Column, phrase: Column, max_edit: int = 1, max_span: int | None = None, transpositions: bool = False) -> Column:
     """Struct of score and type. exact 1: the phrase occurs. fuzzy 0.7 to 0.9: words in a row, each within max_edit. proximity 0.5 to 0.7: all
     words within max_span places. Else 0 and none. transpositions: a swap of neighbours in a word counts once."""
@@ -39,7 +43,7 @@ def _swap_distance(a: Column, b: Column, most: int) -> Column:
 
 
 def phrase_search(index: Index, queries, **options) -> DataFrame:
-    """search for queries with quoted parts. Phrases meet every base word once; what also matches the terms comes first, terms alone are
+    """search for queries with quoted parts. Phrases meet every base word once, in blocks of BLOCK; what also matches the terms comes first, terms alone are
     worth 0.8. The scores of phrases are 1.5 times their match, 1 at most (strict: not bounded, and 1.2 times with terms, bounded)."""
     spark, strict = index.base.sparkSession, options.get("strict", False)
     asked = as_queries(spark, queries)
@@ -50,8 +54,8 @@ def phrase_search(index: Index, queries, **options) -> DataFrame:
     threshold = options.get("threshold") or index.config["fuzzy_threshold"]
     plain = {k: v for k, v in options.items() if k not in ("limit", "filters", "sort", "highlight")}
     out = []
-    if phrases:
-        small = spark.createDataFrame(phrases, "query_id long, phrase string")
+    for at in range(0, len(phrases), BLOCK):
+        small = spark.createDataFrame(phrases[at : at + BLOCK], "query_id long, phrase string")
         pairs = index.base.join(F.broadcast(small), F.lit(True))  # a stated set of phrases against all rows
         swap = "transpositions" in index.config["features"]
         got = pairs.withColumn("p", phrase_score(F.col("word"), F.col("phrase"), 1, None, swap)).where("p.score > 0")

@@ -244,8 +244,9 @@ def fql_regex(spark, sf_dir):
 
 
 def phrase_query(spark, sf_dir):
-    got = phrase.phrase_search(_index(spark, sf_dir), ['"blue bolt" gear'], limit=20)
-    return got.select("rank", "display", "match_type", F.round("score", 6).alias("score"))
+    """A phrase, whole, with errors or apart, and a word beside it."""
+    got = phrase.phrase_search(_letters_index(spark, sf_dir), ['"blue bolt" gear'], limit=20)
+    return got.select(F.col("rank").cast("int").alias("rank"), "display", "match_type", F.round("score", 6).alias("score"))
 
 
 def index_update(spark, sf_dir):
@@ -401,6 +402,13 @@ SELECT p_partkey, round(CASE WHEN contains(t, p[1] || ' ' || p[2]) THEN 1.0 WHEN
   CASE WHEN contains(t, p[1] || ' ' || p[2]) THEN 'exact' WHEN near IS NOT NULL THEN 'fuzzy' WHEN span <= 6 THEN 'proximity' ELSE 'none' END AS type FROM f""",
     "exact_and_prefix": f"SELECT head, word, place FROM (SELECT lower(word)[1:3] AS head, word, (row_number() OVER (PARTITION BY lower(word)[1:3] ORDER BY length(word), word))::INTEGER AS place FROM ({_NAMES})) WHERE place <= 5",
     "gram_index": f"SELECT DISTINCT unnest({_grams('lc')}) AS gram, word FROM (SELECT word, lower(word) AS lc FROM ({_NAMES})) WHERE length(lc) > 3",
+    "phrase_query": f"""
+WITH q AS (SELECT 0 AS qid, 'gear' AS query), {_matches_sql(0.33)},
+a AS (SELECT word, lower(word) AS t, string_split(lower(word), ' ') AS w FROM ({_NAMES})),
+e AS (SELECT *, list_filter(list_transform(range(1, len(w)), lambda i: [levenshtein(w[i], 'blue'), levenshtein(w[i + 1], 'bolt')]), lambda x: x[1] <= 1 AND x[2] <= 1)[1] AS near, abs(list_position(w, 'blue') - list_position(w, 'bolt')) AS span FROM a),
+f AS (SELECT word, least(1.0, 1.5 * CASE WHEN contains(t, 'blue bolt') THEN 1.0 WHEN near IS NOT NULL THEN 0.7 + 0.2 * (1 - (near[1] + near[2]) / 2.0) WHEN span <= 6 THEN 0.5 + 0.2 * (1 - span / 6.0) END) AS p FROM e WHERE contains(t, 'blue bolt') OR near IS NOT NULL OR span <= 6),
+b AS (SELECT word, CASE WHEN v IS NULL THEN p WHEN p IS NULL THEN 0.8 * v ELSE least(1.0, 1.2 * p) END AS x, CASE WHEN v IS NULL THEN 'phrase' WHEN p IS NULL THEN 'term' ELSE 'phrase_term' END AS match_type FROM f FULL JOIN r USING (word))
+SELECT rank, display, match_type, score FROM (SELECT (row_number() OVER (ORDER BY x DESC, word))::INTEGER AS rank, word AS display, match_type, round(x, 6)::DOUBLE AS score FROM b WHERE x >= 0.33) WHERE rank <= 20""",
     "fql_regex": f"SELECT word FROM ({_NAMES}) WHERE regexp_matches(word, '^[a-m].*e')",
     "index_update": "SELECT DISTINCT lower(p_type) AS word_lc FROM part WHERE lower(p_type) NOT IN (SELECT lower(p_name) FROM part)",
 }
