@@ -154,3 +154,21 @@ def test_batch_keeps_queries_without_results(spark, built):
 def test_empty_dictionary(spark):
     built = index.build(frame(spark, ["", "  "]), {"languages": ["english"], "features": ["partial-words"]}, ord_col="ord")
     assert built.base.count() == 0 and built.stats().where("rows > 0").isEmpty()
+
+
+@pytest.mark.parametrize("n", [1, 40])
+def test_index_tables_are_never_sent_whole(spark, n):
+    """However small the file looks that they come from: only the queries are broadcast."""
+    words = spark.range(200).selectExpr("id AS ord", "concat('bolt ', id) AS word")  # the only Range of the plan
+    ix = index.build(words, {"languages": ["english"]}, ord_col="ord")
+    got = search.search(ix, [f"bolt {k}" for k in range(n)], limit=3, threshold=0.1)
+    lines = got._jdf.queryExecution().executedPlan().treeString().split("\n")
+    depth = [min((line.find(x) for x in ("+- ", ":- ") if x in line), default=0) for line in lines]
+    sent = 0
+    for k, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            sent += 1
+            inside = next((j for j in range(k + 1, len(lines)) if depth[j] <= depth[k]), len(lines))
+            assert not any("Range (" in x for x in lines[k:inside]), line
+    assert sent and any("Range (" in x for x in lines)
+    assert {r["display"] for r in got.where("query_id = 0 AND rank = 1").collect()} == {"bolt 0"}

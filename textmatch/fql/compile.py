@@ -7,7 +7,7 @@ import threading
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.index import Index
+from ..operators.index import Index, dealt
 from ..operators.phrase import phrase_search
 from ..operators.search import matches, ranked
 from . import And, InField, InLanguage, Not, Or, Phrase, QueryTimeout, Scored, Term, Typed, parse, unwrap
@@ -48,16 +48,16 @@ class Compiler:
             case Scored(child, op, value):
                 return self.rows(child).where(_SCORES[op](F.col("score"), value))
             case And(left, Not(right)):
-                return self.rows(left).join(self.rows(right).select("base_id").distinct(), "base_id", "left_anti").select(*self.rows(left).columns)
+                return self.rows(left).join(dealt(self.rows(right).select("base_id").distinct()), "base_id", "left_anti").select(*self.rows(left).columns)
             case And(left, right):
-                return self.rows(left).join(self.rows(right).select("base_id").distinct(), "base_id", "left_semi").select(*self.rows(left).columns)
+                return self.rows(left).join(dealt(self.rows(right).select("base_id").distinct()), "base_id", "left_semi").select(*self.rows(left).columns)
             case Or(left, right):
                 both = self.rows(left).withColumn("side", F.lit(0)).unionByName(self.rows(right).withColumn("side", F.lit(1)))
                 item = F.struct(*both.columns)
                 best = both.groupBy("base_id").agg(F.max_by(item, F.struct("score", -F.col("side"))).alias("x"))
                 return best.select("x.*").drop("side")
             case Not(child):
-                return self._all("not", F.lit(0.0)).join(self.rows(child).select("base_id").distinct(), "base_id", "left_anti").select(*self._all("not", F.lit(0.0)).columns)
+                return self._all("not", F.lit(0.0)).join(dealt(self.rows(child).select("base_id").distinct()), "base_id", "left_anti").select(*self._all("not", F.lit(0.0)).columns)
         raise TypeError(node)
 
     def _all(self, kind: str, value) -> DataFrame:

@@ -58,6 +58,12 @@ def union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df for a join by equality, in which it is dealt out by key. Spark takes what is exploded from a file to be as small as the file, and would send an index
+    table of any size to all executors by way of the driver."""
+    return df.hint("merge")
+
+
 def detect_languages(words: DataFrame, word: str = "word", rows: int = 100) -> list[str]:
     """Languages of the first rows: a peek that takes a bounded number of rows, not a pass."""
     found = words.select(F.explode(languages_of(F.col(word))).alias("lang")).limit(4 * rows).distinct().collect()
@@ -149,7 +155,7 @@ def tables_of(base: DataFrame, config: dict, fields: list[str] | None = None) ->
         parts.append(texts.where(F.length(normal) > 3).select(F.explode(ngrams(source, config["ngram_size"])).alias("gram"), "base_id"))
         known = [(head, s) for head, syns in (lang.synonyms | config["custom_synonyms"]).items() for s in syns]
         if "synonyms" in features and known:
-            synonyms.append(texts.withColumn("head", normal).join(spark.createDataFrame(known, "head string, syn string"), "head").select(F.lower("syn").alias("syn"), "base_id"))
+            synonyms.append(texts.withColumn("head", normal).join(F.broadcast(spark.createDataFrame(known, "head string, syn string")), "head").select(F.lower("syn").alias("syn"), "base_id"))
     ngram = union(parts).distinct()
     synonym = union(synonyms).distinct() if synonyms else none("syn string, base_id long")
     return Index(base, variant, phonetic, ngram, synonym, config, fields or [])
@@ -172,7 +178,7 @@ def build(source: DataFrame, config: dict | None = None, word: str = "word", fie
 
 def delta(index: Index, source: DataFrame, word: str = "word", ord_col: str | None = None) -> Index:
     """The tables of the words of source that index doesn't have."""
-    fresh = dictionary(source, word, index.fields or None, ord_col, index.config["min_query_length"]).join(index.base, "word_lc", "left_anti")
+    fresh = dictionary(source, word, index.fields or None, ord_col, index.config["min_query_length"]).join(dealt(index.base), "word_lc", "left_anti")
     top = index.base.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("top"))
     shifted = fresh.crossJoin(F.broadcast(top)).withColumn("ord", F.col("ord") + F.col("top") + 1)  # top is one row
     base_id = F.col("ord") if ord_col else F.col("base_id")
@@ -190,8 +196,8 @@ def add(index: Index, source: DataFrame, word: str = "word", ord_col: str | None
 
 def remove(index: Index, words: DataFrame, word: str = "word") -> Index:
     """The index without words (compared without case)."""
-    gone = index.base.join(words.select(F.lower(F.trim(word)).alias("word_lc")).distinct(), "word_lc", "left_semi").select("base_id")
-    return index.map(lambda df: df.join(gone, "base_id", "left_anti").select(*df.columns))
+    gone = index.base.join(dealt(words.select(F.lower(F.trim(word)).alias("word_lc")).distinct()), "word_lc", "left_semi").select("base_id")
+    return index.map(lambda df: df.join(dealt(gone), "base_id", "left_anti").select(*df.columns))
 
 
 def save(index: Index, path: str, mode: str = "overwrite") -> None:

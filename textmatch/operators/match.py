@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.distance import damerau_levenshtein
 from ..functions.text import matches_wildcard, ngrams, starts_word
 from ..languages import Language
-from .index import Index, custom_normalized, union
+from .index import Index, custom_normalized, dealt, union
 
 #: Matchers in the order in which they are folded.
 STEPS = ("exact", "prefix", "substring", "phonetic", "synonym", "ngram", "fuzzy")
@@ -81,11 +81,11 @@ def fuzzy_pairs(queries: DataFrame, variants: DataFrame, limit: int, transpositi
         probe = "array<struct<len:int,no:int,piece:string>>"
         probes = F.concat(*[F.when(F.col("d") == d, _probes(F.col("nq"), n, d).cast(probe)).otherwise(F.array().cast(probe)) for d, n in number.items()])
         probes = asked.select("query_id", "nq", "d", F.explode(probes).alias("p")).select("query_id", "nq", "d", "p.*")
-        long_ = probes.join(pieces, ["d", "len", "no", "piece"]).select("query_id", "nq", "d", "variant")
+        long_ = probes.join(dealt(pieces), ["d", "len", "no", "piece"]).select("query_id", "nq", "d", "variant")
         # texts shorter than the number of pieces have no whole one; they meet by length
         least = F.create_map(*[F.lit(x) for dn in number.items() for x in dn])
         sized = asked.select("query_id", "nq", "d", F.explode(F.sequence(F.length("nq") - F.col("d"), F.length("nq") + F.col("d"))).alias("len")).where(F.col("len") < F.element_at(least, F.col("d")))
-        short = sized.join(own.where(F.col("len") < max(number.values())), "len").select("query_id", "nq", "d", "variant")
+        short = sized.join(dealt(own.where(F.col("len") < max(number.values()))), "len").select("query_id", "nq", "d", "variant")
         pairs = long_.unionByName(short).withColumn("lev", within)
     pairs = pairs.where((F.col("lev") >= 0) & (F.col("lev") <= wide * F.col("d"))).select("query_id", "nq", "d", "variant", "lev")
     pairs = pairs if few else pairs.distinct()
@@ -107,11 +107,12 @@ def candidates(queries: DataFrame, index: Index, language: Language, n: int, wor
     asked = queries.select("query_id", "query", F.lower(language.normalized(text)).alias("nq"))
     variant = index.variant.withColumnRenamed("lang_ord", "v_lang_ord")
     whole = lambda df: df.where(starts_word(F.col("variant"), F.col("nq"))) if edge else df
+    sent = F.broadcast if few else (lambda df: df)
     plain = asked.where(~F.col("query").contains("*"))
     can = lambda step: highest(config, step) >= least
-    out = [_candidates(plain.join(index.base, F.col("nq") == F.col("word_lc")).withColumn("variant", F.col("word_lc")), n, "exact", F.lit(0), kind="base")]
+    out = [_candidates(sent(plain).join(dealt(index.base), F.col("nq") == F.col("word_lc")).withColumn("variant", F.col("word_lc")), n, "exact", F.lit(0), kind="base")]
     stars = asked.where(F.col("query").contains("*"))
-    out.append(_candidates(_by_wildcard(stars, index.base), n, "exact", F.lit(0), kind="base"))
+    out.append(_candidates(_by_wildcard(sent(stars), index.base), n, "exact", F.lit(0), kind="base"))
 
     begins = F.startswith("variant", F.col("nq"))
     if few:  # one pass over the variants for all three
@@ -126,10 +127,10 @@ def candidates(queries: DataFrame, index: Index, language: Language, n: int, wor
         one = _candidates(found, n, "exact", F.when(F.col("matcher") == "exact", 0), kind="any", also=[number.alias("step_of"), type_.alias("type_of")])
         out.append(one.withColumn("step", F.col("step_of")).withColumn("type", F.col("type_of")))
     else:
-        out.append(_candidates(whole(plain.join(variant, F.col("nq") == F.col("variant"))), n, "exact", F.lit(0)))
+        out.append(_candidates(whole(plain.join(dealt(variant), F.col("nq") == F.col("variant"))), n, "exact", F.lit(0)))
         sizes = asked.select(F.length("nq").alias("size")).where("size > 0").distinct()
         heads = variant.join(F.broadcast(sizes), F.col("len") > F.col("size")).withColumn("head", F.expr("substring(variant, 1, size)"))  # a row for each length of a query
-        out.append(_candidates(whole(asked.join(heads, F.col("nq") == F.col("head"))), n, "prefix"))
+        out.append(_candidates(whole(asked.join(dealt(heads), F.col("nq") == F.col("head"))), n, "prefix"))
         out.append(_candidates(_inside(asked, variant), n, "substring"))
 
     if "phonetic" in features and "phonetic" in language.features and can("phonetic"):
@@ -137,16 +138,16 @@ def candidates(queries: DataFrame, index: Index, language: Language, n: int, wor
         def code(words):
             return words.map(lambda w: language.phonetic(w) if w else None)
 
-        out.append(_candidates(asked.withColumn("code", code("query")).where("code <> ''").join(index.phonetic.select("code", "base_id").distinct(), "code"), n, "phonetic"))
+        out.append(_candidates(sent(asked.withColumn("code", code("query")).where("code <> ''")).join(dealt(index.phonetic.select("code", "base_id").distinct()), "code"), n, "phonetic"))
     if "synonyms" in features and can("synonym"):
-        out.append(_candidates(asked.join(index.synonym, F.col("nq") == F.col("syn")), n, "synonym"))
+        out.append(_candidates(sent(asked).join(dealt(index.synonym), F.col("nq") == F.col("syn")), n, "synonym"))
     if can("ngram"):
         size = config["ngram_size"]
         grams = asked.where(F.length("nq") >= size).select("query_id", F.explode(F.array_distinct(ngrams(F.col("nq"), size))).alias("gram"))
-        out.append(_candidates(grams.join(index.ngram, "gram").select("query_id", "base_id").distinct(), n, "ngram"))
+        out.append(_candidates(sent(grams).join(dealt(index.ngram), "gram").select("query_id", "base_id").distinct(), n, "ngram"))
     if features & {"missing-letters", "extra-letters", "transpositions"}:
         pairs = fuzzy_pairs(asked.select("query_id", "nq"), variant, config["max_edit_distance"], "transpositions" in features, few)
-        out.append(_candidates(pairs.join(variant, "variant"), n, "fuzzy", F.col("edit")))
+        out.append(_candidates(pairs.join(dealt(variant), "variant"), n, "fuzzy", F.col("edit")))
     return union([c.select(*_COLUMNS) for c in out])
 
 
@@ -157,9 +158,9 @@ def _inside(asked: DataFrame, variant: DataFrame, size: int = 3) -> DataFrame:
     own = variant.where("len >= 2").withColumn("key", F.explode(F.concat(grams(F.col("variant"), size), F.when(F.col("len") >= 2, grams(F.col("variant"), 2)).otherwise(F.array().cast("array<string>")))))
     asked = asked.where(F.length("nq") >= 2)
     often = own.groupBy("key").agg(F.count("*").alias("n"))
-    of_query = asked.select("query_id", F.explode(grams(F.col("nq"), size)).alias("key")).join(often, "key")
+    of_query = asked.select("query_id", F.explode(grams(F.col("nq"), size)).alias("key")).join(dealt(often), "key")
     rarest = of_query.groupBy("query_id").agg(F.min_by("key", F.struct("n", "key")).alias("key"))
-    found = asked.join(rarest, "query_id").join(own, "key")
+    found = asked.join(rarest, "query_id").join(dealt(own), "key")
     return found.where(F.contains("variant", F.col("nq")) & ~F.startswith("variant", F.col("nq"))).dropDuplicates(["query_id", "base_id", "variant", "field"])
 
 
@@ -168,7 +169,7 @@ def _by_wildcard(stars: DataFrame, base: DataFrame) -> DataFrame:
     head = F.lower(F.substring_index("query", "*", 1))
     stars = stars.withColumn("head", F.substring(head, 1, 2)).withColumn("size", F.length("head"))
     keyed = base.withColumn("size", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("head", F.expr("substring(word_lc, 1, size)"))
-    by_key = stars.where("size > 0").join(keyed, ["size", "head"])
+    by_key = stars.where("size > 0").join(dealt(keyed), ["size", "head"])
     rest = F.broadcast(stars.where("size = 0").drop("size", "head")).join(base, F.lit(True))  # a stated set of queries without a beginning
     found = by_key.drop("size", "head").unionByName(rest)
     return found.where(matches_wildcard(F.col("word"), F.col("query"))).withColumn("variant", F.col("word_lc"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distance import levenshtein
 from ..functions.text import parse_phrases
-from .index import Index, union
+from .index import Index, dealt, union
 from .search import as_queries, matches, ranked
 
 
@@ -70,7 +70,7 @@ def phrase_search(index: Index, queries, **options) -> DataFrame:
     has_both = F.col("phrase").isNotNull() & F.col("term").isNotNull()
     phrase = F.col("phrase") if strict else F.least(F.lit(1.0), F.col("phrase"))
     value = F.when(has_both, F.least(F.lit(1.0), phrase * 1.2)).when(F.col("phrase").isNotNull(), phrase).otherwise(F.col("term") * 0.8)
-    rows = both.withColumn("score", value).where(F.col("score") >= threshold).join(index.base, "base_id").join(asked, "query_id")
+    rows = both.withColumn("score", value).where(F.col("score") >= threshold).join(dealt(index.base), "base_id").join(asked, "query_id")
     kind = F.when(has_both, "phrase_term").when(F.col("phrase").isNotNull(), "phrase").otherwise("term")
     rows = rows.select("query_id", "query", "base_id", F.col("word").alias("display"), F.col("word").alias("base_word"), F.lit(False).alias("is_synonym"), "score", F.lit(None).cast("string").alias("language"), kind.alias("match_type"),
                        F.lit(None).cast("int").alias("edit_distance"), F.lit(None).cast("string").alias("field"), "fields")

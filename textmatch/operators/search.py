@@ -12,7 +12,7 @@ from ..functions.facets import apply_filters, apply_sort
 from ..functions.ranking import rank, squashed
 from ..functions.text import drop_stop_words, tokens
 from .highlight import highlights
-from .index import Index, build, union
+from .index import Index, build, dealt, union
 from .match import are_few, candidates, folded
 from .score import score
 
@@ -38,7 +38,7 @@ def matches(index: Index, queries: DataFrame, **options) -> DataFrame:
     bm25 = config["use_bm25"] if opt["bm25"] is None else opt["bm25"]
     least = 0.0 if bm25 else opt["threshold"] or config["fuzzy_threshold"]
     found = folded(union([candidates(asked, index, lang, n, opt["word_boundaries"], few, least) for n, lang in enumerate(langs)]))
-    rows = found.join(asked, "query_id").join(index.base, "base_id")
+    rows = found.join(F.broadcast(asked) if few else asked, "query_id").join(dealt(index.base), "base_id")
     name = F.element_at(F.array(*[F.lit(x.name) for x in langs]), F.col("lang_ord") + 1)
     value = score(config, F.col("type"), F.col("query"), F.col("word"), F.coalesce("variant", "word_lc"), F.col("edit_distance"), F.lower("query"), opt["strict"])
     if config["field_weights"] and not opt["strict"]:
@@ -51,7 +51,7 @@ def matches(index: Index, queries: DataFrame, **options) -> DataFrame:
         ranked = rank(index.base.select("base_id", "word"), asked, words, tokens(F.col("query")), "base_id")
         w = config["bm25_weight"] or 0.6
         blend = w * squashed(F.coalesce("bm25", F.lit(0.0))) + (1 - w) * F.col("score")
-        rows = rows.join(ranked, ["query_id", "base_id"], "left").withColumn("score", blend)
+        rows = rows.join(dealt(ranked), ["query_id", "base_id"], "left").withColumn("score", blend)
     out = rows.where(F.col("score") >= (opt["threshold"] or config["fuzzy_threshold"])).select(
         "query_id", "query", "base_id", F.col("word").alias("display"), F.col("word").alias("base_word"), (F.col("type") == "synonym").alias("is_synonym"), "score",
         F.when(F.col("type") == "synonym", "synonym").otherwise(name).alias("language"), F.col("type").alias("match_type"), F.when(F.col("type").isin("exact", "fuzzy"), F.col("edit_distance")).alias("edit_distance"), "field", "fields",

@@ -195,12 +195,12 @@ def phonetic_codes(spark, sf_dir):
 def word_variants(spark, sf_dir):
     """Variants of every part name."""
     built = _index(spark, sf_dir)
-    return built.variant.join(built.base.select("base_id", "word"), "base_id").select("variant", "word", "kind", "lang")
+    return built.variant.join(index.dealt(built.base.select("base_id", "word")), "base_id").select("variant", "word", "kind", "lang")
 
 
 def gram_index(spark, sf_dir):
     built = _index(spark, sf_dir)
-    return built.ngram.join(built.base, "base_id").select("gram", "word")
+    return built.ngram.join(index.dealt(built.base), "base_id").select("gram", "word")
 
 
 def index_sizes(spark, sf_dir):
