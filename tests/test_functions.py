@@ -40,6 +40,37 @@ def test_ranking(spark):
     assert [r["doc_id"] for r in rows] == [2, 1]
 
 
+@pytest.mark.parametrize("sent", [True, False])
+def test_ranking_never_shuffles_pairs(spark, monkeypatch, sent):
+    """Pairs of queries and documents are made and added up where the document is, so many a task; the scores are those of the formula, also for repeated ids."""
+    import math
+    import re
+    from collections import Counter
+
+    if not sent:
+        monkeypatch.setattr(ranking, "SENT", 0)
+    held = [(k % 50, " ".join(f"w{(k * j) % 17}" for j in range(k % 9))) for k in range(60)] + [(None, "w1 w2"), (7, None)]
+    asked = [(q, f"w{q} w1 w{q * 3 % 17} w1") for q in range(12)]
+    t = F.coalesce("text", F.lit(""))
+    words = F.filter(F.split(t, " "), lambda x: x != "")
+    args = spark.createDataFrame(held, "doc_id long, text string"), spark.createDataFrame(asked, "query_id long, text string"), words, F.split("text", " ")
+    got = ranking.rank(*args)
+    plan = got._jdf.queryExecution().executedPlan().treeString()
+    assert not sent or not re.search(r"hashpartitioning\(query_id#\d+L, doc_id#", plan)
+    n, mean = len(held), sum(len((x or "").split()) for _, x in held) / len(held)
+    tf = Counter((d, len((x or "").split()), w) for d, x in held for w in (x or "").split())
+    df, expected = Counter(w for _, _, w in tf), Counter()
+    for q, x in asked:
+        for w in x.split():
+            for (d, size, v), k in tf.items():
+                if v == w:
+                    expected[q, d] += max(math.log((n - df[w] + 0.5) / (df[w] + 0.5) + 1), 0.1) * k * 2.2 / (k + 1.2 * (0.25 + 0.75 * size / mean))
+    rows = lambda df: {(r["query_id"], r["doc_id"]): r["bm25"] for r in df.collect()}
+    assert rows(got) == pytest.approx(dict(expected)) and rows(ranking.rank(*args, task_pairs=5)) == pytest.approx(dict(expected))
+    tasks = ranking.rank(*args, task_pairs=5)._jdf.queryExecution().executedPlan().treeString()
+    assert re.search(rf"hashpartitioning\(doc_id#\d+L, {-(-n * 12 // 5)}\)", tasks)  # more documents, more tasks
+
+
 def test_facets(spark):
     df = spark.createDataFrame([("Cheap", "20", "true", "2024-01-02"), ("Mid", "50", "false", "01/03/2023"), ("Dear", "150", "1", None), ("None", None, None, "x")], "name string, price string, stock string, day string")
     names = lambda d: [r["name"] for r in d.collect()]

@@ -32,16 +32,26 @@ def corpus_stats(docs: DataFrame, words: Column) -> tuple[DataFrame, DataFrame]:
     return totals, docs.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def rank(docs: DataFrame, queries: DataFrame, words: Column, query_words: Column, doc_id: str = "doc_id", query_id: str = "query_id") -> DataFrame:
+#: Pairs of a document and a query that a task of rank adds up, about; query words that are sent to the documents, more meet them by key.
+TASK_PAIRS, SENT = 1 << 19, 1 << 18
+
+
+def rank(docs: DataFrame, queries: DataFrame, words: Column, query_words: Column, doc_id: str = "doc_id", query_id: str = "query_id", task_pairs: int = TASK_PAIRS) -> DataFrame:
     """query_id, doc_id, bm25: the summed score of every document that holds a word of the query; words that a query repeats count each
-    time. Only terms of queries are counted, and frequencies are added up before the documents meet the queries."""
+    time. Only terms of queries are counted. Documents are dealt out by id, so many to a task that its pairs with queries are about task_pairs at most, and meet
+    the queries there: the pairs, far more than the words, are never shuffled, and no task grows with the corpus."""
+    spark = docs.sparkSession
     asked = queries.select(query_id, F.explode(query_words).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("times"))
     totals, _ = corpus_stats(docs, words)
-    terms = asked.select("term").distinct()
+    n, q = totals.first(), asked.agg(F.count_distinct(query_id).alias("queries"), F.count("*").alias("words")).first()
+    sent = F.broadcast if q["words"] <= SENT else (lambda df: df.hint("merge"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n["n_docs"] * q["queries"] // task_pairs))
     split = docs.select(doc_id, words.alias("words"))  # once a document, not once a word
-    spread = split.select(doc_id, F.size("words").alias("length"), F.explode("words").alias("term")).join(terms, "term", "left_semi")
-    tf = spread.groupBy(doc_id, "length", "term").agg(F.count("*").alias("tf"))
+    spread = split.select(doc_id, F.size("words").alias("length"), F.explode("words").alias("term")).join(sent(asked.select("term").distinct()), "term", "left_semi")
+    tf = spread.repartition(parts, doc_id).groupBy(doc_id, "length", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n = totals.first()
-    scored = tf.join(df, "term").withColumn("score", term_score(F.col("tf"), idf(F.lit(n["n_docs"]), F.col("df")), F.col("length"), F.lit(n["mean_length"])))
-    return scored.join(asked, "term").groupBy(query_id, doc_id).agg(F.sum(F.col("score") * F.col("times")).alias("bm25"))
+    of_term = asked.groupBy("term").agg(F.collect_list(F.struct(query_id, "times")).alias("asked"))  # a row a word of the queries
+    weighed = of_term.join(df, "term").withColumn("idf", idf(F.lit(n["n_docs"]), F.col("df"))).select("term", "idf", "asked")
+    score = term_score(F.col("tf"), F.col("idf"), F.col("length"), F.lit(n["mean_length"]))
+    scored = tf.join(sent(weighed), "term").select(doc_id, score.alias("score"), F.explode("asked").alias("of")).select(doc_id, "score", "of.*")
+    return scored.groupBy(query_id, doc_id).agg(F.sum(F.col("score") * F.col("times")).alias("bm25"))
