@@ -769,6 +769,51 @@ def test_anchors_miss_no_pair(spark):
     assert {r["n"] for r in n} <= {1, 32}
 
 
+def test_wide_anchors_miss_no_pair_in_reach(spark):
+    from textmatch.llm import simhash
+
+    rng, fps = np.random.default_rng(9), set()
+    for c in rng.integers(0, 1 << 64, 40, dtype=np.uint64):
+        for k in range(6):  # 0 to 7 bits from the centre, the top bits included
+            x = int(c)
+            for b in rng.choice(64, int(rng.integers(0, 8)), replace=False):
+                x ^= 1 << int(b)
+            fps.add(x)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    label = {v: v for v in fps}
+    linked = [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 5]
+    for _ in range(8):
+        for a, b in linked:
+            label[a] = label[b] = min(label[a], label[b])
+    edges = simhash.wide_edges(spark.createDataFrame([(signed(v),) for v in sorted(fps)], "fp long")).collect()
+    got = {v: v for v in fps}
+    for _ in range(8):
+        for r in edges:
+            a, b = r["a"] % (1 << 64), r["b"] % (1 << 64)
+            assert (a ^ b).bit_count() <= 5
+            got[a] = got[b] = min(got[a], got[b])
+    assert got == label and any((a ^ b).bit_count() == 5 for a, b in linked) and len(set(label.values())) > 40
+
+
+def test_stage_finds_its_candidates_by_simhash(spark):
+    """Without a band, all copies whose SimHashes are in reach are still linked, and checked exactly."""
+    from textmatch.llm import simhash
+
+    rng, texts = np.random.default_rng(12), {}
+    for k in range(20):
+        words = [f"w{rng.integers(1 << 30)}" for _ in range(400)]
+        texts[2 * k] = " ".join(words)
+        for at in range(k % 4 + 1):
+            words[at * 90 + 40] = "new"
+        texts[2 * k + 1] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    signs = simhash.table(simhash.signatures(docs).withColumn("bands", F.array().cast("array<long>")), "no-bands")
+    rows = {r["doc_id"]: r for r in signs.collect()}
+    near = {k for k in range(0, 40, 2) if (rows[k]["sim"] % (1 << 64) ^ rows[k + 1]["sim"] % (1 << 64)).bit_count() <= 5}
+    found = {frozenset((r["a"], r["b"])) for r in simhash.similar_edges(docs, signs).collect()}
+    assert found == {frozenset((rows[k]["fp"], rows[k + 1]["fp"])) for k in near} and len(near) > 10
+
+
 def test_long_chains_become_one_component(spark):
     from textmatch.llm import simhash
 

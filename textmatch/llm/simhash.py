@@ -10,10 +10,12 @@ replicated, so thousands of exact copies cost one row.
 Each bucket gives a spanning forest of its links, not its pairs; label propagation with pointer jumping over those few edges
 gives the components. Every table that an iteration reads lies in the shared folder.
 
-Digests of three words can't see copies with a few edits: at a Jaccard similarity of 0.8 two digests differ in about 10 bits, and a covering
-code that reaches so far has millions of anchors a fingerprint. So one_of_similar (the stage of the pipeline) is another method: it links texts whose
-sets of five-word shingles have a similarity of SIMILAR or more. Candidates share a band of minimal hashes; a pair of exactly 0.8 shares none of the
-BANDS with probability 7e-6 (less above). Buckets give stars, those give groups of candidates, and a group is compared in units of bounded size, where
+one_of_similar (the stage of the pipeline) links texts whose sets of five-word shingles have a similarity of SIMILAR or more. Its candidates are the pairs
+whose SimHashes of these shingles differ in REACH bits or fewer: of the two halves of 31 bits one differs in 2 or fewer, and the codewords of the perfect
+[31, 26] Hamming code are the anchors of a half (1 or 16 within 2 bits), so no pair in reach is missed. At a similarity of 0.8 two SimHashes differ in
+about 10 bits, and a covering code that reaches so far has millions of anchors a fingerprint, so what is out of reach has an exact way of its own beside it:
+bands of minimal hashes; a pair of exactly 0.8 shares none of the BANDS with probability 7e-6 (less above). Forests of anchors and stars of bands give groups
+of candidates, and a group is compared in units of bounded size, where
 all texts meet by their shared shingles, so each link is checked exactly and none between members of a group is missed.
 
 Nulls: a null text has no words (fingerprint zero), like an empty one. A null doc_id is a document of its class like any other; component_id is the
@@ -24,7 +26,7 @@ __tm_ are taken.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,8 @@ SEED = 42
 #: Of one_of_similar: words of a shingle, least similarity, bands and minimal hashes of a band.
 WIDE, SIMILAR = 5, 0.8
 BANDS, ROWS = 30, 5
+#: Differing bits of SimHashes up to which one_of_similar has all pairs as candidates, and bits of each half.
+REACH, HALF = 5, 31
 #: Shingles of a unit of one_of_similar (of one text, if it has more), and sets with most candidates (one of each of so many shares) that every block of a group meets.
 BLOCK, PIVOTS = 1 << 20, 8
 #: Hashes whose bits are added at a time; bounds the memory for one very long text.
@@ -63,8 +67,13 @@ def _shingle_hashes(text: str | None, size: int) -> Iterator[np.ndarray]:
 
 def fingerprint_of(text: str | None, size: int = SHINGLE) -> int:
     """Unsigned 64-bit SimHash of the word shingles of a text: bit b is 1 if set in over half of the shingle hashes."""
+    return _majority(_shingle_hashes(text, size))
+
+
+def _majority(parts: Iterable[np.ndarray]) -> int:
+    """Unsigned 64-bit number whose bits are set in over half of the hashes."""
     n, ones = 0, np.zeros(64, np.int64)
-    for hashes in _shingle_hashes(text, size):
+    for hashes in parts:
         n += len(hashes)
         ones += np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(sum(1 << b for b in range(64) if 2 * int(ones[b]) > n))
@@ -82,41 +91,40 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE, *also: str) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text", *also), run, ", ".join([f"doc_id {kind}", "fp long", *(f"{c} long" for c in also)]))
 
 
-def syndrome(fp: Column) -> Column:
-    """XOR of the positions 1 to 63 of the low 63 bits that are set: 0 for an anchor, else the position to flip to reach one."""
+def syndrome(fp: Column, bits: int = 63) -> Column:
+    """XOR of the positions 1 to bits of the low bits (63 or another power of 2 less 1) that are set: 0 for an anchor, else the position to flip to reach one."""
     got = F.lit(0)
-    for k in range(6):
-        mask = sum(1 << (p - 1) for p in range(1, 64) if p >> k & 1)
+    for k in range(bits.bit_length()):
+        mask = sum(1 << (p - 1) for p in range(1, bits + 1) if p >> k & 1)
         got = got + F.shiftleft((F.bit_count(fp.bitwiseAND(F.lit(mask))) % 2).cast("int"), k)
     return got
 
 
-def anchors(fp: Column) -> Column:
-    """Array of all anchors within 2 bits of the low 63 bits of fp."""
-    low, one = fp.bitwiseAND(F.lit((1 << 63) - 1)), F.lit(1).cast("long")
+def anchors(fp: Column, bits: int = 63) -> Column:
+    """Array of all anchors within 2 bits of the low bits (see syndrome) of fp."""
+    low, one = fp.bitwiseAND(F.lit((1 << bits) - 1)), F.lit(1).cast("long")
     bit = lambda p: F.call_function("shiftleft", one, p - 1)
 
     def near(s: Column) -> Column:
-        firsts = F.filter(F.sequence(F.lit(1), F.lit(63)), lambda i: (i < i.bitwiseXOR(s)))
+        firsts = F.filter(F.sequence(F.lit(1), F.lit(bits)), lambda i: (i < i.bitwiseXOR(s)))
         pairs = F.transform(firsts, lambda i: low.bitwiseXOR(bit(i)).bitwiseXOR(bit(i.bitwiseXOR(s))))
         return F.when(s == 0, F.array(low)).otherwise(F.concat(F.array(low.bitwiseXOR(bit(s))), pairs))
 
-    return F.element_at(F.transform(F.array(syndrome(fp)), near), 1)
+    return F.element_at(F.transform(F.array(syndrome(fp, bits)), near), 1)
 
 
 def _forest(fps: np.ndarray, threshold: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links between distinct fingerprints of one bucket."""
-    edges, left, u = [], fps, fps.view(np.uint64)
-    todo = np.ones(len(left), bool)
-    while todo.any():  # one component at a time, breadth first, a row of distances for each member
-        root = int(np.argmax(todo))
-        todo[root], queue = False, [root]
-        while queue:
+    edges, u = [], fps.view(np.uint64)
+    rest = np.arange(len(fps))
+    while len(rest):  # one component at a time, breadth first, each member against those not yet reached
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
             x = queue.pop()
-            near = np.flatnonzero(todo & (np.bitwise_count(u ^ u[x]) <= threshold))
-            todo[near] = False
+            hit = np.bitwise_count(u[rest] ^ u[x]) <= threshold
+            near, rest = rest[hit], rest[~hit]
             queue += near.tolist()
-            edges += [(int(left[x]), int(left[y])) for y in near]
+            edges += [(int(fps[x]), int(fps[y])) for y in near]
     return edges
 
 
@@ -124,7 +132,20 @@ def link_edges(classes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """a, b: edges whose components are those of all links between the distinct fp of classes."""
     if not 0 <= threshold <= THRESHOLD:
         raise ValueError("these anchors cover thresholds up to 2")
-    placed = classes.select("fp", F.explode(anchors(F.col("fp"))).alias("anchor"))
+    return _bucket_edges(classes.select("fp", F.explode(anchors(F.col("fp"))).alias("anchor")), threshold)
+
+
+def wide_edges(classes: DataFrame, reach: int = REACH) -> DataFrame:
+    """As link_edges for up to REACH differing bits, by the anchors of both halves. Bits 62 and 63 count in distances only."""
+    if not 0 <= reach <= REACH:
+        raise ValueError("the anchors of two halves cover distances up to 5")
+    low = anchors(F.col("fp"), HALF)
+    high = F.transform(anchors(F.shiftright("fp", HALF), HALF), lambda a: a + (1 << HALF))
+    return _bucket_edges(classes.select("fp", F.explode(F.concat(low, high)).alias("anchor")), reach)
+
+
+def _bucket_edges(placed: DataFrame, threshold: int) -> DataFrame:
+    """a, b: forests of the links in each bucket of placed (fp, anchor)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by anchor; a bucket may go on in the next batch."""
@@ -202,21 +223,22 @@ def _bands(hashes: np.ndarray) -> list[int]:
 
 
 def signatures(docs: DataFrame, size: int = WIDE, *also: str) -> DataFrame:
-    """doc_id, key (hash of the text), fp (names the shingle set), n (its size), bands, and the columns of also, which are of type long."""
+    """doc_id, key (hash of the text), fp (names the shingle set), n (its size), sim (its SimHash), bands, and the columns of also, which are of type long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, sizes, bands = [], [], []
+            keys, sizes, sims, bands = [], [], [], []
             for t in b.column(2):
                 own = shingle_set(t.as_py(), size)
                 keys.append(_set_key(own))
                 sizes.append(len(own))
+                sims.append(_majority(own[at : at + CHUNK] for at in range(0, len(own), CHUNK)))
                 bands.append(_bands(own))
-            made = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made, *b.columns[3:]], ["doc_id", "key", "fp", "n", "bands", *also])
+            made = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(sims, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made, *b.columns[3:]], ["doc_id", "key", "fp", "n", "sim", "bands", *also])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = ", ".join([f"doc_id {kind}", "key long", "fp long", "n long", "bands array<long>", *(f"{c} long" for c in also)])
+    schema = ", ".join([f"doc_id {kind}", "key long", "fp long", "n long", "sim long", "bands array<long>", *(f"{c} long" for c in also)])
     return arrow_map(docs.select("doc_id", F.xxhash64("text").alias("key"), "text", *also), run, schema)
 
 
@@ -283,6 +305,16 @@ def _unit_edges(units: DataFrame, size: int, similarity: float) -> DataFrame:
     return arrow_map(units.select("unit", "fp", "label", "text").repartition("unit").sortWithinPartitions("unit"), run, "a long, b long")
 
 
+def simhash_edges(signed: DataFrame, reach: int = REACH) -> DataFrame:
+    """a, b: edges whose components are those of all pairs of shingle sets whose SimHashes differ in reach bits or fewer. Sets of one SimHash are a class."""
+    prints = table(signed.where("n > 0").select("fp", "sim").distinct(), "simhashes")
+    firsts = table(prints.groupBy("sim").agg(F.min("fp").alias("first")), "simhash-classes")
+    same = prints.join(firsts, "sim").where("first <> fp").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    found = table(wide_edges(firsts.select(F.col("sim").alias("fp")), reach), "simhash-edges")
+    of = lambda side: firsts.select(F.col("sim").alias(side), F.col("first").alias(f"first_{side}"))
+    return same.unionByName(found.join(of("a"), "a").join(of("b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b")))
+
+
 def similar_edges(docs: DataFrame, signed: DataFrame, size: int = WIDE, similarity: float = SIMILAR, block: int = BLOCK) -> DataFrame:
     """a, b: edges whose components are those of all links between the distinct shingle sets of docs. signed: see signatures.
 
@@ -293,11 +325,11 @@ def similar_edges(docs: DataFrame, signed: DataFrame, size: int = WIDE, similari
     firsts = placed.groupBy("band").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
     met = placed.join(firsts, "band")
     stars = table(met.groupBy("a", F.col("fp").alias("b")).agg(F.sum("n").alias("met")), "stars")
-    groups = components(stars.where("a <> b"))
+    groups = components(simhash_edges(signed).unionByName(stars.where("a <> b").select("a", "b")))
     degree = stars.groupBy(F.col("b").alias("fp")).agg(F.sum("met").alias("degree"))
     chosen = signed.groupBy("fp").agg(F.min("key").alias("key"), F.max("n").alias("n"))
-    grouped = chosen.join(groups.select(F.col("node").alias("fp"), F.col("label").alias("group")), "fp").join(degree, "fp")
-    grouped = table(grouped.select("group", "fp", "key", "n", "degree"), "grouped")
+    grouped = chosen.join(groups.select(F.col("node").alias("fp"), F.col("label").alias("group")), "fp").join(degree, "fp", "left")
+    grouped = table(grouped.select("group", "fp", "key", "n", F.coalesce("degree", F.lit(0)).alias("degree")), "grouped")
     whole = grouped.groupBy("group").agg(F.sum("n").alias("total")).withColumn("blocks", F.ceil(F.col("total") / block).cast("int"))
     distinct = docs.select(F.xxhash64("text").alias("key"), "text").groupBy("key").agg(F.first("text").alias("text"))
     texts = table(distinct.join(grouped.select("key", "fp"), "key").select("fp", "text"), "texts")
