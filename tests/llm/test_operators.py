@@ -823,6 +823,36 @@ def test_long_chains_become_one_component(spark):
     assert {r["label"] for r in simhash.components(edges).collect()} == {0}
 
 
+def test_components_join_dense_groups_once(spark, monkeypatch):
+    """Rows that joins make: all edges once an end at most, whatever the number of rounds, so no more than twice as many for twice the group."""
+    from textmatch.llm import simhash
+
+    kind, totals = type(spark.range(0)), []
+    join = kind.join
+
+    def counted(self, *a, **k):
+        out = join(self, *a, **k)
+        sums.append(out.count())
+        return out
+
+    for n in (300, 600):
+        rng, sums, label = np.random.default_rng(13), [], {}
+        names = rng.permutation(1 << 20)[: 2 * n + 80].tolist()
+        group, chain, star, pair = names[:n], sorted(names[n : n + 40]), sorted(names[n + 40 : 2 * n + 78]), names[-2:]
+        pairs = [(group[x], group[y]) for x in range(n) for y in rng.integers(0, n, 20).tolist() + [(x + 1) % n]]  # with loops and repeated edges
+        pairs += [*zip(chain, chain[1:], strict=False), *((star[-1], x) for x in star[:-1]), tuple(pair), (7 << 21, 7 << 21)]
+        for part in (group, chain, star, pair, [7 << 21]):
+            label |= dict.fromkeys(part, min(part))
+        edges = simhash.table(spark.createDataFrame(pairs, "a long, b long"), "test-edges")
+        monkeypatch.setattr(kind, "join", counted)
+        got = simhash.components(edges)
+        monkeypatch.setattr(kind, "join", join)
+        assert {r["node"]: r["label"] for r in got.collect()} == label and got.count() == len(label)
+        assert sum(sums) <= 2 * len(pairs) + 12 * len(label)
+        totals.append(sum(sums))
+    assert totals[1] <= 2.2 * totals[0]
+
+
 def test_stage_links_copies_with_a_few_edits(spark, docs, texts, odd, none):
     from textmatch.llm import simhash
 

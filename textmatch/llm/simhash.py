@@ -7,8 +7,8 @@ fingerprint goes to every anchor within 2 bits (1 or 32 of them), and no linked
 with the corpus: it holds 2 * (1 + 63 + 1953) distinct fingerprints at most. Equal fingerprints are one class before they are
 replicated, so thousands of exact copies cost one row.
 
-Each bucket gives a spanning forest of its links, not its pairs; label propagation with pointer jumping over those few edges
-gives the components. Every table that an iteration reads lies in the shared folder.
+Each bucket gives a spanning forest of its links, not its pairs; label propagation with pointer jumping over those few edges, which move
+along with the labels, gives the components. Every table that an iteration reads lies in the shared folder.
 
 one_of_similar (the stage of the pipeline) links texts whose sets of five-word shingles have a similarity of SIMILAR or more. Its candidates are the pairs
 whose SimHashes of these shingles differ in REACH bits or fewer: of the two halves of 31 bits one differs in 2 or fewer, and the codewords of the perfect
@@ -173,24 +173,43 @@ def _bucket_edges(placed: DataFrame, threshold: int) -> DataFrame:
     return arrow_map(placed.repartition("anchor").sortWithinPartitions("anchor"), run, "a long, b long").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _lowest(edges: DataFrame) -> DataFrame:
+    """node, label: where each node of edges comes to by going on to the smallest node around it, until none around is smaller. Label of label doubles the way each time."""
+    both = edges.select("a", "b").union(edges.select("b", "a"))
+    low = table(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    while True:
+        up = low.select(F.col("node").alias("label"), F.col("label").alias("higher"))
+        jump = low.join(up, "label")
+        if jump.where("label <> higher").isEmpty():
+            return low
+        jumped = table(jump.select("node", F.col("higher").alias("label")), "labels")
+        drop(low)
+        low = jumped
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, label: the smallest node of the component of each node that has an edge. Labels only fall; each round takes the
-    smallest label around a node and then the label of that label, until a round changes nothing."""
-    spark = edges.sparkSession
-    with scratch(spark) as keep:
-        both = table(edges.select("a", "b").union(edges.select("b", "a")), "edges")
-        labels = keep(table(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels"))
+    """node, label: the smallest node of the component of each node that has an edge. In each round labels fall to the lowest node down the way (see _lowest), and edges
+    move to the labels of their ends. What comes together is dropped or one edge, so only the first round joins all edges, each end once, and a dense group costs
+    later rounds no more than a sparse one. Two rounds at least halve the nodes that still have edges: a lowest node either has taken all around it or meets a lower one next."""
+    of = lambda low, end: low.select(F.col("node").alias(end), F.col("label").alias("to"))
+    with scratch(edges.sparkSession) as keep:
+        rest, labels = table(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "edges"), None
         while True:
-            with scratch(spark) as keep_round:
-                sent = both.join(labels, both.a == labels.node).select(F.col("b").alias("node"), "label")
-                low = table(labels.union(sent).groupBy("node").agg(F.min("label").alias("label")), "labels")
-                up = low.select(F.col("node").alias("label"), F.col("label").alias("higher"))
-                jumped = keep(keep_round(table(low.join(up, "label").select("node", F.least("label", "higher").alias("label")), "labels")))
-            old = labels.select(F.col("node").alias("n"), F.col("label").alias("was"))
-            if jumped.join(old, (F.col("node") == F.col("n")) & (F.col("label") != F.col("was"))).isEmpty():
-                return jumped
-            drop(labels)
-            labels = jumped
+            low = _lowest(rest)
+            # greater ends first: a node in the middle of a star is the smaller end, and its edges are few by the second join
+            half = rest.join(of(low, "b"), "b").select("a", F.col("to").alias("b")).where("a <> b").distinct()
+            moved = half.join(of(low, "a"), "a").select(F.least("to", "b").alias("a"), F.greatest("to", "b").alias("b")).where("a <> b").distinct()
+            left = table(moved, "edges")
+            drop(rest)
+            rest = left
+            if labels is None:
+                labels = keep(low)
+            else:
+                fallen = keep(table(labels.join(of(low, "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels"))
+                drop(labels, low)
+                labels = fallen
+            if rest.isEmpty():
+                return labels
 
 
 def shingle_set(text: str | None, size: int = WIDE) -> np.ndarray:
